@@ -1,5 +1,9 @@
-"""Text column expressions. Patterns carry ``(?U)``: word, digit and space
-classes must cover every script."""
+"""Text column expressions.
+
+Patterns carry ``(?U)`` so that digit and space classes cover every script; word
+characters are spelled out as letters, numbers and underscore, because the JVM's
+Unicode ``\\w`` also takes in marks and joiners.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,16 @@ from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fv
 
-ZWNJ = "‌"
+ZWNJ = "\u200c"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"
-WORD = r"(?U)[\w؀-ۿ]+"
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
+WORD_CHARS = r"\p{L}\p{N}_"
+WORD = rf"[{WORD_CHARS}\u0600-\u06ff]+"
+
+
+def spelled(pattern: str) -> str:
+    """A pattern with ``\\w`` spelled out."""
+    return pattern.replace(r"[\w", f"[{WORD_CHARS}").replace(r"\w", f"[{WORD_CHARS}]")
 
 
 def collapse(value: Column) -> Column:
@@ -37,7 +47,7 @@ def python_search_text(value: str) -> str:
 def any_keyword_pattern(words: list[str]) -> str:
     """Whole-word alternation over normalized keywords."""
     quoted = [r"\Q" + python_search_text(w) + r"\E" for w in words if python_search_text(w)]
-    return r"(?U)(?<!\w)(?:" + "|".join(quoted) + r")(?!\w)"
+    return spelled(r"(?<!\w)(?:" + "|".join(quoted) + r")(?!\w)")
 
 
 def normalize_evidence(value: Column) -> Column:
@@ -66,7 +76,7 @@ def normalize_horizon(value: Column) -> Column:
     """24, 48 or null; exactly one horizon family must match."""
     text = F.lower(normalize_evidence(ascii_digits(value)))
     matches = {
-        hours: text.rlike("(?iU)" + "|".join(patterns)) for hours, patterns in fv.HORIZON_PATTERNS.items()
+        hours: text.rlike("(?iU)" + spelled("|".join(patterns))) for hours, patterns in fv.HORIZON_PATTERNS.items()
     }
     return F.when(
         ~text.rlike("(?iU)" + fv.HORIZON_RANGE) & (matches[24] != matches[48]),
@@ -89,24 +99,9 @@ def evidence_tokens(value: Column) -> Column:
     )
 
 
-def _occurrences(tokens: Column) -> Column:
-    """Tokens tagged with their running count, turning a multiset into a set."""
-    ordered = F.array_sort(tokens)
-    return F.transform(
-        ordered, lambda token, i: F.concat_ws("\u0001", token, (i - F.array_position(ordered, token)).cast("string"))
-    )
-
-
-def token_overlap(left: Column, right: Column) -> Column:
-    """Shared tokens over the shorter side; for evidence of bounded length."""
-    shorter = F.least(F.size(left), F.size(right))
-    shared = F.size(F.array_intersect(_occurrences(left), _occurrences(right)))
-    return F.when(shorter > 0, shared.cast("double") / shorter.cast("double")).otherwise(F.lit(0.0))
-
-
 def numeric_tokens(value: Column) -> Column:
     """Distinct canonical decimals in the text, in first-seen order."""
-    found = F.regexp_extract_all(ascii_digits(value), F.lit("(?U)" + fv.NUMBER_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(ascii_digits(value), F.lit("(?U)" + spelled(fv.NUMBER_PATTERN)), F.lit(0))
 
     def canonical(raw: Column) -> Column:
         plain = F.translate(F.translate(raw, ",٬+", ""), "٫", ".")
@@ -163,7 +158,7 @@ def srt_time(seconds: Column) -> Column:
 
 def format_evidence_numbers(value: Column) -> Column:
     """Decimals with three or more places become ``1,234.57``; a plus sign stays."""
-    pattern = r"(?U)(?<![\w.])([+-]?\d+\.\d{3,})(?![\w.])"
+    pattern = "(?U)" + spelled(r"(?<![\w.])([+-]?\d+\.\d{3,})(?![\w.])")
     pieces = F.split(value, pattern, -1)
     numbers = F.regexp_extract_all(value, F.lit(pattern), F.lit(1))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.plans import outcomes  # noqa: F401
+from hindcast.plans import outcomes, scores, series, texts  # noqa: F401
 from hindcast.plans.registry import CHECKS, PLANS, Plan
 
 

@@ -86,13 +86,142 @@ VIEW_SQL: dict[str, str] = {
           ('refund', 'unavailable', 'Operator-provided CSV', 'non_continuous', 3600, 259200, 259200, 4, 'CSV source not found'),
           ('newsletter', 'available', 'Operator-provided CSV', NULL, NULL, NULL, NULL, NULL, NULL)
         ) AS t(series_key, status, provider, session_type, cadence, gap, tolerance, minimum, error)""",
+    # every event as a raw text bar; users 0-6 (mod 10) carry faults of all kinds
+    "ticks": """
+        SELECT event_type || '-' || (user_id % 10) AS series_key, event_id AS row_no, ts, fault,
+          CASE fault WHEN 1 THEN '' WHEN 2 THEN ts || '' WHEN 3 THEN 'not a time' WHEN 4 THEN ({hour}) || 'Z'
+            WHEN 5 THEN (ts - INTERVAL '2' HOUR) || 'Z' WHEN 6 THEN ts || '+03:30'
+            ELSE ts || CASE event_id % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+00:00' ELSE '-0000' END END AS timestamp_utc,
+          CASE fault WHEN 7 THEN 'nan' WHEN 8 THEN '1d' ELSE value || '' END AS open,
+          CASE fault WHEN 9 THEN (value - 9) || '' WHEN 10 THEN (value + 0.5) || '' ELSE (value + 5) || '' END AS high,
+          CASE fault WHEN 11 THEN (value + 0.5) || '' ELSE (value - 5) || '' END AS low,
+          CASE fault WHEN 12 THEN 'Infinity' WHEN 13 THEN NULL ELSE (value + 1) || '' END AS close,
+          CASE fault WHEN 14 THEN 'abc' WHEN 15 THEN '-1.5' WHEN 18 THEN NULL ELSE '10' END AS volume,
+          CASE fault WHEN 16 THEN 'x1' WHEN 17 THEN '-3' WHEN 18 THEN NULL ELSE '7' END AS trade_count
+        FROM (SELECT *, CASE WHEN user_id % 10 < 7 THEN event_id % 211 ELSE 0 END AS fault FROM {events})""",
+    # one declared policy per part: valid and broken ones
+    "policies": """
+        SELECT p_partkey AS series_key,
+          CASE p_partkey % 9 WHEN 8 THEN 'sometimes' WHEN 7 THEN NULL WHEN 0 THEN 'continuous' WHEN 1 THEN 'continuous'
+            WHEN 2 THEN 'continuous' ELSE 'non_continuous' END AS session_type,
+          CAST(CASE WHEN p_partkey % 9 = 7 AND p_partkey % 2 = 0 THEN NULL WHEN p_size % 10 = 9 THEN -1
+            ELSE CASE p_size % 4 WHEN 0 THEN 60 WHEN 1 THEN 300 WHEN 2 THEN 3600 ELSE 7000 END END AS DOUBLE) AS cadence_seconds,
+          CAST(CASE WHEN p_partkey % 9 = 7 AND p_partkey % 2 = 0 THEN NULL WHEN p_size % 13 = 12 THEN 0 WHEN p_partkey % 9 < 3
+            THEN CASE p_size % 4 WHEN 0 THEN 60 WHEN 1 THEN 303 WHEN 2 THEN 3700 ELSE 7000 END ELSE 2000 * (p_partkey % 5) END AS DOUBLE) AS maximum_gap_seconds,
+          CAST(CASE WHEN p_partkey % 9 = 7 AND p_partkey % 2 = 0 THEN NULL WHEN p_partkey % 9 < 3
+            THEN CASE p_size % 4 WHEN 0 THEN 60 WHEN 1 THEN 310 WHEN 2 THEN 3600 ELSE 7000 END ELSE 3000 * (p_partkey % 4) END AS DOUBLE) AS boundary_tolerance_seconds,
+          CASE WHEN p_partkey % 9 = 7 AND p_partkey % 2 = 0 THEN NULL WHEN p_partkey % 9 < 2
+            THEN CASE p_size % 4 WHEN 0 THEN 1440 WHEN 1 THEN 288 WHEN 2 THEN 24 ELSE 13 END
+            ELSE CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 30 WHEN 4 THEN 150 ELSE 2000 END END AS minimum_bars_per_24h
+        FROM {part}""",
+    # score rows at scale: every line item is one scored claim of an audit
+    "score_rows": """
+        SELECT l_suppkey % 20 AS audit_id, l_orderkey AS video_id, l_shipdate AS upload_date,
+          CASE l_partkey % 4 WHEN 0 THEN 'crypto' WHEN 1 THEN 'global_markets' WHEN 2 THEN 'local_markets' ELSE 'unknown' END AS category,
+          outcome AS result,
+          CASE outcome WHEN 'correct' THEN CAST(1 AS DOUBLE) WHEN 'partially_correct' THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score,
+          outcome IN ('correct', 'partially_correct', 'incorrect') AS counts_in_final_score,
+          l_discount AS scoring_confidence,
+          l_orderkey * 1000000 + l_partkey AS claim_id
+        FROM (SELECT *, CASE (l_partkey + l_linenumber) % 8 WHEN 0 THEN 'correct' WHEN 1 THEN 'correct' WHEN 2 THEN 'partially_correct'
+            WHEN 3 THEN 'partially_correct' WHEN 4 THEN 'incorrect' WHEN 5 THEN 'not_triggered' WHEN 6 THEN 'insufficient_data'
+            ELSE 'not_scoreable' END AS outcome FROM {lineitem})""",
+    # judged scores for the claims: some unknown ids, some repeated ones, many broken rows
+    "judged": """
+        SELECT CASE WHEN event_id % 37 = 5 THEN -event_id WHEN event_id % 41 = 7 THEN event_id - 1 ELSE event_id END AS claim_id,
+          CASE WHEN event_id % 53 = 9 THEN user_id + 1 ELSE user_id END AS video_id, verdict AS result,
+          CAST(CASE verdict WHEN 'correct' THEN CASE WHEN event_id % 29 = 0 THEN 0.5 ELSE 1 END WHEN 'partially_correct' THEN 0.5
+            WHEN 'not_triggered' THEN CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END ELSE 0 END AS DOUBLE) AS score,
+          verdict IN ('correct', 'partially_correct', 'incorrect') AS counts_in_final_score,
+          CASE WHEN verdict = 'not_triggered' AND event_id % 5 > 0 THEN 'not_triggered'
+            WHEN CAST(floor(event_id / 11) AS BIGINT) % 5 IN (1, 2) THEN 'triggered' WHEN event_id % 23 = 1 THEN 'unclear'
+            ELSE 'not_applicable' END AS trigger_status,
+          CASE WHEN verdict = 'insufficient_data' AND event_id % 3 > 0 THEN 'partial' WHEN event_id % 19 = 2 THEN 'insufficient'
+            ELSE 'sufficient' END AS data_sufficiency,
+          CASE WHEN verdict = 'not_scoreable' AND event_id % 3 > 0 THEN NULL WHEN event_id % 10 IN (1, 3) THEN '48h' ELSE '24h' END AS evaluation_window,
+          (event_id % 100) / CAST(100 AS DOUBLE) AS scoring_confidence,
+          CASE event_id % 4 WHEN 0 THEN 'crypto' WHEN 1 THEN 'global_markets' WHEN 2 THEN 'local_markets' ELSE 'unknown' END AS category,
+          CASE WHEN event_id % 43 = 0 THEN '' ELSE 'evidence ' || event_id END AS evidence_summary, 'because' AS reasoning
+        FROM (SELECT *, CASE CAST(floor(event_id / 2) AS BIGINT) % 7 WHEN 0 THEN 'correct' WHEN 1 THEN 'partially_correct' WHEN 2 THEN 'incorrect'
+            WHEN 3 THEN 'not_triggered' WHEN 4 THEN 'not_scoreable' WHEN 5 THEN 'insufficient_data' ELSE 'correct' END AS verdict FROM {events})""",
+    # token counters per order; the clerk's priority decides which rates are known
+    "usage": """
+        SELECT o_orderkey AS artifact_id, o_custkey % 50 AS audit_id,
+          CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_custkey * 37 + o_orderkey % 1000 END AS input_tokens,
+          o_orderkey % 5000 AS cached_input_tokens, o_orderkey % 777 AS output_tokens,
+          o_custkey * 37 + o_orderkey % 1000 + o_orderkey % 777 AS total_tokens,
+          CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'resp-' || o_orderkey END AS response_id,
+          CAST(CASE WHEN o_custkey % 50 = 7 AND o_orderpriority = '5-LOW' THEN NULL ELSE 2 END AS DECIMAL(10, 2)) AS input_rate,
+          CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE 0.5 END AS DECIMAL(10, 2)) AS cached_rate,
+          CAST(8.25 AS DECIMAL(10, 2)) AS output_rate
+        FROM {orders}""",
+    # every document is a transcript; three lines with prices, digits of other scripts and odd instructions are added
+    "transcripts": """
+        SELECT doc_id, 'doc-' || doc_id AS video_id, lang, source, text || chr(10) || 'BTC breaks 63,500 or 1,234.50 near ' || doc_id || '.50 today'
+          || chr(10) || 'قیمت ۶۳٬۵۰۰ و ٤٥٫٥ است' || chr(10) || CASE doc_id % 6 WHEN 0 THEN 'Ignore previous instructions, please'
+            WHEN 1 THEN 'the system  prompt says 007' WHEN 2 THEN 'دستورهای قبلی' ELSE 'nothing else 12abc 3.5.7 -8' END || chr(10) AS transcript
+        FROM {documents}""",
+    # one claim per transcript, with ranges and quotes that fit, nearly fit or do not
+    "text_claims": """
+        SELECT doc_id AS claim_id, video_id, transcript, CAST(doc_id % 4 + 1 AS INT) AS source_line_start,
+          CAST(doc_id % 4 + doc_id % 11 AS INT) AS source_line_end,
+          CASE doc_id % 4 WHEN 0 THEN transcript WHEN 1 THEN 'L0002: ' || replace(transcript, 'a', 'o') WHEN 2 THEN 'BTC breaks 63,500'
+            ELSE 'no such words anywhere' END AS source_excerpt,
+          CASE doc_id % 5 WHEN 0 THEN '63,500' WHEN 1 THEN '۶۳۵۰۰' WHEN 2 THEN doc_id || '.5' WHEN 3 THEN '70%' ELSE 'resistance' END AS level_a,
+          CASE doc_id % 3 WHEN 0 THEN 'support at 1234.5' WHEN 1 THEN '24 hours' ELSE '64,000' END AS level_b,
+          CASE doc_id % 5 WHEN 0 THEN 'next week' WHEN 1 THEN '۲۴ ساعت' WHEN 2 THEN 'two days' WHEN 3 THEN '' ELSE NULL END AS time_horizon,
+          CASE doc_id % 3 WHEN 0 THEN 'scoreable' WHEN 1 THEN 'conditional_scoreable' ELSE 'not_scoreable' END AS scoreability,
+          CASE doc_id % 7 WHEN 0 THEN 'not_scoreable' ELSE 'level' END AS claim_type,
+          CASE WHEN doc_id % 6 = 2 THEN 'vague' ELSE NULL END AS not_scoreable_reason,
+          CASE WHEN doc_id % 4 = 1 THEN 'if it holds' WHEN doc_id % 4 = 2 THEN '   ' ELSE NULL END AS condition
+        FROM {transcripts}""",
+    # captions: two of three documents get a header and a cue before every line
+    "captions": """
+        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN body ELSE
+            'WEBVTT' || chr(10) || chr(10) || 'intro' || chr(10) || cue || chr(10) || replace(body, chr(10), chr(10) || chr(10) || '17' || chr(10) || cue || chr(10)) END AS text
+        FROM (SELECT doc_id, replace(replace(text, ' the ', ' <b>the</b>  '), ' de ', ' ' || chr(123) || chr(92) || 'an8' || chr(125) || 'de ') AS body,
+          CASE WHEN doc_id % 2 = 0 THEN '01:' ELSE '' END || lpad(CAST(doc_id % 60 AS STRING), 2, '0') || ':05,250 --> ' ||
+          CASE WHEN doc_id % 2 = 0 THEN '01:' ELSE '' END || lpad(CAST((doc_id + doc_id % 3 - 1 + 60) % 60 AS STRING), 2, '0') || ':07.500 align:start' AS cue FROM {documents})""",
+    # documents as source videos of channels
+    "videos": """
+        SELECT d.doc_id, 'doc-' || d.doc_id AS video_id, d.source AS channel_key, CASE WHEN d.doc_id % 29 = 0 THEN NULL ELSE d.source END AS channel_id, d.lang,
+          CASE d.doc_id % 5 WHEN 0 THEN 'BTC daily  scenario' WHEN 1 THEN 'Method of whether markets open' WHEN 2 THEN 'S&P and xau' WHEN 3 THEN 'تحلیل بیت‌کوین امروز' ELSE 'Local market view' END AS title,
+          d.text AS description, CASE WHEN d.doc_id % 23 = 0 THEN 'macro_desk' ELSE '' END AS audit_category,
+          CASE d.doc_id % 13 WHEN 11 THEN '2024-01-0' WHEN 12 THEN NULL ELSE '202401' || lpad(CAST(d.doc_id % 31 + 1 AS STRING), 2, '0') END AS upload_date_raw,
+          CASE d.doc_id % 4 WHEN 0 THEN 1704067200 + d.doc_id WHEN 1 THEN 0 ELSE NULL END AS release_timestamp,
+          CASE d.doc_id % 3 WHEN 0 THEN 1704067200 + d.doc_id * 60 WHEN 1 THEN 0 ELSE NULL END AS timestamp,
+          d.doc_id % 10 = 0 AS provided_source, l.doc_id IS NOT NULL AS has_subtitle,
+          CASE WHEN l.doc_id IS NULL OR d.doc_id % 17 = 0 THEN '' ELSE d.text END AS clean_text,
+          CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.doc_id % 4 = 0 THEN 'x.en.ai.srt' WHEN d.doc_id % 4 = 1 THEN 'x.provided.fr.txt'
+            WHEN d.doc_id % 4 = 2 THEN 'x.EN.vtt' ELSE 'x.de.vtt' END AS subtitle_file,
+          CASE d.doc_id % 4 WHEN 0 THEN 'crypto' WHEN 1 THEN 'global_markets' WHEN 2 THEN 'unknown' ELSE 'local_markets' END AS category
+        FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
+    "log_lines": """
+        SELECT user_id AS log_id, event_id AS line_no, CASE event_id % 8 WHEN 0 THEN 'ERROR: ' || event_type WHEN 1 THEN 'WARNING: slow'
+          WHEN 2 THEN '[download] 2024-01-' || lpad(CAST(event_id % 28 + 1 AS STRING), 2, '0') || ' upload date is not in range'
+          WHEN 3 THEN '[download] Downloading item ' || (event_id % 50) || ' of ' || (100 + user_id % 200) WHEN 4 THEN ' ERROR: indented'
+          ELSE event_type END AS line
+        FROM {events}""",
+}
+# Fragments the two engines spell differently.
+FRAGMENTS = {
+    "hour": ("CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ)", "date_trunc('hour', ts)"),
+    "day": ("CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ)", "CAST(date_trunc('day', ts) AS TIMESTAMP)"),
+    "micros": ("unix_micros(CAST(ts AS TIMESTAMP))", "epoch_us(ts)"),
+    "compact_day": ("date_format(ts, 'yyyyMMdd')", "strftime(ts, '%Y%m%d')"),
+    "iso_day": ("date_format(ts, 'yyyy-MM-dd')", "strftime(ts, '%Y-%m-%d')"),
 }
-DUCK_HOUR = "date_trunc('hour', ts)"
-SPARK_HOUR = "CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ)"
+SPARK_SIDE, DUCK_SIDE = 0, 1
+
+
+def _spell(text: str, side: int) -> str:
+    for name, spelling in FRAGMENTS.items():
+        text = text.replace("{" + name + "}", spelling[side])
+    return text
 
 
 def references(text: str) -> list[str]:
-    return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", text)) if n != "hour"]
+    return [n for n in dict.fromkeys(re.findall(r"\{([a-z][a-z_]+)\}", text)) if n not in FRAGMENTS]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,25 +229,26 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     use_utc(spark)
     if name in TABLES:
         return table(spark, sf_dir, name)
-    text = VIEW_SQL[name].replace("{hour}", SPARK_HOUR)
+    text = _spell(VIEW_SQL[name], SPARK_SIDE)
     return spark.sql(text, **{ref: view(spark, sf_dir, ref) for ref in references(text)})
 
 
 def _collect(name: str, seen: dict[str, str]) -> None:
     if name in TABLES or name in seen:
         return
-    text = VIEW_SQL[name].replace("{hour}", DUCK_HOUR)
+    text = _spell(VIEW_SQL[name], DUCK_SIDE)
     for ref in references(text):
         _collect(ref, seen)
-    seen[name] = re.sub(r"\{(\w+)\}", r"\1", text)
+    seen[name] = re.sub(r"\{([a-z][a-z_]+)\}", r"\1", text)
 
 
 def with_views(text: str) -> str:
     """Checking SQL: ``{name}`` references become common table expressions."""
     seen: dict[str, str] = {}
+    text = _spell(text, DUCK_SIDE)
     for ref in references(text):
         _collect(ref, seen)
-    body = re.sub(r"\{(\w+)\}", r"\1", text).strip()
+    body = re.sub(r"\{([a-z][a-z_]+)\}", r"\1", text).strip()
     heads = ",\n".join(f"{name} AS ({sql})" for name, sql in seen.items())
     if not heads:
         return body
