@@ -37,8 +37,13 @@ def clean_bars(raw: DataFrame) -> DataFrame:
     return raw.select(*out)
 
 
-def _checked_rows(bars: DataFrame, key: str, block_rows: int) -> DataFrame:
-    """(key, row_no, ts, broken) with the array of (rank, code) each bar breaks."""
+def _checked_rows(
+    bars: DataFrame, key: str, block_rows: int, history: DataFrame | None = None
+) -> DataFrame:
+    """(key, row_no, ts, broken) with the array of (rank, code) each bar breaks.
+
+    ``history`` holds (key, row_no, ts) of earlier rows that count as seen.
+    """
     have = set(bars.columns)
     flag = lambda name: F.col(name) if name in have else F.lit(False)
     keep = [key, "row_no", "ts", *OHLC] + [
@@ -47,8 +52,12 @@ def _checked_rows(bars: DataFrame, key: str, block_rows: int) -> DataFrame:
     ordered = block_lag(
         bars.select(*keep), [key], "row_no", F.floor(F.col("row_no") / block_rows), "ts", "_prev_ts"
     )
+    stamps = bars.select(key, "row_no", "ts")
+    if history is not None:
+        seen = history.select(key, "row_no", "ts").join(stamps.select(key, "ts").distinct(), [key, "ts"], "left_semi")
+        stamps = stamps.unionByName(seen.select(*stamps.columns))
     repeated = (
-        bars.groupBy(key, "ts")
+        stamps.groupBy(key, "ts")
         .agg(F.min("row_no").alias("_first_row"), F.count(F.lit(1)).alias("_n"))
         .filter("_n > 1 AND ts IS NOT NULL")
         .drop("_n")
@@ -79,13 +88,15 @@ def _checked_rows(bars: DataFrame, key: str, block_rows: int) -> DataFrame:
     return rows.select(key, "row_no", "ts", F.array_compact(F.array(*rules)).alias("broken"))
 
 
-def validate_ohlc(bars: DataFrame, key: str = "series_key", block_rows: int = 65536) -> DataFrame:
+def validate_ohlc(
+    bars: DataFrame, key: str = "series_key", block_rows: int = 65536, history: DataFrame | None = None
+) -> DataFrame:
     """Every rule a bar breaks, as (key, row_no, rank, code) rows.
 
     Order matters and DataFrames have none, so ``row_no`` is the file order.
     Nothing is sorted, repaired or dropped; clean series yield no rows.
     """
-    return _checked_rows(bars, key, block_rows).select(key, "row_no", F.inline("broken"))
+    return _checked_rows(bars, key, block_rows, history).select(key, "row_no", F.inline("broken"))
 
 
 def series_verdicts(bars: DataFrame, key: str = "series_key", block_rows: int = 65536) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.plans import integrity, outcomes, scores, series, texts  # noqa: F401
+from hindcast.plans import files, integrity, outcomes, scores, series, streams, texts  # noqa: F401
 from hindcast.plans.registry import CHECKS, PLANS, Plan
 
 

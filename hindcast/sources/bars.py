@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,16 @@ KLINE_FIELDS = [
 ]
 
 
-def file_key(pattern: str) -> Column:
-    """Series key taken from the file name by a one-group pattern."""
-    return F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), pattern, 1)
+# "<series>.csv" for plain files, "series_key=<series>/" for partitioned ones
+KEY_IN_PATH = r"(?:series_key=([^/]+)/.*|([^/]+)\.csv)$"
+
 
+def path_key() -> Column:
+    path = F.col("_metadata.file_path")
+    return F.concat(F.regexp_extract(path, KEY_IN_PATH, 1), F.regexp_extract(path, KEY_IN_PATH, 2))
 
-def with_file_row_no(rows: DataFrame, keep: list[str]) -> DataFrame:
+
+def with_file_row_no(rows: DataFrame, keep: list) -> DataFrame:
     """Adds ``row_no``, strictly increasing along every text file.
 
     ``rows`` carries ``_file``, ``_offset`` (start of its split) and ``_seq``
@@ -41,14 +47,14 @@ def _file_position() -> list[Column]:
     ]
 
 
-def scan_kline_csv(spark: SparkSession, path: str, key_pattern: str = r"^([^.]+)\.csv") -> DataFrame:
+def scan_kline_csv(spark: SparkSession, path: str) -> DataFrame:
     """Positional kline lines -> bars in file order, with an error per bad line.
 
     Lines are read whole, so that a truncated or overlong line stays visible.
     """
     lines = with_file_row_no(
-        spark.read.text(path).select(file_key(key_pattern).alias("series_key"), *_file_position(), "value"),
-        ["series_key", "value"],
+        spark.read.text(path).select(path_key().alias("series_key"), *_file_position(), "value"),
+        ["series_key", F.col("_file").alias("source_file"), "value"],
     )
     cells = F.split("value", ",")
     first = F.lower(F.trim(cells[0]))
@@ -69,7 +75,9 @@ def scan_kline_csv(spark: SparkSession, path: str, key_pattern: str = r"^([^.]+)
 
 def kline_bars(lines: DataFrame) -> DataFrame:
     """Bars of the well-formed kline lines."""
-    return lines.filter("NOT is_header AND error IS NULL").select("series_key", "row_no", *_kline_columns("cells"))
+    return lines.filter("NOT is_header AND error IS NULL").select(
+        "series_key", "source_file", "row_no", *_kline_columns("cells")
+    )
 
 
 def _kline_columns(cells: str) -> list[Column]:
@@ -84,14 +92,14 @@ def _kline_columns(cells: str) -> list[Column]:
 
 def kline_verdicts(lines: DataFrame) -> DataFrame:
     """Per file: a header below line one or any bad line rejects it."""
-    per_key = lines.groupBy("series_key").agg(
+    per_key = lines.groupBy("series_key", "source_file").agg(
         F.max(F.when(F.col("is_header"), F.col("row_no"))).alias("_last_header"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("row_no"))).alias("_error"),
         F.count_if(~F.col("is_header")).alias("lines"),
     )
     late = F.col("_last_header") > 0
     return per_key.select(
-        "series_key", "lines", F.coalesce("_error", F.when(late, "non_numeric_timestamp")).alias("reason")
+        "series_key", "source_file", "lines", F.coalesce("_error", F.when(late, "non_numeric_timestamp")).alias("reason")
     )
 
 
@@ -105,7 +113,7 @@ def scan_kline_json(payloads: DataFrame) -> DataFrame:
     return rows.select("series_key", "row_no", *_kline_columns("cells"), error.alias("error"))
 
 
-def scan_series_csv(spark: SparkSession, path: str, columns: list[str], key_pattern: str = r"^([^.]+)\.csv") -> DataFrame:
+def scan_series_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Operator CSV with a header -> typed bars in file order, nothing repaired.
 
     ``columns`` is the declared header in file order. Rows with more fields than
@@ -122,7 +130,7 @@ def scan_series_csv(spark: SparkSession, path: str, columns: list[str], key_patt
     )
     volume = F.nullif(F.col("volume"), F.lit("")) if "volume" in columns else F.lit(None).cast("string")
     located = rows.select(
-        file_key(key_pattern).alias("series_key"),
+        path_key().alias("series_key"),
         *_file_position(),
         "timestamp_utc", "open", "high", "low", "close",
         volume.alias("volume"),
@@ -178,7 +186,7 @@ def scan_series_sidecar(payloads: DataFrame) -> DataFrame:
         value = F.col(name)
         texts.append((value.isNull() | (F.trim(value) == "") | (F.length(value) > 128), f"{name}_missing_or_long"))
         texts.append((value.rlike(control), f"{name}_control_characters"))
-    zone = F.col("timezone").rlike(r"^(?:UTC|GMT|Etc/[A-Za-z0-9+-]+|[A-Z][A-Za-z_]+(?:/[A-Z][A-Za-z_+-]+)+)$")
+    zone = F.trim("timezone").isin(sorted(zoneinfo.available_timezones()))
     url = F.col("license.source_url")
     rules = [
         (F.col("_keys").isNull(), "not_a_json_object"),
