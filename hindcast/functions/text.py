@@ -60,11 +60,8 @@ def ascii_digits(value: Column) -> Column:
 
 def lines_of(value: Column) -> Column:
     """Line array; a final line break does not open another line."""
-    lines = F.split(value, LINE_BREAK)
-    last = F.element_at(lines, -1)
-    return F.when(
-        last == "", F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
-    ).otherwise(lines)
+    body = F.regexp_replace(value, rf"(?:{LINE_BREAK})\z", "")
+    return F.when(value == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK))
 
 
 def number_line(position: Column, line: Column) -> Column:

@@ -37,20 +37,21 @@ def clean_bars(raw: DataFrame) -> DataFrame:
     return raw.select(*out)
 
 
-def _checked_rows(
-    bars: DataFrame, key: str, block_rows: int, history: DataFrame | None = None
+def checked_bars(
+    bars: DataFrame, key: str = "series_key", block_rows: int = 65536, history: DataFrame | None = None
 ) -> DataFrame:
-    """(key, row_no, ts, broken) with the array of (rank, code) each bar breaks.
+    """Bars with ``prev_ts`` (row before in file order) and ``broken``.
 
-    ``history`` holds (key, row_no, ts) of earlier rows that count as seen.
+    ``broken`` is the array of (rank, code) a bar violates, empty when it is
+    sound. Order matters and DataFrames have none, so ``row_no`` is the file
+    order. ``history`` holds (key, row_no, ts) of earlier rows that count as seen.
     """
     have = set(bars.columns)
     flag = lambda name: F.col(name) if name in have else F.lit(False)
-    keep = [key, "row_no", "ts", *OHLC] + [
-        c for c in ("ts_error", "volume", "volume_invalid", "trade_count", "trade_count_invalid") if c in have
-    ]
+    extra = ("ts_error", "volume", "volume_invalid", "trade_count", "trade_count_invalid")
+    kept = [key, "row_no", "ts", *OHLC, *[c for c in extra if c in have]]
     ordered = block_lag(
-        bars.select(*keep), [key], "row_no", F.floor(F.col("row_no") / block_rows), "ts", "_prev_ts"
+        bars.select(*kept), [key], "row_no", F.floor(F.col("row_no") / block_rows), "ts", "prev_ts"
     )
     stamps = bars.select(key, "row_no", "ts")
     if history is not None:
@@ -71,7 +72,7 @@ def _checked_rows(
     bodies = [
         (ts_error.isNotNull(), F.concat(F.lit("timestamp_"), ts_error)),
         (duplicate, F.lit("duplicate_timestamp")),
-        (~duplicate & (F.col("ts") <= F.col("_prev_ts")), F.lit("timestamps_not_increasing")),
+        (~duplicate & (F.col("ts") <= F.col("prev_ts")), F.lit("timestamps_not_increasing")),
         (missing, F.lit("missing_ohlc")),
         (F.col("high") < F.col("low"), F.lit("high_below_low")),
         (F.col("high") < F.greatest("open", "close"), F.lit("high_below_body")),
@@ -85,7 +86,7 @@ def _checked_rows(
         F.when(condition, F.struct(F.lit(rank).alias("rank"), code.alias("code")))
         for rank, (condition, code) in enumerate(bodies, start=1)
     ]
-    return rows.select(key, "row_no", "ts", F.array_compact(F.array(*rules)).alias("broken"))
+    return rows.select(key, "row_no", "ts", "prev_ts", *OHLC, F.array_compact(F.array(*rules)).alias("broken"))
 
 
 def validate_ohlc(
@@ -93,30 +94,29 @@ def validate_ohlc(
 ) -> DataFrame:
     """Every rule a bar breaks, as (key, row_no, rank, code) rows.
 
-    Order matters and DataFrames have none, so ``row_no`` is the file order.
     Nothing is sorted, repaired or dropped; clean series yield no rows.
     """
-    return _checked_rows(bars, key, block_rows, history).select(key, "row_no", F.inline("broken"))
+    return checked_bars(bars, key, block_rows, history).select(key, "row_no", F.inline("broken"))
 
 
-def series_verdicts(bars: DataFrame, key: str = "series_key", block_rows: int = 65536) -> DataFrame:
+def verdicts_of(checked: DataFrame, key: str = "series_key") -> DataFrame:
     """One row per series: counts, range, and the first failing row if any."""
     bad = F.size("broken") > 0
-    return (
-        _checked_rows(bars, key, block_rows)
-        .groupBy(key)
-        .agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.min("ts").alias("first_ts"),
-            F.max("ts").alias("last_ts"),
-            F.sum(F.size("broken")).cast("bigint").alias("violations"),
-            F.min(F.when(bad, F.col("row_no"))).alias("first_bad_row"),
-            F.min_by(F.col("broken")[0]["code"], F.when(bad, F.col("row_no"))).alias("reason"),
-        )
-        .withColumn("valid", F.col("first_bad_row").isNull())
+    return checked.groupBy(key).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.sum(F.size("broken")).cast("bigint").alias("violations"),
+        F.min(F.when(bad, F.col("row_no"))).alias("first_bad_row"),
+        F.min_by(F.col("broken")[0]["code"], F.when(bad, F.col("row_no"))).alias("reason"),
+        (F.count_if(bad) == 0).alias("valid"),
     )
 
 
+def series_verdicts(bars: DataFrame, key: str = "series_key", block_rows: int = 65536) -> DataFrame:
+    return verdicts_of(checked_bars(bars, key, block_rows), key)
+
+
 def series_validation_summary(bars: DataFrame, key: str = "series_key") -> DataFrame:
     return bars.groupBy(key).agg(
         F.count(F.lit(1)).alias("row_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")

@@ -96,14 +96,10 @@ def join_claim_video(claims: DataFrame, videos: DataFrame) -> DataFrame:
     return claims.join(videos.select("video_id", "published_at", "published_at_source"), "video_id")
 
 
-def category_expr(text: Column, rules: dict[str, list[str]]) -> Column:
-    """First category in rule order with a whole-word keyword in ``text``."""
-    normalized = tx.search_text(text)
+def category_expr(normalized: Column, rules: dict[str, list[str]]) -> Column:
+    """First category in rule order with a whole-word keyword in search text."""
     return F.coalesce(
-        *[
-            F.when(normalized.rlike(tx.any_keyword_pattern(words)), F.lit(category))
-            for category, words in rules.items()
-        ]
+        *[F.when(normalized.rlike(tx.any_keyword_pattern(words)), F.lit(category)) for category, words in rules.items()]
     )
 
 
@@ -118,16 +114,16 @@ def classify_category(
 ) -> DataFrame:
     """Explicit category, else override, else title rules, else description rules."""
     rules = rules or merge_rules()
-    rows = videos
+    rows = videos.withColumns({f"_{c}": tx.search_text(F.col(c)) for c in ("title", "description")})
     override = F.lit(None).cast("string")
     if overrides is not None:
-        rows = videos.join(overrides.withColumnRenamed("category", "_override"), "video_id", "left")
+        rows = rows.join(overrides.withColumnRenamed("category", "_override"), "video_id", "left")
         override = F.col("_override")
     explicit = F.nullif(F.col("audit_category"), F.lit("")) if "audit_category" in videos.columns else None
-    choices = [override, category_expr(F.col("title"), rules), category_expr(F.col("description"), rules), F.lit("unknown")]
+    choices = [override, category_expr(F.col("_title"), rules), category_expr(F.col("_description"), rules), F.lit("unknown")]
     if explicit is not None:
         choices.insert(0, explicit)
-    return rows.withColumn("category", F.coalesce(*choices)).drop("_override")
+    return rows.withColumn("category", F.coalesce(*choices)).drop("_override", "_title", "_description")
 
 
 def keyword_theta_join(texts: DataFrame, text: str, rules: dict[str, list[str]], keep: list[str]) -> DataFrame:

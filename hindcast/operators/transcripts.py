@@ -17,11 +17,11 @@ def caption_lines(captions: DataFrame, key: str = "video_id", text: str = "text"
     Whether a file is timed is decided on its line array before it is exploded,
     so no window over the file is needed for it.
     """
-    raw = tx.lines_of(F.regexp_replace(F.col(text), "^\ufeff+", ""))
-    any_cue = F.exists(raw, lambda line: line.rlike(_CUE_LINE))
-    lines = captions.select(
-        key, any_cue.alias("timed"), F.posexplode(raw).alias("pos", "raw_line")
-    ).withColumn("line_text", tx.strip(F.col("raw_line")))
+    arrays = captions.select(key, tx.lines_of(F.regexp_replace(F.col(text), "^\ufeff+", "")).alias("_lines"))
+    timed = arrays.withColumn("timed", F.exists("_lines", lambda line: line.rlike(_CUE_LINE)))
+    lines = timed.select(key, "timed", F.posexplode("_lines").alias("pos", "raw_line")).withColumn(
+        "line_text", tx.strip(F.col("raw_line"))
+    )
     is_cue = F.col("line_text").rlike(_CUE_LINE)
     start = tx.cue_seconds(F.regexp_extract("line_text", _CUE_LINE, 1))
     end = tx.cue_seconds(F.regexp_extract("line_text", _CUE_LINE, 2))

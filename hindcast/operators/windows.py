@@ -45,12 +45,19 @@ def series_profile(series: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def usable_bars(bars: DataFrame, profile: DataFrame) -> DataFrame:
-    """Bars of series that can be windowed, with policy and gap to the bar before."""
+def prepare(bars: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(profile, usable bars): every bar is checked once, not once per claim.
+
+    Usable bars belong to series that can be windowed; they carry the policy and
+    the gap to the bar before, which in a sound series is the row before.
+    """
+    checked = quality.checked_bars(bars)
+    profile = series_profile(series, quality.verdicts_of(checked))
     ready = profile.filter("blocked_status IS NULL").select("series_key", *POLICY)
-    return quality.lag_gap(
-        bars.select("series_key", "ts", "open", "high", "low", "close").join(ready, "series_key")
+    usable = checked.drop("broken").join(ready, "series_key").withColumn(
+        "gap_seconds", nums.seconds_between(F.col("ts"), F.col("prev_ts"))
     )
+    return profile, usable
 
 
 def asof_entry_bar(anchors: DataFrame, bars: DataFrame, profile: DataFrame) -> DataFrame:
@@ -58,7 +65,7 @@ def asof_entry_bar(anchors: DataFrame, bars: DataFrame, profile: DataFrame) -> D
 
     ``anchors`` has (series_key, anchor) and keeps all its columns and rows;
     adds ``entry_ts`` and ``entry_status`` (null, ``no_bar_after_publication`` or
-    ``next_tradable_bar_too_late``). ``bars`` comes from ``usable_bars``.
+    ``next_tradable_bar_too_late``). ``bars`` are the usable ones of ``prepare``.
     """
     limit = F.col("maximum_gap_seconds")
     width = F.col("cadence_seconds")
@@ -138,13 +145,12 @@ def window_ohlc(entries: DataFrame, bars: DataFrame, hours: tuple[int, ...] = fv
     (series_key, entry_ts, hours, ...).
     """
     joined = range_join_window(
-        entries, bars, max(hours),
-        ["open", "high", "low", "close", "gap_seconds", "cadence_seconds", "maximum_gap_seconds"],
+        entries, bars, max(hours), ["open", "high", "low", "close", "gap_seconds", *POLICY]
     )
     gap, cadence, maximum = F.col("gap_seconds"), F.col("cadence_seconds"), F.col("maximum_gap_seconds")
     inner_gap = F.when(F.col("ts") > F.col("entry_ts"), gap)
     joined = joined.select(
-        "series_key", "entry_ts", "ts", "open", "high", "low", "close",
+        "series_key", "entry_ts", "ts", "open", "high", "low", "close", *POLICY,
         inner_gap.alias("gap"),
         F.coalesce(quality.irregular_gap(inner_gap, cadence), F.lit(False)).alias("irregular"),
         F.coalesce(quality.excessive_gap(inner_gap, maximum, cadence), F.lit(False)).alias("excessive"),
@@ -166,7 +172,8 @@ def window_ohlc(entries: DataFrame, bars: DataFrame, hours: tuple[int, ...] = fv
             F.count_if(inside & F.col("irregular")).alias(f"irregular_gaps_{h}"),
             F.count_if(inside & F.col("excessive")).alias(f"excessive_gaps_{h}"),
         ]
-    wide = joined.groupBy("series_key", "entry_ts").agg(*aggregates)
+    # the policy is the same on every bar of a series
+    wide = joined.groupBy("series_key", "entry_ts").agg(*aggregates, *[F.any_value(c).alias(c) for c in POLICY])
     plain = ["bar_count", "open", "high", "low", "close", "last_bar_ts",
              "maximum_observed_gap_seconds", "irregular_gaps", "excessive_gaps"]
     per_hour = [
@@ -178,7 +185,7 @@ def window_ohlc(entries: DataFrame, bars: DataFrame, hours: tuple[int, ...] = fv
         )
         for h in hours
     ]
-    return wide.select("series_key", "entry_ts", F.inline(F.array(*per_hour)))
+    return wide.select("series_key", "entry_ts", *POLICY, F.inline(F.array(*per_hour)))
 
 
 def window_returns(windows: DataFrame) -> DataFrame:
@@ -197,21 +204,19 @@ def rounded_returns(windows: DataFrame) -> DataFrame:
     return windows.withColumns({c: nums.round_half_even(F.col(c), 6) for c in RETURN_COLUMNS})
 
 
-def window_coverage(windows: DataFrame, profile: DataFrame) -> DataFrame:
+def window_coverage(windows: DataFrame) -> DataFrame:
     """Adds window end, coverage figures, reasons and note."""
-    end = F.when(F.col("hours") == 24, F.col("entry_ts") + _hours(24)).otherwise(F.col("entry_ts") + _hours(48))
-    generic = F.col("entry_ts") + F.make_dt_interval(hours=F.col("hours"))
+    end = F.col("entry_ts") + F.make_dt_interval(hours=F.col("hours"))
     return (
-        windows.join(profile.select("series_key", *POLICY), "series_key")
-        .withColumn("window_end", F.when(F.col("hours").isin(24, 48), end).otherwise(generic))
-        .withColumn("minimum_required_bars", quality.minimum_bars(F.col("hours")))
+        windows.withColumns({"window_end": end, "minimum_required_bars": quality.minimum_bars(F.col("hours"))})
         .withColumn(
             "boundary_lag_seconds",
             F.greatest(nums.seconds_between(F.col("window_end"), F.col("last_bar_ts")), F.lit(0.0)),
         )
         .withColumn("reasons", quality.coverage_reasons())
-        .withColumn("coverage_complete", F.size("reasons") == 0)
-        .withColumn("coverage_note", quality.coverage_note(F.col("reasons")))
+        .withColumns(
+            {"coverage_complete": F.size("reasons") == 0, "coverage_note": quality.coverage_note(F.col("reasons"))}
+        )
     )
 
 
@@ -260,7 +265,7 @@ def level_events(
 def outcome_windows(
     assets: DataFrame,
     bars: DataFrame,
-    profile: DataFrame,
+    series: DataFrame,
     as_of: Column,
     hours: tuple[int, ...] = fv.HORIZON_HOURS,
 ) -> DataFrame:
@@ -268,17 +273,21 @@ def outcome_windows(
 
     ``assets`` are available (claim_id, asset_pos, series_key, anchor) rows.
     """
-    usable = usable_bars(bars, profile)
+    profile, usable = prepare(bars, series)
     located = asof_entry_bar(assets, usable, profile)
     entries = located.filter("entry_ts IS NOT NULL").select("series_key", "entry_ts").distinct()
     stats = window_status(
-        rounded_returns(window_returns(window_coverage(window_ohlc(entries, usable, hours), profile))), as_of
+        rounded_returns(window_returns(window_coverage(window_ohlc(entries, usable, hours)))), as_of
     ).drop(*POLICY, "elapsed")
-    spread = located.withColumn("hours", F.explode(F.array(*[F.lit(h) for h in hours])))
-    joined = spread.join(stats, ["series_key", "entry_ts", "hours"], "left")
-    return joined.withColumn("status", F.coalesce("entry_status", "status")).withColumn(
-        "complete", F.col("status") == "complete"
-    ).drop("entry_status")
+    # a located row meets its horizons in the join; only the others are spread here
+    joined = located.join(stats.withColumnRenamed("hours", "_hours"), ["series_key", "entry_ts"], "left")
+    every = F.array(*[F.lit(h) for h in hours])
+    spread = joined.withColumn(
+        "hours", F.explode(F.when(F.col("_hours").isNull(), every).otherwise(F.array("_hours")))
+    )
+    return spread.withColumns(
+        {"status": F.coalesce("entry_status", "status"), "complete": F.coalesce("entry_status", "status") == "complete"}
+    ).drop("entry_status", "_hours")
 
 
 def claim_levels(located: DataFrame) -> DataFrame:

@@ -18,10 +18,9 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def profile(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.series_profile(
-        view(spark, sf, "series"), quality.series_verdicts(view(spark, sf, "bars"))
-    )
+def prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Series profile and usable bars."""
+    return windows.prepare(view(spark, sf, "bars"), view(spark, sf, "series"))
 
 
 def resolved_assets(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,16 +41,19 @@ def available_assets(spark: SparkSession, sf: str) -> DataFrame:
     return resolved_assets(spark, sf).filter("asset_status = 'available'")
 
 
-def located_assets(spark: SparkSession, sf: str) -> DataFrame:
-    prof = profile(spark, sf)
-    usable = windows.usable_bars(view(spark, sf, "bars"), prof)
+def located_assets(spark: SparkSession, sf: str, bars: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    profile, usable = bars or prepared(spark, sf)
     rows = available_assets(spark, sf).select("claim_id", "asset_pos", "series_key", "anchor", "levels")
-    return windows.asof_entry_bar(rows, usable, prof)
+    return windows.asof_entry_bar(rows, usable, profile)
+
+
+def entry_bars(located: DataFrame) -> DataFrame:
+    return located.filter("entry_ts IS NOT NULL").select("series_key", "entry_ts").distinct()
 
 
 def outcome_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = available_assets(spark, sf).select("claim_id", "asset_pos", "series_key", "anchor")
-    return windows.outcome_windows(rows, view(spark, sf, "bars"), profile(spark, sf), as_of())
+    return windows.outcome_windows(rows, view(spark, sf, "bars"), view(spark, sf, "series"), as_of())
 
 
 # --- checking SQL shared by this module ----------------------------------------------
@@ -223,7 +225,7 @@ def asof_entry_bar_query(spark, sf):
       JOIN {{bars}} b ON b.series_key = e.series_key AND b.ts >= e.entry_ts AND b.ts < e.entry_ts + INTERVAL 48 HOUR WHERE e.hours = 48""",
 )
 def range_join_window_query(spark, sf):
-    entries = located_assets(spark, sf).filter("entry_ts IS NOT NULL").select("series_key", "entry_ts").distinct()
+    entries = entry_bars(located_assets(spark, sf))
     return windows.range_join_window(entries, view(spark, sf, "bars"), 48, ["close"])
 
 
@@ -232,10 +234,9 @@ def range_join_window_query(spark, sf):
     f"""WITH {WINDOW_CTE} SELECT series_key, entry_ts, hours, bar_count, open, high, high_ts, low, low_ts, close, last_bar_ts FROM raw_windows""",
 )
 def window_ohlc_query(spark, sf):
-    prof = profile(spark, sf)
-    usable = windows.usable_bars(view(spark, sf, "bars"), prof)
-    entries = located_assets(spark, sf).filter("entry_ts IS NOT NULL").select("series_key", "entry_ts").distinct()
-    return windows.window_ohlc(entries, usable).select(
+    bars = prepared(spark, sf)
+    entries = entry_bars(located_assets(spark, sf, bars))
+    return windows.window_ohlc(entries, bars[1]).select(
         "series_key", "entry_ts", "hours", "bar_count", "open", "high", "high_ts", "low", "low_ts", "close", "last_bar_ts"
     )
 
@@ -246,10 +247,9 @@ def window_ohlc_query(spark, sf):
       {_r6('max_up_pct')} AS max_up_pct, {_r6('max_down_pct')} AS max_down_pct FROM covered""",
 )
 def window_returns_query(spark, sf):
-    prof = profile(spark, sf)
-    usable = windows.usable_bars(view(spark, sf, "bars"), prof)
-    entries = located_assets(spark, sf).filter("entry_ts IS NOT NULL").select("series_key", "entry_ts").distinct()
-    moves = windows.rounded_returns(windows.window_returns(windows.window_ohlc(entries, usable)))
+    bars = prepared(spark, sf)
+    entries = entry_bars(located_assets(spark, sf, bars))
+    moves = windows.rounded_returns(windows.window_returns(windows.window_ohlc(entries, bars[1])))
     return moves.select("series_key", "entry_ts", "hours", *windows.RETURN_COLUMNS)
 
 
@@ -260,10 +260,9 @@ def window_returns_query(spark, sf):
       CASE WHEN reasons = '' THEN '{fv.COVERAGE_PASSED_NOTE}' ELSE 'Coverage failed: ' || reasons || '.' END AS coverage_note FROM reasoned""",
 )
 def coverage_assessment_query(spark, sf):
-    prof = profile(spark, sf)
-    usable = windows.usable_bars(view(spark, sf, "bars"), prof)
-    entries = located_assets(spark, sf).filter("entry_ts IS NOT NULL").select("series_key", "entry_ts").distinct()
-    covered = windows.window_coverage(windows.window_ohlc(entries, usable), prof)
+    bars = prepared(spark, sf)
+    entries = entry_bars(located_assets(spark, sf, bars))
+    covered = windows.window_coverage(windows.window_ohlc(entries, bars[1]))
     return covered.select(
         "series_key", "entry_ts", "hours", "bar_count", "minimum_required_bars", "boundary_lag_seconds",
         "maximum_observed_gap_seconds", F.concat_ws(", ", "reasons").alias("reasons"), "coverage_complete", "coverage_note",
@@ -292,9 +291,8 @@ events_at AS (
 
 @query("level_events", f"WITH {LEVEL_CTE} SELECT * FROM events_at")
 def level_events_query(spark, sf):
-    prof = profile(spark, sf)
-    usable = windows.usable_bars(view(spark, sf, "bars"), prof)
-    return windows.level_events(windows.claim_levels(located_assets(spark, sf)), usable)
+    bars = prepared(spark, sf)
+    return windows.level_events(windows.claim_levels(located_assets(spark, sf, bars)), bars[1])
 
 
 @query(
@@ -320,10 +318,9 @@ def level_bar_join_query(spark, sf):
       LEFT JOIN events_at b ON b.series_key = l.series_key AND b.entry_ts = l.entry_ts AND b.level = l.level_2 AND b.hours = 48""",
 )
 def first_match_query(spark, sf):
-    prof = profile(spark, sf)
-    usable = windows.usable_bars(view(spark, sf, "bars"), prof)
-    located = located_assets(spark, sf)
-    found = windows.level_events(windows.claim_levels(located), usable)
+    bars = prepared(spark, sf)
+    located = located_assets(spark, sf, bars)
+    found = windows.level_events(windows.claim_levels(located), bars[1])
     keys = ["series_key", "entry_ts", "level"]
     touch = found.filter("hours = 24").select(*keys, "first_touch")
     above = found.filter("hours = 48").select(*keys, "first_close_above")

@@ -224,9 +224,22 @@ def references(text: str) -> list[str]:
     return [n for n in dict.fromkeys(re.findall(r"\{([a-z][a-z_]+)\}", text)) if n not in FRAGMENTS]
 
 
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a derived view as a DataFrame."""
+    """A given table or a derived view as a DataFrame.
+
+    Plans (not data) are kept per application, so that queries share them.
+    """
     use_utc(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = _build(spark, sf_dir, name)
+    return _PLANS[key]
+
+
+def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, sf_dir, name)
     text = _spell(VIEW_SQL[name], SPARK_SIDE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators import quality, windows
+from hindcast.operators import windows
 from hindcast.streaming.tables import drain, read_batch, read_batches, write_batch
 
 
@@ -33,8 +33,7 @@ def stream_outcome_windows(bars: DataFrame, assets: DataFrame, series: DataFrame
         waiting = assets
         if batch_id:
             waiting = read_batch(spark, f"{root}/open", batch_id - 1)
-        profile = windows.series_profile(series, quality.series_verdicts(known))
-        long = windows.outcome_windows(waiting, known, profile, now)
+        long = windows.outcome_windows(waiting, known, series, now)
         settled = ~F.col("status").isin("window_not_elapsed", "no_bar_after_publication")
         whole = long.groupBy(*keys).agg(F.every(settled).alias("_settled"))
         rows = long.join(whole, keys)
