@@ -6,10 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_AWARE_TS = (
-    r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?)"
-    r"(Z|z|[+-]\d{2}(?::?\d{2})?)$"
-)
+# date, time to the microsecond, and an offset or Z
+_AWARE_TS = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?(?:Z|[+-]\d{2}(?::?\d{2})?)$"
+_NAIVE_TS = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?)?$"
 
 
 def clean_number(value: Column, text: bool = False) -> Column:
@@ -75,29 +74,18 @@ def percent_sql(part: str, total: str) -> str:
 
 def parse_aware_ts(value: Column) -> Column:
     """ISO-8601 text with an explicit offset -> UTC timestamp, else null."""
-    text = F.trim(value)
-    day = F.regexp_extract(text, _AWARE_TS, 1)
-    clock = F.translate(F.regexp_extract(text, _AWARE_TS, 2), ",", ".")
-    zone = F.regexp_extract(text, _AWARE_TS, 3)
-    zone = F.when(F.upper(zone) == "Z", F.lit("+00:00")).otherwise(
-        F.regexp_replace(
-            F.regexp_replace(zone, r"^([+-]\d{2})$", "$1:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2"
-        )
-    )
-    return F.when(
-        text.rlike(_AWARE_TS), F.concat(day, F.lit("T"), clock, zone).try_cast("timestamp")
-    )
+    text = F.upper(F.trim(value))
+    return F.when(text.rlike(_AWARE_TS), F.translate(text, ",", ".").try_cast("timestamp"))
 
 
-def aware_ts_error(value: Column) -> Column:
-    """``empty`` / ``naive`` / ``invalid`` or null when the text parses."""
-    text = F.trim(value)
-    naive = text.rlike(r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?)?$")
-    return (
-        F.when(value.isNull() | (text == ""), F.lit("empty"))
-        .when(parse_aware_ts(value).isNotNull(), F.lit(None).cast("string"))
-        .when(naive & text.try_cast("timestamp").isNotNull(), F.lit("naive"))
-        .otherwise(F.lit("invalid"))
+def aware_ts_error(value: Column, parsed: Column) -> Column:
+    """``empty`` / ``naive`` / ``invalid`` or null when the text was parsed."""
+    text = F.upper(F.trim(value))
+    return F.when(
+        parsed.isNull(),
+        F.when(value.isNull() | (text == ""), "empty")
+        .when(text.rlike(_NAIVE_TS) & text.try_cast("timestamp").isNotNull(), "naive")
+        .otherwise("invalid"),
     )
 
 

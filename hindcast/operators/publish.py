@@ -99,4 +99,5 @@ def secret_scan(texts: DataFrame, key: str, text: str, patterns: dict[str, str]
     pattern in place: no join.
     """
     found = [F.when(F.col(text).rlike(p), F.lit(label)) for label, p in (patterns or fv.SECRET_PATTERNS).items()]
-    return texts.select(key, F.explode(F.array_compact(F.array(*found))).alias("label"))
+    # outer: otherwise every pattern would run twice, once to drop texts without a hit
+    return texts.select(key, F.explode_outer(F.array_compact(F.array(*found))).alias("label")).filter("label IS NOT NULL")

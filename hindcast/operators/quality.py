@@ -18,8 +18,8 @@ def clean_bars(raw: DataFrame) -> DataFrame:
     columns = [c for c in raw.columns if c not in {"timestamp_utc", *OHLC, "volume", "trade_count"}]
     out = [
         *columns,
-        nums.parse_aware_ts(F.col("timestamp_utc")).alias("ts"),
-        nums.aware_ts_error(F.col("timestamp_utc")).alias("ts_error"),
+        F.col("_ts").alias("ts"),
+        nums.aware_ts_error(F.col("timestamp_utc"), F.col("_ts")).alias("ts_error"),
         *[nums.clean_number(text(name), text=True).alias(name) for name in OHLC],
     ]
     if "volume" in raw.columns:
@@ -34,7 +34,7 @@ def clean_bars(raw: DataFrame) -> DataFrame:
             count.alias("trade_count"),
             (F.col("trade_count").isNotNull() & count.isNull()).alias("trade_count_invalid"),
         ]
-    return raw.select(*out)
+    return raw.withColumn("_ts", nums.parse_aware_ts(F.col("timestamp_utc"))).select(*out)
 
 
 def checked_bars(
@@ -96,7 +96,9 @@ def validate_ohlc(
 
     Nothing is sorted, repaired or dropped; clean series yield no rows.
     """
-    return checked_bars(bars, key, block_rows, history).select(key, "row_no", F.inline("broken"))
+    return checked_bars(bars, key, block_rows, history).select(
+        key, "row_no", F.inline_outer("broken")
+    ).filter("rank IS NOT NULL")
 
 
 def verdicts_of(checked: DataFrame, key: str = "series_key") -> DataFrame:

@@ -143,5 +143,5 @@ def keyword_theta_join(texts: DataFrame, text: str, rules: dict[str, list[str]],
         for word in words
     ]
     return texts.withColumn("_normalized", tx.search_text(F.col(text))).select(
-        *keep, F.inline(F.array_compact(F.array(*hits)))
-    )
+        *keep, F.inline_outer(F.array_compact(F.array(*hits)))
+    ).filter("keyword IS NOT NULL")

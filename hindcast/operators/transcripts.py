@@ -17,18 +17,21 @@ def caption_lines(captions: DataFrame, key: str = "video_id", text: str = "text"
     Whether a file is timed is decided on its line array before it is exploded,
     so no window over the file is needed for it.
     """
-    arrays = captions.select(key, tx.lines_of(F.regexp_replace(F.col(text), "^\ufeff+", "")).alias("_lines"))
+    # Whole files are shuffled once, before the work on their lines: fewer rows
+    # move, row groups of any size spread, and the windows by file need no more.
+    files = captions.select(key, text).repartition(key)
+    arrays = files.select(key, tx.lines_of(F.regexp_replace(F.col(text), "^\ufeff+", "")).alias("_lines"))
     timed = arrays.withColumn("timed", F.exists("_lines", lambda line: line.rlike(_CUE_LINE)))
-    lines = timed.select(key, "timed", F.posexplode("_lines").alias("pos", "raw_line")).withColumn(
-        "line_text", tx.strip(F.col("raw_line"))
+    # outer: the plain generator would first split every text once more, at the scan, to drop empty arrays
+    lines = (
+        timed.select(key, "timed", F.posexplode_outer("_lines").alias("pos", "raw_line"))
+        .filter("pos IS NOT NULL")
+        .withColumn("line_text", tx.strip(F.col("raw_line")))
     )
     is_cue = F.col("line_text").rlike(_CUE_LINE)
     start = tx.cue_seconds(F.regexp_extract("line_text", _CUE_LINE, 1))
     end = tx.cue_seconds(F.regexp_extract("line_text", _CUE_LINE, 2))
-    upper = F.upper("line_text")
-    skipped = F.lit(False)
-    for prefix in fv.CAPTION_SKIP_PREFIXES:
-        skipped = skipped | upper.startswith(prefix)
+    skipped = F.col("line_text").rlike("(?i)^(?:" + "|".join(fv.CAPTION_SKIP_PREFIXES) + ")")
     return lines.select(
         key, "pos", "line_text",
         "timed",
@@ -139,7 +142,8 @@ def segments_to_srt(segments: DataFrame, key: str = "video_id") -> DataFrame:
 
 def number_lines(transcripts: DataFrame, key: str = "video_id", text: str = "text") -> DataFrame:
     """``L0001: ...`` labels, one row per line."""
-    return transcripts.select(key, F.posexplode(tx.lines_of(F.col(text))).alias("pos", "_line")).select(
+    lines = transcripts.select(key, F.posexplode_outer(tx.lines_of(F.col(text))).alias("pos", "_line"))
+    return lines.filter("pos IS NOT NULL").select(
         key, (F.col("pos") + 1).alias("line"), tx.number_line(F.col("pos"), F.col("_line")).alias("labelled")
     )
 
@@ -176,11 +180,12 @@ def token_overlap(pairs: DataFrame, key: str, left: str, right: str) -> DataFram
     """
 
     def tagged(name: str, side: int) -> Column:
-        tokens = tx.evidence_tokens(F.col(name))
+        tokens = tx.evidence_tokens(F.coalesce(name, F.lit("")))
         return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(side).alias("side")))
 
     counts = (
-        pairs.select(key, F.inline(F.concat(tagged(left, 0), tagged(right, 1))))
+        pairs.select(key, F.inline_outer(F.concat(tagged(left, 0), tagged(right, 1))))
+        .filter("side IS NOT NULL")
         .groupBy(key, "token")
         .agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r"))
     )
@@ -195,12 +200,21 @@ def token_overlap(pairs: DataFrame, key: str, left: str, right: str) -> DataFram
     )
 
 
-def evidence_coverage(sliced: DataFrame, key: str = "claim_id") -> DataFrame:
-    """Adds ``exact_match``, ``coverage`` and ``excerpt_violation``."""
+def evidence_coverage(claims: DataFrame, key: str = "claim_id") -> DataFrame:
+    """Slices the cited lines and adds ``exact_match``, ``coverage`` and
+    ``excerpt_violation``.
+
+    One shuffle by claim serves the token counts and the join back. Claims out
+    of bounds keep their row; only their texts are blanked before counting.
+    """
     advisory = tx.strip_line_labels(F.col("source_excerpt"))
+    sliced = evidence_slice(claims.repartition(key))
     within = F.col("range_violation").isNull()
     exact = F.contains(tx.normalize_evidence(F.col("selected")), tx.normalize_evidence(advisory))
-    overlap = token_overlap(sliced.filter(within), key, "source_excerpt", "selected")
+    bounded = sliced.select(
+        key, F.when(within, F.col("source_excerpt")).alias("_quoted"), F.when(within, F.col("selected")).alias("_cited")
+    )
+    overlap = token_overlap(bounded, key, "_quoted", "_cited")
     return (
         sliced.join(overlap, key, "left")
         .withColumn("coverage", F.when(within, F.coalesce("coverage", F.lit(0.0))))

@@ -79,7 +79,7 @@ def asof_entry_bar(anchors: DataFrame, bars: DataFrame, profile: DataFrame) -> D
         F.col("ts").alias("entry_ts"),
         reach.alias("_from"),
         nums.micros(F.col("ts")).alias("_to"),
-        F.explode(F.sequence(first_bucket, nums.time_bucket(F.col("ts"), width))).alias("_bucket"),
+        F.explode_outer(F.sequence(first_bucket, nums.time_bucket(F.col("ts"), width))).alias("_bucket"),
     )
     dim = profile.select("series_key", "cadence_seconds", "series_last_ts", "blocked_status")
     keyed = (
@@ -124,7 +124,7 @@ def range_join_window(
     day = WINDOW_BUCKET_SECONDS * 1000000.0
     spread = entries.withColumn(
         "_bucket",
-        F.explode(F.sequence(F.floor(start.cast("double") / day), F.floor(stop.cast("double") / day))),
+        F.explode_outer(F.sequence(F.floor(start.cast("double") / day), F.floor(stop.cast("double") / day))),
     ).alias("e")
     keyed = bars.select(
         "series_key", "ts", *bar_columns, nums.time_bucket(F.col("ts"), WINDOW_BUCKET_SECONDS).alias("_bucket")
@@ -283,7 +283,7 @@ def outcome_windows(
     joined = located.join(stats.withColumnRenamed("hours", "_hours"), ["series_key", "entry_ts"], "left")
     every = F.array(*[F.lit(h) for h in hours])
     spread = joined.withColumn(
-        "hours", F.explode(F.when(F.col("_hours").isNull(), every).otherwise(F.array("_hours")))
+        "hours", F.explode_outer(F.when(F.col("_hours").isNull(), every).otherwise(F.array("_hours")))
     )
     return spread.withColumns(
         {"status": F.coalesce("entry_status", "status"), "complete": F.coalesce("entry_status", "status") == "complete"}

@@ -47,10 +47,11 @@ def typed_ticks(spark, sf):
 
 @query("parse_aware_ts", f"WITH {TICKS_CTE} SELECT row_no, ts, substr(ts_error, 11) AS ts_error FROM typed")
 def parse_aware_ts_query(spark, sf):
-    return view(spark, sf, "ticks").select(
+    parsed = view(spark, sf, "ticks").withColumn("parsed", nums.parse_aware_ts(F.col("timestamp_utc")))
+    return parsed.select(
         "row_no",
-        nums.parse_aware_ts(F.col("timestamp_utc")).cast("timestamp_ntz").alias("ts"),
-        nums.aware_ts_error(F.col("timestamp_utc")).alias("ts_error"),
+        F.col("parsed").cast("timestamp_ntz").alias("ts"),
+        nums.aware_ts_error(F.col("timestamp_utc"), F.col("parsed")).alias("ts_error"),
     )
 
 

@@ -92,14 +92,13 @@ bound AS (
       CASE WHEN NOT exact_match AND coverage < CAST(0.72 AS DOUBLE) THEN 'excerpt_mismatch' END AS excerpt_violation FROM bound""",
 )
 def evidence_coverage_query(spark, sf):
-    sliced = transcripts.evidence_slice(view(spark, sf, "text_claims"))
-    return transcripts.evidence_coverage(sliced).select("claim_id", "exact_match", "coverage", "excerpt_violation")
+    return transcripts.evidence_coverage(view(spark, sf, "text_claims")).select("claim_id", "exact_match", "coverage", "excerpt_violation")
 
 
 @query("numeric_tokens")
 def numeric_tokens_query(spark, sf):
-    tokens = view(spark, sf, "transcripts").select("doc_id", F.explode(tx.numeric_tokens(F.col("transcript"))).alias("number"))
-    return tokens
+    found = F.explode_outer(tx.numeric_tokens(F.col("transcript"))).alias("number")
+    return view(spark, sf, "transcripts").select("doc_id", found).filter("number IS NOT NULL")
 
 
 @query("level_binding")
