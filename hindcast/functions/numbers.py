@@ -75,7 +75,9 @@ def percent_sql(part: str, total: str) -> str:
 def parse_aware_ts(value: Column) -> Column:
     """ISO-8601 text with an explicit offset -> UTC timestamp, else null."""
     text = F.upper(F.trim(value))
-    return F.when(text.rlike(_AWARE_TS), F.translate(text, ",", ".").try_cast("timestamp"))
+    # the cast wants seconds before an offset
+    full = F.regexp_replace(F.translate(text, ",", "."), r"([T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    return F.when(text.rlike(_AWARE_TS), full.try_cast("timestamp"))
 
 
 def aware_ts_error(value: Column, parsed: Column) -> Column:
