@@ -138,39 +138,104 @@ def range_join_window(
     ).select(*[F.col(f"e.{c}") for c in entries.columns], F.col("b.ts").alias("ts"), *[F.col(f"b.{c}") for c in bar_columns])
 
 
-def window_ohlc(entries: DataFrame, bars: DataFrame, hours: tuple[int, ...] = fv.HORIZON_HOURS) -> DataFrame:
-    """OHLC, extremes with their earliest stamps, and gap profile per entry.
+def _bar_pieces(bars: DataFrame) -> DataFrame:
+    """Single bars in the shape of ``_block_pieces``."""
+    gap, cadence = F.col("gap_seconds"), F.col("cadence_seconds")
+    return bars.select(
+        "series_key", "ts", *POLICY,
+        F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), "open", "close",
+        "high", F.col("ts").alias("high_ts"), "low", F.col("ts").alias("low_ts"), F.lit(1).cast("bigint").alias("n"),
+        gap.alias("gap"),
+        F.coalesce(quality.irregular_gap(gap, cadence), F.lit(False)).cast("bigint").alias("irregular"),
+        F.coalesce(quality.excessive_gap(gap, F.col("maximum_gap_seconds"), cadence), F.lit(False)).cast("bigint").alias("excessive"),
+    )
 
-    One join at the longest horizon feeds all of them. Result is long:
-    (series_key, entry_ts, hours, ...).
-    """
-    joined = range_join_window(
-        entries, bars, max(hours), ["open", "high", "low", "close", "gap_seconds", *POLICY]
+
+def _block_pieces(pieces: DataFrame, block_seconds: int) -> DataFrame:
+    """Bars rolled up to fixed blocks of time, which merge without loss."""
+    extreme = lambda sign, v, t: F.min(F.struct((F.col(v) * sign).alias("k"), F.col(t).alias("t")))
+    rolled = pieces.groupBy("series_key", nums.time_bucket(F.col("ts"), block_seconds).alias("block")).agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        F.min_by("open", "first_ts").alias("open"), F.max_by("close", "last_ts").alias("close"),
+        F.max("high").alias("high"), extreme(-1, "high", "high_ts").alias("_hi"),
+        F.min("low").alias("low"), extreme(1, "low", "low_ts").alias("_lo"),
+        F.sum("n").alias("n"), F.max("gap").alias("gap"), F.sum("irregular").alias("irregular"), F.sum("excessive").alias("excessive"),
+        *[F.any_value(c).alias(c) for c in POLICY],
     )
-    gap, cadence, maximum = F.col("gap_seconds"), F.col("cadence_seconds"), F.col("maximum_gap_seconds")
-    inner_gap = F.when(F.col("ts") > F.col("entry_ts"), gap)
-    joined = joined.select(
-        "series_key", "entry_ts", "ts", "open", "high", "low", "close", *POLICY,
-        inner_gap.alias("gap"),
-        F.coalesce(quality.irregular_gap(inner_gap, cadence), F.lit(False)).alias("irregular"),
-        F.coalesce(quality.excessive_gap(inner_gap, maximum, cadence), F.lit(False)).alias("excessive"),
+    return rolled.withColumns({"high_ts": F.col("_hi.t"), "low_ts": F.col("_lo.t")}).drop("_hi", "_lo")
+
+
+PIECE = ["first_ts", "last_ts", "open", "close", "high", "high_ts", "low", "low_ts", "n", "gap", "irregular", "excessive"]
+
+
+def _pieces_by_block(entries: DataFrame, pieces: DataFrame, hours: tuple[int, ...], block_seconds: int) -> DataFrame:
+    """Joined (entry, piece) rows with one membership flag ``in_<h>`` per horizon.
+
+    Blocks that lie wholly inside a window contribute their roll-up, only the
+    first and last block of a window contribute single bars. A 48 h window over
+    minute bars thus meets about 48 hourly blocks and 120 bars instead of 2,880.
+    """
+    of = lambda ts: nums.time_bucket(ts, block_seconds)
+    tails = {h: of(F.col("entry_ts") + _hours(h)) for h in hours}
+    keyed = entries.withColumns({"_head": of(F.col("entry_ts")), **{f"_tail_{h}": t for h, t in tails.items()}})
+    edges = F.array_distinct(F.array("_head", *[F.col(f"_tail_{h}") for h in hours]))
+    bars = pieces.withColumn("block", of(F.col("ts")))
+    single = keyed.withColumn("block", F.explode_outer(edges)).join(bars, ["series_key", "block"])
+    start, at = F.col("entry_ts"), F.col("ts")
+    single = single.withColumns(
+        {
+            f"in_{h}": F.col("block").isin(F.col("_head"), F.col(f"_tail_{h}")) & (at >= start) & (at < start + _hours(h))
+            for h in hours
+        }
+    ).withColumn("inner", at > start)
+    # roll-ups meet entries by groups of blocks about as long as the window
+    group = max(1, max(hours) * 3600 // block_seconds)
+    rolled = _block_pieces(pieces, block_seconds).withColumn("_group", F.floor(F.col("block") / group))
+    far = F.col(f"_tail_{max(hours)}")
+    spread = keyed.withColumn(
+        "_group", F.explode_outer(F.sequence(F.floor(F.col("_head") / group), F.floor(far / group)))
     )
+    whole = spread.join(rolled, ["series_key", "_group"]).filter((F.col("block") > F.col("_head")) & (F.col("block") < far))
+    whole = whole.withColumns({f"in_{h}": F.col("block") < F.col(f"_tail_{h}") for h in hours}).withColumn("inner", F.lit(True))
+    columns = ["series_key", "entry_ts", "inner", *[f"in_{h}" for h in hours], *PIECE, *POLICY]
+    return single.select(*columns).unionByName(whole.select(*columns))
+
+
+def window_ohlc(
+    entries: DataFrame, bars: DataFrame, hours: tuple[int, ...] = fv.HORIZON_HOURS, block_seconds: int | None = None
+) -> DataFrame:
+    """OHLC, extremes with their earliest stamps, and gap profile per entry.
+
+    One join at the longest horizon feeds all horizons; the result is long:
+    (series_key, entry_ts, hours, ...). With ``block_seconds`` the inside of each
+    window comes from roll-ups of that length, for series with many bars a day.
+    """
+    pieces = _bar_pieces(bars)
+    if block_seconds is None:
+        joined = range_join_window(entries, pieces, max(hours), [*PIECE, *POLICY])
+        end = lambda h: F.col("ts") < F.col("entry_ts") + _hours(h)
+        joined = joined.withColumns(
+            {"inner": F.col("ts") > F.col("entry_ts"), **{f"in_{h}": F.lit(True) if h == max(hours) else end(h) for h in hours}}
+        )
+    else:
+        joined = _pieces_by_block(entries, pieces, hours, block_seconds)
     aggregates = []
     for h in hours:
-        inside = F.lit(True) if h == max(hours) else F.col("ts") < F.col("entry_ts") + _hours(h)
-        at = F.when(inside, F.col("ts"))
+        inside = F.col(f"in_{h}")
+        inner = inside & F.col("inner")  # the gap before the entry bar is not part of the window
+        pick = lambda c, test=inside: F.when(test, F.col(c))
         aggregates += [
-            F.count_if(inside).alias(f"bar_count_{h}"),
-            F.min_by("open", at).alias(f"open_{h}"),
-            F.max(F.when(inside, F.col("high"))).alias(f"high_{h}"),
-            F.min(F.when(inside, F.struct((-F.col("high")).alias("k"), F.col("ts").alias("t")))).alias(f"_hi_{h}"),
-            F.min(F.when(inside, F.col("low"))).alias(f"low_{h}"),
-            F.min(F.when(inside, F.struct(F.col("low").alias("k"), F.col("ts").alias("t")))).alias(f"_lo_{h}"),
-            F.max_by("close", at).alias(f"close_{h}"),
-            F.max(at).alias(f"last_bar_ts_{h}"),
-            F.max(F.when(inside, F.col("gap"))).alias(f"maximum_observed_gap_seconds_{h}"),
-            F.count_if(inside & F.col("irregular")).alias(f"irregular_gaps_{h}"),
-            F.count_if(inside & F.col("excessive")).alias(f"excessive_gaps_{h}"),
+            F.coalesce(F.sum(pick("n")), F.lit(0)).alias(f"bar_count_{h}"),
+            F.min_by("open", pick("first_ts")).alias(f"open_{h}"),
+            F.max(pick("high")).alias(f"high_{h}"),
+            F.min(F.when(inside, F.struct((-F.col("high")).alias("k"), F.col("high_ts").alias("t")))).alias(f"_hi_{h}"),
+            F.min(pick("low")).alias(f"low_{h}"),
+            F.min(F.when(inside, F.struct(F.col("low").alias("k"), F.col("low_ts").alias("t")))).alias(f"_lo_{h}"),
+            F.max_by("close", pick("last_ts")).alias(f"close_{h}"),
+            F.max(pick("last_ts")).alias(f"last_bar_ts_{h}"),
+            F.max(pick("gap", inner)).alias(f"maximum_observed_gap_seconds_{h}"),
+            F.coalesce(F.sum(pick("irregular", inner)), F.lit(0)).alias(f"irregular_gaps_{h}"),
+            F.coalesce(F.sum(pick("excessive", inner)), F.lit(0)).alias(f"excessive_gaps_{h}"),
         ]
     # the policy is the same on every bar of a series
     wide = joined.groupBy("series_key", "entry_ts").agg(*aggregates, *[F.any_value(c).alias(c) for c in POLICY])
@@ -268,6 +333,7 @@ def outcome_windows(
     series: DataFrame,
     as_of: Column,
     hours: tuple[int, ...] = fv.HORIZON_HOURS,
+    block_seconds: int | None = None,
 ) -> DataFrame:
     """Long outcome rows: one per input row and horizon.
 
@@ -277,7 +343,7 @@ def outcome_windows(
     located = asof_entry_bar(assets, usable, profile)
     entries = located.filter("entry_ts IS NOT NULL").select("series_key", "entry_ts").distinct()
     stats = window_status(
-        rounded_returns(window_returns(window_coverage(window_ohlc(entries, usable, hours)))), as_of
+        rounded_returns(window_returns(window_coverage(window_ohlc(entries, usable, hours, block_seconds)))), as_of
     ).drop(*POLICY, "elapsed")
     # a located row meets its horizons in the join; only the others are spread here
     joined = located.join(stats.withColumnRenamed("hours", "_hours"), ["series_key", "entry_ts"], "left")

@@ -241,6 +241,21 @@ def window_ohlc_query(spark, sf):
     )
 
 
+@query(
+    "window_ohlc_blocks",
+    f"""WITH {WINDOW_CTE} SELECT series_key, entry_ts, hours, bar_count, open, high, high_ts, low, low_ts, close, last_bar_ts,
+      CAST(gap_us AS DOUBLE) / 1000000 AS maximum_observed_gap_seconds, excessive_gaps FROM raw_windows""",
+)
+def window_ohlc_blocks_query(spark, sf):
+    """The same windows from six-hour roll-ups plus edge bars."""
+    bars = prepared(spark, sf)
+    entries = entry_bars(located_assets(spark, sf, bars))
+    return windows.window_ohlc(entries, bars[1], block_seconds=21600).select(
+        "series_key", "entry_ts", "hours", "bar_count", "open", "high", "high_ts", "low", "low_ts", "close", "last_bar_ts",
+        "maximum_observed_gap_seconds", "excessive_gaps",
+    )
+
+
 @query(
     "window_returns",
     f"""WITH {WINDOW_CTE} SELECT DISTINCT series_key, entry_ts, hours, {_r6('return_pct')} AS return_pct,

@@ -134,7 +134,8 @@ def scan_series_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
         *_file_position(),
         "timestamp_utc", "open", "high", "low", "close",
         volume.alias("volume"),
-        F.col("_corrupt").isNotNull().alias("extra_fields"),
+        # naming a real column keeps the reader from being asked for the corrupt record alone
+        (F.col("_corrupt").isNotNull() & (F.coalesce(F.length("timestamp_utc"), F.lit(0)) >= 0)).alias("extra_fields"),
     )
     keep = [c for c in located.columns if not c.startswith("_")]
     return quality.clean_bars(with_file_row_no(located, keep))
@@ -153,6 +154,17 @@ def header_errors(header_lines: DataFrame) -> DataFrame:
     )
 
 
+def csv_verdicts(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Per series, why its CSV is rejected: header, surplus fields, then bar rules."""
+    surplus = rows.groupBy("series_key").agg(F.some("extra_fields").alias("_surplus"))
+    judged = quality.series_verdicts(rows).join(surplus, "series_key")
+    joined = judged.join(headers, "series_key", "left")
+    reason = F.coalesce("header_error", F.when(F.col("_surplus"), "row_has_extra_fields"), "reason")
+    return joined.select(
+        "series_key", "row_count", "first_ts", "last_ts", reason.alias("reason"), reason.isNull().alias("valid")
+    )
+
+
 SIDECAR_SCHEMA = (
     "schema_version string, series_key string, symbol string, venue string, timezone string, interval string, "
     "cadence_seconds double, timestamp_semantics string, "

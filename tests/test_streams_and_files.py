@@ -126,4 +126,6 @@ def test_operator_csv_rejects_instead_of_repairing(spark, tmp_path):
     assert [r.extra_fields for r in got] == [False, True, False] and got[0].volume is None and got[0].series_key == "GOLD"
     assert quality.series_verdicts(rows).first().reason == "timestamps_not_increasing"
     heads = spark.createDataFrame([("a", "timestamp_utc,open,high,low,close"), ("b", "open,open,high,low,close"), ("c", "open,high")], "series_key string, header string")
+    sound = spark.createDataFrame([("GOLD", None)], "series_key string, header_error string")
+    assert bar_sources.csv_verdicts(rows, sound).first().reason == "row_has_extra_fields"
     assert [r.header_error for r in bar_sources.header_errors(heads).collect()] == [None, "duplicate_columns", "missing_columns: close, low, timestamp_utc"]

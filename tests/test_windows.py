@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from hindcast.operators import resolve, windows
@@ -18,7 +19,7 @@ SERIES = (
 )
 
 
-def run(spark, bars, anchors, policy=HOURLY, as_of=T0 + 100 * HOUR, provider="csv", hours=(24, 48)):
+def run(spark, bars, anchors, policy=HOURLY, as_of=T0 + 100 * HOUR, provider="csv", hours=(24, 48), block=None):
     """{(claim, hours): row} for one series 's'."""
     rows = [("s", i, *b) for i, b in enumerate(bars)]
     series = [("s", provider, *(policy or (None,) * 5))]
@@ -28,6 +29,7 @@ def run(spark, bars, anchors, policy=HOURLY, as_of=T0 + 100 * HOUR, provider="cs
         spark.createDataFrame(series, SERIES),
         F.lit(as_of).cast("timestamp_ntz"),
         hours,
+        block,
     )
     return {(r.claim_id, r.hours): r for r in out.collect()}
 
@@ -58,8 +60,10 @@ def test_not_elapsed_is_not_complete(spark):
 def test_continuous_series_needs_every_bar(spark):
     minute = timedelta(minutes=1)
     full = [flat(T0 + i * minute) for i in range(1440 * 2)]
-    rows = run(spark, full, [T0], MINUTE, provider="Binance public market data")
-    assert rows[0, 24].status == rows[0, 48].status == "complete"
+    for block in (None, 3600):
+        rows = run(spark, full, [T0, T0 + 90 * minute], MINUTE, provider="Binance public market data", block=block)
+        assert rows[0, 24].status == rows[0, 48].status == rows[1, 24].status == "complete"
+        assert rows[1, 48].status == "source_coverage_gap" and rows[1, 48].bar_count == 2790
     holed = full[:700] + full[701:]
     row = run(spark, holed, [T0], MINUTE)[0, 24]
     assert row.status == "source_coverage_gap"
@@ -130,7 +134,8 @@ def plain_window(bars, anchor, hours, max_gap):
     )
 
 
-def test_random_bars_with_gaps_and_ties(spark):
+@pytest.mark.parametrize("block", [None, 5000, 6 * 3600, 40 * 3600])
+def test_random_bars_with_gaps_and_ties(spark, block):
     rng = random.Random(7)
     bars, ts = [], T0
     for _ in range(400):
@@ -139,7 +144,7 @@ def test_random_bars_with_gaps_and_ties(spark):
         bars.append((ts, float(o), float(max(o, c) + rng.randint(0, 2)), float(min(o, c) - rng.randint(0, 2)), float(c)))
     policy = ("non_continuous", 3600.0, 4 * 3600.0, 4 * 3600.0, 4)
     anchors = [T0 + timedelta(minutes=rng.randint(-100, 60 * 1700)) for _ in range(300)]
-    rows = run(spark, bars, anchors, policy, as_of=T0 + 9000 * HOUR)
+    rows = run(spark, bars, anchors, policy, as_of=T0 + 9000 * HOUR, block=block)
     for i, anchor in enumerate(anchors):
         for hours in (24, 48):
             want, r = plain_window(bars, anchor, hours, 4 * 3600), rows[i, hours]
