@@ -307,7 +307,7 @@ def reconcile_ledgers(
     )
 
 
-def pipeline_status(audits: DataFrame) -> DataFrame:
+def audit_status(audits: DataFrame) -> DataFrame:
     """Status ladder from verified, scores_status, claims_status, publication_mode, review_accepted."""
     public = F.col("publication_mode") == "public"
     status = (

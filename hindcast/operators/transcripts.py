@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fv
 from hindcast.functions import text as tx
+from hindcast.functions.skew import block_lag, block_running_sum
 
 _CUE_LINE = rf"(?U)^\s*({fv.CUE_TIME})\s*-->\s*({fv.CUE_TIME})(?:\s+.*)?$"
 
@@ -62,13 +63,24 @@ def spoken_lines(carried: DataFrame) -> DataFrame:
     return kept.withColumn("clean", tx.clean_caption(F.col("line_text"))).filter("clean <> ''")
 
 
-def consecutive_dedupe(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Numbers runs of equal neighbours (``run`` counts from one)."""
-    sequence = Window.partitionBy(*keys).orderBy(order)
-    change = F.when(F.col(value).eqNullSafe(F.lag(value).over(sequence)) & (F.row_number().over(sequence) > 1), 0).otherwise(1)
-    return rows.withColumn("_change", change).withColumn(
-        "run", F.sum("_change").over(sequence.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("_change")
+def consecutive_dedupe(
+    rows: DataFrame, keys: list[str], order: str, value: str, block: Column | None = None
+) -> DataFrame:
+    """Numbers runs of equal neighbours (``run`` counts from one).
+
+    Give ``block`` (non-decreasing in ``order``) when a key may be of any size;
+    without it a key is one window, which suits files of bounded length.
+    """
+    if block is None:
+        sequence = Window.partitionBy(*keys).orderBy(order)
+        before = F.lag(F.struct(F.col(value))).over(sequence)
+        fresh = F.when(before[value].eqNullSafe(F.col(value)) & before.isNotNull(), 0).otherwise(1)
+        running = F.sum("_fresh").over(sequence.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("_fresh", fresh).withColumn("run", running).drop("_fresh")
+    boxed = block_lag(rows.withColumn("_box", F.struct(F.col(value).alias("v"))), keys, order, block, "_box", "_before")
+    same = F.col("_before").isNotNull() & F.col("_before.v").eqNullSafe(F.col(value))
+    marked = boxed.withColumn("_fresh", F.when(same, 0).otherwise(1)).drop("_box", "_before")
+    return block_running_sum(marked, keys, order, block, "_fresh", "run").drop("_fresh")
 
 
 def canonicalize_subtitle(captions: DataFrame, key: str = "video_id", text: str = "text") -> DataFrame:

@@ -403,12 +403,12 @@ def reconcile_ledgers_query(spark, sf):
 
 
 @query(
-    "pipeline_status",
+    "audit_status",
     f"""WITH {AUDIT_CTE} SELECT audit_id, CASE WHEN audit_id IN (1, 4, 5, 6, 7, 8, 9, 10, 11, 12) THEN 'integrity_warning' WHEN audit_id IN (2, 3) THEN
         CASE WHEN audit_id = 2 THEN CASE audit_id % 3 WHEN 0 THEN 'audit_complete' WHEN 1 THEN 'human_review_pending' ELSE 'private_preview' END ELSE 'claims_complete' END
       ELSE CASE audit_id % 3 WHEN 0 THEN 'audit_complete' WHEN 1 THEN 'human_review_pending' ELSE 'private_preview' END END AS status FROM audits""",
 )
-def pipeline_status_query(spark, sf):
+def audit_status_query(spark, sf):
     audits, checks = reconcile_rows(spark, sf)
     # an incomplete stage is a state of its own, not an integrity failure
     sound = checks.filter("check <> 'stages_complete'").groupBy("audit_id").agg(F.every("ok").alias("verified"))
@@ -418,7 +418,7 @@ def pipeline_status_query(spark, sf):
             "review_accepted": F.col("audit_id") % 3 == 0,
         }
     )
-    return integrity.pipeline_status(ladder).select("audit_id", "status")
+    return integrity.audit_status(ladder).select("audit_id", "status")
 
 
 @query(

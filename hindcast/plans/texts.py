@@ -287,7 +287,8 @@ def clean_caption_query(spark, sf):
       SELECT user_id, event_id, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS fresh FROM {events})""",
 )
 def consecutive_dedupe_query(spark, sf):
-    rows = transcripts.consecutive_dedupe(view(spark, sf, "events"), ["user_id"], "event_id", "event_type")
+    block = F.floor(F.col("event_id") / 4096)
+    rows = transcripts.consecutive_dedupe(view(spark, sf, "events"), ["user_id"], "event_id", "event_type", block)
     return rows.select("user_id", "event_id", "run")
 
 

@@ -126,6 +126,7 @@ def scan_series_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
         .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
+        .option("columnPruning", False)  # a pruned parser would not see surplus fields
         .csv(path)
     )
     volume = F.nullif(F.col("volume"), F.lit("")) if "volume" in columns else F.lit(None).cast("string")

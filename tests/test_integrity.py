@@ -92,6 +92,6 @@ def test_inventory_failures(spark):
         ((True, "partial", "complete", "public", True), "claims_complete"), ((True, None, None, "public", True), "collection_verified"),
     ],
 )
-def test_pipeline_status(spark, row, status):
+def test_audit_status(spark, row, status):
     df = spark.createDataFrame([row], "verified boolean, scores_status string, claims_status string, publication_mode string, review_accepted boolean")
-    assert integrity.pipeline_status(df).first().status == status
+    assert integrity.audit_status(df).first().status == status

@@ -161,3 +161,12 @@ def test_allowlist_drops_unknown_fields_at_every_level(spark):
     out = publish.allowlist_projection(rows, publish.PUBLIC_OUTCOME)
     assert out.columns == ["claim_id", "assets"] and out.first().assets[0].asDict(True) == {"asset": "a", "window_24h": {"hours": 24, "open": 1.0}}
     assert "source_file" not in publish.stable_outcome(rows).select("assets").schema.simpleString()
+
+
+def test_runs_do_not_depend_on_blocks(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), i, rng.choice(["x", "y", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int, v string")
+    plain = transcripts.consecutive_dedupe(df, ["k"], "i", "v").select("i", "run").collect()
+    blocked = transcripts.consecutive_dedupe(df, ["k"], "i", "v", F.floor(F.col("i") / 9)).select("i", "run").collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, blocked)) and min(r.run for r in plain) == 1
