@@ -93,9 +93,10 @@ def cache_lookup_query(spark, sf):
     docs = view(spark, sf, "documents").select(
         "doc_id", F.sha2("text", 256).alias("transcript_sha256"), row_fingerprint(DOC_COLUMNS).alias("cache_key"), F.lit("m1").alias("model")
     )
-    # a third was scored before, a fifth of that with an older model
-    cache = docs.filter("doc_id % 3 = 0").select(
-        "cache_key", "transcript_sha256", F.when(F.col("doc_id") % 5 == 0, "m0").otherwise("m1").alias("model"),
+    # a third was scored before, a fifth of that with an older model; the others are known under foreign keys
+    cache = docs.select(
+        F.when(F.col("doc_id") % 3 == 0, F.col("cache_key")).otherwise(F.concat(F.lit("x"), "cache_key")).alias("cache_key"),
+        "transcript_sha256", F.when(F.col("doc_id") % 5 == 0, "m0").otherwise("m1").alias("model"),
         F.col("doc_id"), F.lit("old").alias("collection_id"),
     )
     hits, misses = integrity.cache_lookup(docs.drop("doc_id").join(docs.select("cache_key", "doc_id"), "cache_key"), cache, "cache_key", ["transcript_sha256", "model", "doc_id"], "new")
@@ -183,7 +184,7 @@ def inventory_summary_query(spark, sf):
     "market_hash_check",
     """WITH refs AS (SELECT DISTINCT CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE 'm/' || (o_custkey % 600) END AS f, CASE WHEN o_orderkey % 37 = 0 THEN NULL
           WHEN o_custkey % 600 = 5 AND o_orderkey % 2 = 0 THEN sha256('other') ELSE sha256('c' || (o_custkey % 600)) END AS h FROM {orders}),
-      files AS (SELECT 'm/' || c_custkey AS f, sha256(CASE WHEN c_custkey % 9 = 1 THEN 'd' ELSE 'c' END || c_custkey) AS h FROM {customer} WHERE c_custkey % 11 > 0),
+      files AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN 'gone/' ELSE 'm/' END || c_custkey AS f, sha256(CASE WHEN c_custkey % 9 = 1 THEN 'd' ELSE 'c' END || c_custkey) AS h FROM {customer}),
       clash AS (SELECT f, count(*) AS n FROM refs WHERE h IS NOT NULL GROUP BY f)
       SELECT r.f AS source_file, r.h AS source_sha256, CASE WHEN r.f IS NULL OR r.h IS NULL THEN 'incomplete_reference' WHEN k.n > 1 THEN 'conflicting_hashes'
         WHEN i.f IS NULL THEN 'missing_file' WHEN i.h <> r.h THEN 'hash_mismatch' END AS failure
@@ -199,8 +200,8 @@ def market_hash_check_query(spark, sf):
         .alias("source_sha256"),
     )
     key = F.col("c_custkey").cast("string")
-    files = view(spark, sf, "customer").filter("c_custkey % 11 > 0").select(
-        F.concat(F.lit("m/"), key).alias("relative_path"),
+    files = view(spark, sf, "customer").select(
+        F.concat(F.when(F.col("c_custkey") % 11 == 0, "gone/").otherwise("m/"), key).alias("relative_path"),
         F.sha2(F.concat(F.when(F.col("c_custkey") % 9 == 1, "d").otherwise("c"), key), 256).alias("sha256"),
     )
     return integrity.market_hash_check(references, files)
@@ -311,11 +312,11 @@ def register_frames(spark, sf):
         "source", "role", path.alias("path"), F.when(i % 13 == 0, "elsewhere").otherwise(path).alias("expected_path"),
         F.col("n_chars").alias("size_bytes"), F.when(i % 17 != 0, F.sha2("text", 256)).alias("sha256"),
     )
-    inventory = docs.filter("doc_id % 19 > 0").select(
-        "source", path.alias("relative_path"), (F.col("n_chars") + F.when(i % 11 == 0, 1).otherwise(0)).alias("size_bytes"), F.sha2("text", 256).alias("sha256")
+    inventory = docs.select(
+        "source", F.when(i % 19 == 0, F.concat(F.lit("gone/"), path)).otherwise(path).alias("relative_path"), (F.col("n_chars") + F.when(i % 11 == 0, 1).otherwise(0)).alias("size_bytes"), F.sha2("text", 256).alias("sha256")
     )
-    bindings = docs.filter("doc_id % 2 = 0").select(
-        "source", "role", F.when(i % 7 == 0, F.sha2(F.lit("reviewed"), 256)).otherwise(F.sha2("text", 256)).alias("sha256")
+    bindings = docs.select(
+        "source", F.when(i % 2 == 0, i).otherwise(-1 - i).alias("role"), F.when(i % 7 == 0, F.sha2(F.lit("reviewed"), 256)).otherwise(F.sha2("text", 256)).alias("sha256")
     )
     return register, inventory, bindings
 
@@ -344,7 +345,7 @@ fails AS (
   UNION ALL SELECT audit_id, 'scope_equal', 1 FROM audits WHERE audit_id = 4
   UNION ALL SELECT audit_id, 'claim_artifacts_equal_ledger', count(*) FROM c WHERE audit_id = 5 AND event_id % 3 = 0 GROUP BY 1
   UNION ALL SELECT audit_id, 'extraction_counts_recomputed', 1 FROM audits WHERE audit_id = 6
-  UNION ALL SELECT audit_id, 'outcomes_cover_claims', count(*) FROM c WHERE audit_id = 7 AND event_id % 4 = 0 GROUP BY 1
+  UNION ALL SELECT audit_id, 'outcomes_cover_claims', 2 * count(*) FROM c WHERE audit_id = 7 AND event_id % 4 = 0 GROUP BY 1
   UNION ALL SELECT audit_id, 'scores_cover_claims', 2 * count(*) FROM c WHERE audit_id = 8 AND event_id % 5 = 0 GROUP BY 1
   UNION ALL SELECT audit_id, 'score_artifacts_equal_ledger', count(*) FROM c WHERE audit_id = 9 AND event_id % 6 = 0 GROUP BY 1
   UNION ALL SELECT audit_id, 'score_video_binding', count(*) FROM c WHERE audit_id = 10 AND event_id % 7 = 0 GROUP BY 1
@@ -365,7 +366,8 @@ def reconcile_rows(spark, sf):
     artifacts = claims.withColumn(
         "scoreability", F.when((a == 5) & (F.col("claim_id") % 3 == 0), "changed").otherwise(F.col("scoreability"))
     )
-    outcomes = claims.filter("NOT (audit_id = 7 AND claim_id % 4 = 0)")
+    lost = (a == 7) & (F.col("claim_id") % 4 == 0)
+    outcomes = claims.withColumn("claim_id", F.when(lost, -1 - F.col("claim_id")).otherwise(F.col("claim_id")))
     result = F.when(e % 2 == 0, "correct").otherwise("not_triggered")
     scores = base.select(
         "audit_id", F.when((a == 8) & (e % 5 == 0), -1 - e).otherwise(e).alias("claim_id"),

@@ -164,7 +164,8 @@ def _category_sql(text: str) -> str:
 )
 def classify_category_query(spark, sf):
     videos = view(spark, sf, "videos").drop("category")
-    overrides = videos.filter("doc_id % 31 = 0").select("video_id", F.lit("override_desk").alias("category"))
+    known = F.when(F.col("doc_id") % 31 == 0, F.col("video_id")).otherwise(F.concat(F.lit("other-"), "video_id"))
+    overrides = videos.select(known.alias("video_id"), F.lit("override_desk").alias("category"))
     return resolve.classify_category(videos, overrides).select("doc_id", "category")
 
 
@@ -313,20 +314,20 @@ def transcript_text_query(spark, sf):
 
 
 SEGMENT_CTE = """
-segs AS (SELECT conv_id, turn AS seq, CAST(turn AS DOUBLE) * 7.25 + 0.125 AS s, CASE WHEN turn % 3 = 1 THEN NULL ELSE CAST(turn AS DOUBLE) * 7.25 + 2.5 END AS e,
-  CASE WHEN turn % 4 = 3 THEN '  ' ELSE text END AS text FROM {conversations} WHERE conv_id % 5 > 0),
-moved AS (SELECT conv_id, seq, s + 600 AS s, greatest(coalesce(e, s) + 600, s + 600 + CAST(0.001 AS DOUBLE)) AS e, text FROM segs
+segs AS (SELECT CASE WHEN conv_id % 5 = 0 THEN -1 - conv_id ELSE conv_id END AS conv_id, turn AS seq, CAST(turn AS DOUBLE) * 7.25 + 0.125 AS s, CASE WHEN turn % 3 = 1 THEN NULL ELSE CAST(turn AS DOUBLE) * 7.25 + 2.5 END AS e,
+  CASE WHEN turn % 4 = 3 THEN '  ' ELSE text END AS text FROM {conversations}),
+moved AS (SELECT conv_id, seq, s + 600 AS s, greatest(coalesce(e, s) + 600, s + 600 + CAST(0.001 AS DOUBLE)) AS e, text FROM segs WHERE conv_id IN (SELECT conv_id FROM {conversations})
   UNION ALL SELECT conv_id, 0, 600, 600 + CAST(25.0 AS DOUBLE), text FROM (
-    SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM {conversations} WHERE conv_id % 5 = 0 GROUP BY 1))"""
+    SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM {conversations} WHERE conv_id NOT IN (SELECT conv_id FROM segs) GROUP BY 1))"""
 
 
 def _segment_frames(spark, sf):
-    """Turns as segments; every fifth conversation only has a whole-chunk text."""
+    """Turns as segments; those of every fifth conversation belong to unknown chunks."""
     turns = view(spark, sf, "conversations")
     at = F.col("turn").cast("double") * 7.25
-    has_segments = F.col("conv_id") % 5 > 0
-    segments = turns.filter(has_segments).select(
-        "conv_id", F.col("turn").alias("seq"), (at + 0.125).alias("start"),
+    i = F.col("conv_id")
+    segments = turns.select(
+        F.when(i % 5 == 0, -1 - i).otherwise(i).alias("conv_id"), F.col("turn").alias("seq"), (at + 0.125).alias("start"),
         F.when(F.col("turn") % 3 != 1, at + 2.5).alias("end"),
         F.when(F.col("turn") % 4 == 3, "  ").otherwise(F.col("text")).alias("text"),
     )
@@ -358,8 +359,8 @@ def segments_to_srt_query(spark, sf):
 
 # --- manifest -----------------------------------------------------------------------------------
 
-_FILES = """SELECT video_id, name FROM (SELECT video_id, doc_id, unnest(['x.en.srt', 'x.FR.vtt', 'x.provided.fr.txt', 'x.txt', 'x.en.vtt', 'x.de.srt', 'x.aa.srt']) AS name,
-  unnest([1, 2, 3, 5, 7, 4, 6]) AS step FROM {videos}) WHERE (doc_id + step) % step = 0"""
+_FILES = """SELECT video_id, CASE WHEN (doc_id + step) % step = 0 THEN name ELSE name || '.part' END AS name FROM (SELECT video_id, doc_id, unnest(['x.en.srt', 'x.FR.vtt', 'x.provided.fr.txt', 'x.txt', 'x.en.vtt', 'x.de.srt', 'x.aa.srt']) AS name,
+  unnest([1, 2, 3, 5, 7, 4, 6]) AS step FROM {videos})"""
 
 
 @query(
@@ -373,7 +374,9 @@ _FILES = """SELECT video_id, name FROM (SELECT video_id, doc_id, unnest(['x.en.s
 def pick_track_query(spark, sf):
     names = [("x.en.srt", 1), ("x.FR.vtt", 2), ("x.provided.fr.txt", 3), ("x.txt", 5), ("x.en.vtt", 7), ("x.de.srt", 4), ("x.aa.srt", 6)]
     listed = F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("step")) for n, s in names]))
-    files = view(spark, sf, "videos").select("video_id", "doc_id", listed).filter("(doc_id + step) % step = 0")
+    files = view(spark, sf, "videos").select("video_id", "doc_id", listed)
+    whole = (F.col("doc_id") + F.col("step")) % F.col("step") == 0
+    files = files.withColumn("name", F.when(whole, F.col("name")).otherwise(F.concat("name", F.lit(".part"))))
     return transcripts.pick_track(files.select("video_id", "name"), ["en", "fr"])
 
 
