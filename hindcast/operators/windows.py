@@ -45,19 +45,22 @@ def series_profile(series: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
+def usable_bars(bars: DataFrame, profile: DataFrame) -> DataFrame:
+    """Bars (with ``prev_ts``) of series that can be windowed, plus policy and gap."""
+    ready = profile.filter("blocked_status IS NULL").select("series_key", *POLICY)
+    return bars.join(ready, "series_key").withColumn(
+        "gap_seconds", nums.seconds_between(F.col("ts"), F.col("prev_ts"))
+    )
+
+
 def prepare(bars: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(profile, usable bars): every bar is checked once, not once per claim.
 
-    Usable bars belong to series that can be windowed; they carry the policy and
-    the gap to the bar before, which in a sound series is the row before.
+    In a sound series the bar before is the row before.
     """
     checked = quality.checked_bars(bars)
     profile = series_profile(series, quality.verdicts_of(checked))
-    ready = profile.filter("blocked_status IS NULL").select("series_key", *POLICY)
-    usable = checked.drop("broken").join(ready, "series_key").withColumn(
-        "gap_seconds", nums.seconds_between(F.col("ts"), F.col("prev_ts"))
-    )
-    return profile, usable
+    return profile, usable_bars(checked.drop("broken"), profile)
 
 
 def asof_entry_bar(anchors: DataFrame, bars: DataFrame, profile: DataFrame) -> DataFrame:
@@ -339,7 +342,18 @@ def outcome_windows(
 
     ``assets`` are available (claim_id, asset_pos, series_key, anchor) rows.
     """
-    profile, usable = prepare(bars, series)
+    return windows_over(assets, *prepare(bars, series), as_of, hours, block_seconds)
+
+
+def windows_over(
+    assets: DataFrame,
+    profile: DataFrame,
+    usable: DataFrame,
+    as_of: Column,
+    hours: tuple[int, ...] = fv.HORIZON_HOURS,
+    block_seconds: int | None = None,
+) -> DataFrame:
+    """``outcome_windows`` on bars that were checked before."""
     located = asof_entry_bar(assets, usable, profile)
     entries = located.filter("entry_ts IS NOT NULL").select("series_key", "entry_ts").distinct()
     stats = window_status(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators import windows
+from hindcast.operators import quality, windows
 from hindcast.streaming.tables import drain, read_batch, read_batches, write_batch
 
 
@@ -14,26 +14,36 @@ def stream_outcome_windows(bars: DataFrame, assets: DataFrame, series: DataFrame
 
     After every batch the newest bar stamp is the clock. Windows that the clock
     has passed are emitted once and for all; ``window_not_elapsed`` and
-    ``no_bar_after_publication`` stay open for the next batch. Bars older than
-    the clock of the batch before are late and ignored. The windows come from
-    the batch operator, over open claims and the bars they can still touch.
+    ``no_bar_after_publication`` stay open for the next batch. Bars not newer
+    than the clock of the batch before are late and ignored, so the order of a
+    series can only break inside a batch: only fresh bars are checked, verdicts
+    add up in a small state table. The windows come from the batch operator, over
+    open claims and the bars they can still touch.
     """
     keys = ["claim_id", "asset_pos"]
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        clock = read_batch(spark, f"{root}/clock", batch_id - 1) if batch_id else None
+        before = read_batch(spark, f"{root}/state", batch_id - 1) if batch_id else None
         fresh = batch
-        if clock is not None:
-            fresh = batch.filter(F.col("ts") > clock.select("clock").scalar())
+        if before is not None:
+            fresh = batch.filter(F.col("ts") > before.agg(F.max("last_ts")).scalar())
         write_batch(fresh, f"{root}/bars", batch_id)
+        fresh = read_batch(spark, f"{root}/bars", batch_id)
+        verdicts = quality.series_verdicts(fresh).select("series_key", "last_ts", "valid")
+        both = verdicts if before is None else verdicts.unionByName(before)
+        write_batch(
+            both.groupBy("series_key").agg(F.max("last_ts").alias("last_ts"), F.every("valid").alias("valid")),
+            f"{root}/state", batch_id,
+        )
+        state = read_batch(spark, f"{root}/state", batch_id)
+        waiting = read_batch(spark, f"{root}/open", batch_id - 1) if batch_id else assets
         known = read_batches(spark, f"{root}/bars").filter(F.col("batch") <= batch_id).drop("batch")
-        write_batch(known.agg(F.max("ts").alias("clock")), f"{root}/clock", batch_id)
-        now = read_batch(spark, f"{root}/clock", batch_id).select("clock").scalar()
-        waiting = assets
-        if batch_id:
-            waiting = read_batch(spark, f"{root}/open", batch_id - 1)
-        long = windows.outcome_windows(waiting, known, series, now)
+        near = known.filter(F.col("ts") >= waiting.agg(F.min("anchor")).scalar())
+        profile = windows.series_profile(series, state)
+        usable = windows.usable_bars(quality.lag_gap(near).drop("gap_seconds"), profile)
+        now = state.agg(F.max("last_ts")).scalar()
+        long = windows.windows_over(waiting, profile, usable, now)
         settled = ~F.col("status").isin("window_not_elapsed", "no_bar_after_publication")
         whole = long.groupBy(*keys).agg(F.every(settled).alias("_settled"))
         rows = long.join(whole, keys)
