@@ -114,16 +114,18 @@ def classify_category(
 ) -> DataFrame:
     """Explicit category, else override, else title rules, else description rules."""
     rules = rules or merge_rules()
-    rows = videos.withColumns({f"_{c}": tx.search_text(F.col(c)) for c in ("title", "description")})
-    override = F.lit(None).cast("string")
+    rows = videos
     if overrides is not None:
-        rows = rows.join(overrides.withColumnRenamed("category", "_override"), "video_id", "left")
-        override = F.col("_override")
-    explicit = F.nullif(F.col("audit_category"), F.lit("")) if "audit_category" in videos.columns else None
-    choices = [override, category_expr(F.col("_title"), rules), category_expr(F.col("_description"), rules), F.lit("unknown")]
-    if explicit is not None:
-        choices.insert(0, explicit)
-    return rows.withColumn("category", F.coalesce(*choices)).drop("_override", "_title", "_description")
+        rows = videos.join(overrides.withColumnRenamed("category", "_override"), "video_id", "left")
+    known = [F.col("_override")] if overrides is not None else []
+    if "audit_category" in videos.columns:
+        known.insert(0, F.nullif(F.col("audit_category"), F.lit("")))
+    # long descriptions are only normalized and scanned where nothing before them decides
+    rows = rows.withColumn("_title", tx.search_text(F.col("title")))
+    rows = rows.withColumn("_early", F.coalesce(*known, category_expr(F.col("_title"), rules)))
+    rows = rows.withColumn("_body", F.when(F.col("_early").isNull(), tx.search_text(F.col("description"))))
+    decided = F.coalesce(F.col("_early"), category_expr(F.col("_body"), rules), F.lit("unknown"))
+    return rows.withColumn("category", decided).drop("_override", "_title", "_early", "_body")
 
 
 def keyword_theta_join(texts: DataFrame, text: str, rules: dict[str, list[str]], keep: list[str]) -> DataFrame:
