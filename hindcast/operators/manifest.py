@@ -92,14 +92,19 @@ def manifest_summary(videos: DataFrame, keys: list[str]) -> DataFrame:
 def manifest_breakdown(videos: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by category, date and provenance as long rows (facet, value)."""
     key_columns = [F.col(k) for k in keys]
-    facets = videos.withColumn("provenance", F.coalesce("subtitle_provenance", F.lit("missing")))
+    # one row per combination before the three grouping sets multiply it
+    facets = (
+        videos.withColumn("provenance", F.coalesce("subtitle_provenance", F.lit("missing")))
+        .groupBy(*keys, "category", "upload_date", "provenance")
+        .agg(F.count_if("audit_eligible").alias("_included"), F.count(F.lit(1)).alias("_found"))
+    )
     grouped = facets.groupingSets(
         [[*key_columns, F.col(c)] for c in ("category", "upload_date", "provenance")],
         *keys, "category", "upload_date", "provenance",
     ).agg(
         F.grouping_id(*keys, "category", "upload_date", "provenance").alias("_set"),
-        F.count_if("audit_eligible").alias("included"),
-        F.count(F.lit(1)).alias("found"),
+        F.sum("_included").alias("included"),
+        F.sum("_found").alias("found"),
     )
     facet = F.when(F.col("_set") == 3, "category").when(F.col("_set") == 5, "date").otherwise("provenance")
     value = F.when(F.col("_set") == 3, F.col("category")).when(F.col("_set") == 5, F.col("upload_date")).otherwise(F.col("provenance"))

@@ -33,10 +33,16 @@ def _final_score(df: DataFrame) -> DataFrame:
 
 
 def score_aggregate(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Totals per key and per (key, category) in one pass; category null = total."""
+    """Totals per key and per (key, category) in one pass; category null = total.
+
+    Score rows are reduced to one row per (key, category) first, so that the
+    grouping sets only multiply those.
+    """
+    fine = scores.groupBy(*keys, "category").agg(*_score_sums())
     sets = [[F.col(k) for k in keys], [*[F.col(k) for k in keys], F.col("category")]]
-    grouped = scores.groupingSets(sets, *keys, "category").agg(
-        F.grouping("category").cast("int").alias("is_total"), *_score_sums()
+    summed = [F.sum(c).alias(c) for c in fine.columns if c not in (*keys, "category")]
+    grouped = fine.groupingSets(sets, *keys, "category").agg(
+        F.grouping("category").cast("int").alias("is_total"), *summed
     )
     return _final_score(grouped)
 
