@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.llm import token_counts  # noqa: F401
+from hindcast.llm import chunk_bpe, secret_layers, token_counts  # noqa: F401
 from hindcast.llm.registry import CHECKS, PLANS, Plan
 
 

@@ -14,6 +14,7 @@ an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,7 +28,7 @@ from hindcast.llm.common import bounded_batches, id_and_text, in_blocks, table
 from hindcast.llm.registry import query
 
 #: fixed value: how byte-level vocabularies of this kind cut text before merging
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 MEMO_PIECES = 400_000
 _WORKERS: dict[int, "Counter"] = {}
 
@@ -39,6 +40,7 @@ class Vocabulary:
     model: str
     whole: list[str]
     added: list[str]
+    doubtful: str
 
 
 def prove_whole_tokens(path: str) -> Vocabulary:
@@ -52,7 +54,8 @@ def prove_whole_tokens(path: str) -> Vocabulary:
         piece = bpe.unspell(token)
         if piece and merges.apply(token) == [token]:
             whole.append(piece)
-    return Vocabulary(text, whole, [t["content"] for t in model["added_tokens"]])
+    doubtful = bpe.doubtful(Tokenizer.from_str(text), PIECES.findall)
+    return Vocabulary(text, whole, [t["content"] for t in model["added_tokens"]], doubtful)
 
 
 class Counter(dict):
@@ -64,7 +67,7 @@ class Counter(dict):
         self.tokenizer = Tokenizer.from_str(vocabulary.model)
         self.merge = self.tokenizer.model.tokenize
         self.limit = len(self) + MEMO_PIECES
-        self.pieces = regex.compile(PIECES)
+        self.doubtful = re.compile(vocabulary.doubtful)
         self.added = regex.compile("|".join(regex.escape(t) for t in vocabulary.added)) if vocabulary.added else None
 
     def __missing__(self, piece: str) -> int:
@@ -77,11 +80,13 @@ class Counter(dict):
         return n
 
     def count(self, text: str) -> int:
+        if not text.isascii() and self.doubtful.search(text):  # newer letters: ask the library
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = self.added.split(text) if self.added else [text]
         total = len(parts) - 1
         for part in parts:
             for block in in_blocks(part):
-                total += sum(map(self.__getitem__, self.pieces.findall(block)))
+                total += sum(map(self.__getitem__, PIECES.findall(block)))
         return total
 
 
