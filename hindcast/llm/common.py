@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +22,20 @@ _FLIP = np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.uint64(0x94D049BB133111EB)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_hindcast_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = f"{tempfile.mkdtemp(prefix='hindcast-')}/hindcast.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._hindcast_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +48,8 @@ def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small."""
+    """Before work in Python: keep Arrow batches of long texts small, and have the package on the executors."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) != BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
