@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.llm import chunk_bpe, decontamination, language_evidence, near_dedup, secret_layers, token_counts  # noqa: F401
+from hindcast.llm import chunk_bpe, decontamination, language_evidence, near_dedup, pitman_yor, secret_layers, token_counts  # noqa: F401
 from hindcast.llm.registry import CHECKS, PLANS, Plan
 
 

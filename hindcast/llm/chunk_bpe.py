@@ -1,9 +1,9 @@
 """BPE encoding and decoding that encodes shared passages once (operator 5).
 
 Texts are cut where a rolling hash over 32 bytes hits a pattern, so equal passages give equal chunks
-wherever they stand. Documents that share content are dealt to the same tasks (by their smallest
-chunk hash, with partitions that grew too large split again), and there each distinct chunk is
-encoded once. A chunk keeps the ids of its whole words only; the text around each cut is encoded
+wherever they stand. Documents that share content are dealt to the same tasks, by their smallest chunk
+hash (a hash that is frequent in one task is spread over several places, eight documents each), and there
+each distinct chunk is encoded once. A chunk keeps the ids of its whole words only; the text around each cut is encoded
 again together with the last word before and the first word after it. A join stands if both words
 come out with the ids they had in their chunks; otherwise the document is encoded as a whole, which
 is where the widening ends.
@@ -24,6 +24,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -44,9 +45,13 @@ CUT_MASK = np.uint32((1 << 10) - 1)
 LEAST, MOST = 256, 8192
 MEMO_TOKENS = 4_000_000
 MEMO_PIECES = 400_000
+#: documents of one task that go to the same place for a chunk they share
+TOGETHER = 8
 #: fixed value: how this vocabulary cuts text into pieces; what is in no piece is dropped
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 GEAR = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+#: the same for texts of ASCII alone
+ASCII_PIECES = re.compile(r"""[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s a-z0-9]+""")
 #: only these separate words for sure: the tokenizer drops them and merges nothing across
 SPACE = " \n"
 _WORKERS: dict[int, "Encoder"] = {}
@@ -106,6 +111,8 @@ def split_chunk(chunk: str) -> tuple[str, str, str]:
 
 def pieces_of(text: str) -> list[str]:
     """Composed, in lower case, cut into pieces. A sigma at the end of a word stays an ordinary one."""
+    if text.isascii():
+        return ASCII_PIECES.findall(text.lower())
     return PIECES.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
 
 
@@ -235,14 +242,18 @@ def by_shared_content(docs: DataFrame) -> DataFrame:
     """doc_id and text, documents with a chunk in common mostly in one partition."""
 
     @F.pandas_udf("long")
-    def smallest_chunk(texts: pd.Series) -> pd.Series:
-        def least(text: str) -> int:
-            return min((int.from_bytes(chunk_hash(c)[:7], "little") for c in cut_chunks(text)), default=0)
-
-        return texts.map(least).astype("int64")
-
-    # a rebalance deals by the key, and splits partitions that become too large
-    return id_and_text(docs).withColumn("_near", smallest_chunk("text")).hint("rebalance", "_near").drop("_near")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        met: Counter = Counter()
+        for texts in batches:
+            keys = []
+            for text in texts:
+                least = min((chunk_hash(c)[:8] for c in cut_chunks(text)), default=b"")
+                met[least] += 1
+                # a passage that is frequent in this task goes on to further places
+                keys.append((int.from_bytes(least, "little") + (met[least] - 1) // TOGETHER) & (2**63 - 1))
+            yield pd.Series(keys, dtype="int64")
+
+    return id_and_text(docs).withColumn("_near", place("text")).repartition("_near").drop("_near")
 
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
