@@ -51,7 +51,7 @@ TOGETHER = 8
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 GEAR = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 #: the same for texts of ASCII alone
-ASCII_PIECES = re.compile(r"""[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s a-z0-9]+""")
+ASCII_PIECES = re.compile(r"""[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t-\ra-z0-9]+""")
 #: only these separate words for sure: the tokenizer drops them and merges nothing across
 SPACE = " \n"
 _WORKERS: dict[int, "Encoder"] = {}
