@@ -6,9 +6,10 @@ population count of two sketches' XOR estimates how many samples differ. Documen
 are one class from then on. Classes that share a band are candidates; sketches sort out those that
 cannot reach the threshold; the full sets decide.
 
-Candidates come in two rounds, so that a band with thousands of members never turns into all its
-pairs: first every member against the smallest of its band, then, once the confirmed links are merged,
-only members of one band that are still in different components. A pair at the threshold of 0.75 shares
+Candidates come in two rounds, so that a band with thousands of members never turns into rows of all its
+pairs: first every member against the smallest of its band; then, once the confirmed links are merged, bands
+that still hold several components are joined into groups, and those are compared in tiles of bounded size,
+each of which returns only links that join what is still apart. A pair at the threshold of 0.75 shares
 no band with a probability of 5e-6 and is turned away by its sketch (taken as hopeless below an
 estimate of 0.5) with about 1e-6.
 
@@ -38,6 +39,8 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
+#: members of one tile, on average
+TILE = 512
 #: XOR population count of two sketches whose estimate is still 0.5
 MOST_BITS = math.floor(SKETCH_BITS / 2 * (1 - math.exp(-2 * SAMPLES / SKETCH_BITS)))
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -97,15 +100,15 @@ def _remembered_set(text: str) -> np.ndarray:
     return shingle_set(text)
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
 def _alike(left: pd.Series, right: pd.Series) -> pd.Series:
     """100 * intersection >= 75 * union, on the full sets."""
 
-    def decide(a: str, b: str) -> bool:
-        x, y = _remembered_set(a), _remembered_set(b)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= 75 * (len(x) + len(y) - both)
-
-    return pd.Series([decide(a, b) for a, b in zip(left, right)], dtype=bool)
+    return pd.Series([alike(_remembered_set(a), _remembered_set(b)) for a, b in zip(left, right)], dtype=bool)
 
 
 def _close(a: str, b: str):
@@ -113,13 +116,51 @@ def _close(a: str, b: str):
     return F.aggregate(differ, F.lit(0), lambda s, x: s + x) <= MOST_BITS
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    involved = materialize(texts.join(wanted, texts.doc_id == wanted.node, "left_semi"))
-    left = involved.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = involved.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").filter(F.pandas_udf(_alike, "boolean")("text_a", "text_b")).select("a", "b")
+def _tile_links(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+    """Links of one tile pair that join components which were apart, tried from the closest sketches on.
+
+    A link inside a component that has been joined here already adds nothing, so at most one link per member
+    and tile pair comes out, however many pairs are alike.
+    """
+    _, low, high = key
+    members = members.sort_values("node", ignore_index=True)
+    sketches = np.stack(members["sketch"].to_numpy()).view(np.uint64)
+    tiles, nodes = members["tile"].to_numpy(), members["node"].to_numpy()
+    names, place = np.unique(members["component"].to_numpy(), return_inverse=True)
+    above = np.arange(len(names))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return int(x)
+
+    sets: dict[int, np.ndarray] = {}
+
+    def own(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingle_set(members["text"][k])
+        return sets[k]
+
+    left, right, differ = [], [], []
+    theirs = np.flatnonzero(tiles == high)
+    for k in np.flatnonzero(tiles == low):
+        others = theirs[(place[theirs] != place[k]) & ((theirs > k) | (low != high))]
+        bits = np.bitwise_count(sketches[others] ^ sketches[k]).sum(axis=1, dtype=np.int64)
+        near = bits <= MOST_BITS
+        left.append(np.full(int(near.sum()), k))
+        right.append(others[near])
+        differ.append(bits[near])
+    found = []
+    if left:
+        left, right = np.concatenate(left), np.concatenate(right)
+        for at in np.argsort(np.concatenate(differ), kind="stable"):
+            a, b = int(left[at]), int(right[at])
+            x, y = top(place[a]), top(place[b])
+            if x != y and alike(own(a), own(b)):
+                above[max(x, y)] = min(x, y)
+                found.append((nodes[a], nodes[b]))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -137,34 +178,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = materialize(banded.join(shared.drop("n"), ["band", "value"]))
-    sketches = nodes.select("node", "sketch")
+    involved = members.select("node").distinct()
+    known = nodes.join(involved, "node", "left_semi").select("node", "sketch")
+    # a doc_id with several texts is one node with several rows here
+    wide = materialize(texts.join(involved, texts.doc_id == involved.node, "left_semi").distinct().join(known.withColumnRenamed("node", "doc_id"), "doc_id"))
 
-    def sketched(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-        with_b = with_a.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        return materialize(with_b.filter(_close("sa", "sb")).select("a", "b").distinct())
+    def side(name: str) -> DataFrame:
+        return wide.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
+    # first round: everyone against the smallest member of the band
     stars = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = materialize(_confirm(sketched(stars), texts))
+    met = stars.join(side("a"), "a").join(side("b"), "b").filter(_close("sketch_a", "sketch_b"))
+    first = materialize(met.filter(F.pandas_udf(_alike, "boolean")("text_a", "text_b")).select("a", "b").distinct())
     merged = materialize(components(first))
 
-    # what the stars left apart: members of one band in different components, against all others in it
-    placed = members.join(merged, "node", "left").select(
-        "band", "value", "node", "hub", F.coalesce("component", "node").alias("component")
-    )
-    hubs = merged.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    placed = materialize(
-        placed.join(hubs, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
-    )
-    apart = placed.filter("component <> hub_component").select(
-        "band", "value", F.col("node").alias("a"), F.col("component").alias("ca")
-    )
-    others = placed.filter("node <> hub").select(
-        "band", "value", F.col("node").alias("b"), F.col("component").alias("cb"), "hub_component"
+    # second round: bands that still hold several components, joined into groups and compared tile by tile
+    placed = materialize(members.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    torn = placed.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    open_ = placed.join(torn.select("band", "value"), ["band", "value"], "left_semi")
+    groups = materialize(components(open_.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "group"))
+    sized = groups.join(groups.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "group")
+    tiled = (
+        sized.join(merged, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        .join(wide.withColumnRenamed("doc_id", "node"), "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("group", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "component", "text", "sketch")
     )
-    # two members that are both apart meet twice otherwise
-    crossed = apart.join(others, ["band", "value"]).filter("ca <> cb and (cb = hub_component or a < b)")
-    second = _confirm(sketched(crossed.select("a", "b").distinct()), texts)
+    second = tiled.groupBy("group", "low", "high").applyInPandas(_tile_links, "a long, b long")
     links = materialize(first.union(second))
     final = components(links)
 
