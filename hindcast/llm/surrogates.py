@@ -47,15 +47,16 @@ SYLLABLES = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_ADDRESS = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _TITLES = "|".join(sorted(FEMALE + MALE + EITHER, key=len, reverse=True))
 #: fixed values: what counts as an entity, in the order of preference at one place
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
+    "ip": rf"(?<![\d.]){_ADDRESS}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
+    "phone": rf"\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?(?!{_ADDRESS}(?!\.?\d))\d{{2,4}}){{2,5}}(?!\d)" + r"|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "card": r"(?<![\dA-Za-z])(?:\d{4}[ -]){3}\d{4}(?![\dA-Za-z])|(?<![\dA-Za-z])\d{13,19}(?![\dA-Za-z])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
 KINDS = list(PATTERNS)
