@@ -77,13 +77,17 @@ def fit(labelled: DataFrame) -> Model:
     bounded_batches(labelled.sparkSession)
     known = labelled.select("doc_id", F.lower("lang").alias("lang"), "text").filter("lang <> '' and text is not null")
     names = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(row.lang for row in names.collect())
+    sizes = {row.lang: row.n for row in names.collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 1), dtype=np.float32))
     first = Window.partitionBy("lang").orderBy("mark", "doc_id")
+    # only hashes low enough to be among the first go on to the sort, so no task gets all rows of a language
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 3 * SAMPLE_ROWS / n))])
     ids = (
         known.filter(F.col("lang").isin(languages))
-        .select("lang", "doc_id", F.xxhash64("doc_id").alias("mark"))
+        .select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("mark"))
+        .filter(F.col("mark") < share[F.col("lang")] * (1 << 40))
         .withColumn("k", F.row_number().over(first))
         .filter(F.col("k") <= SAMPLE_ROWS)
         .select("lang", "doc_id")
