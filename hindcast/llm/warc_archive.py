@@ -138,20 +138,21 @@ def read_archive(source) -> Iterator[bytes]:
         learned, head = zstandard.ZstdCompressionDict(content), b""
     opened = zstandard.ZstdDecompressor(dict_data=learned) if learned else zstandard.ZstdDecompressor()
     rest = head
-    frame, parts = opened.decompressobj(), []
+    frame, parts, inside = opened.decompressobj(), [], False
     while True:
         if not rest:
             rest = source.read(READ_BYTES)
             if not rest:
                 break
         parts.append(frame.decompress(rest))
+        inside = not frame.eof
         if frame.eof:
             yield b"".join(parts)
             rest = frame.unused_data
             frame, parts = opened.decompressobj(), []
         else:
             rest = b""
-    if any(parts):
+    if inside:
         raise ValueError("an archive is cut short")
 
 
