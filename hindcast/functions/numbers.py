@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-# date, time to the microsecond, and an offset or Z
-_AWARE_TS = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?(?:Z|[+-]\d{2}(?::?\d{2})?)$"
-_NAIVE_TS = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?)?$"
+# a date (calendar or ISO week, basic or extended), any separator, a time with hours at least, an offset or Z
+_DATE = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)"
+_CLOCK = r"(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d*))?)?|(\d{2})(?:(\d{2})(?:[.,](\d*))?)?)?"
+_OFFSET = r"(?:(Z)|([+-])(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d*))?)?|(\d{2})(?:(\d{2})(?:[.,](\d*))?)?)?)"
+_AWARE_TS = rf"^{_DATE}(?s:.){_CLOCK}{_OFFSET}$"
+_NAIVE_TS = rf"^{_DATE}(?:(?s:.){_CLOCK})?$"
 
 
 def clean_number(value: Column, text: bool = False) -> Column:
@@ -20,7 +23,30 @@ def clean_number(value: Column, text: bool = False) -> Column:
     if text:
         number = F.when(value.rlike(_NUMBER_TEXT), number)
     finite = ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
-    return F.when(finite, F.round(number, 8))
+    return F.when(finite, _eight_places(number))
+
+
+def _eight_places(value: Column) -> Column:
+    """The double nearest to the value's exact binary expansion rounded to eight places, ties to even.
+
+    From 2**26 on doubles lie farther apart than the places reach. Below, the fraction is cut into
+    34, 26 and the last bits, so that each product with 10**8 is exact; the sum of the last two steps
+    is only asked for its sign, which floating point gets right.
+    """
+    size = F.abs(value)
+    scale = F.lit(1e8)
+    cut = lambda x, bits: F.floor(x * F.lit(float(2**bits))).cast("double") / F.lit(float(2**bits))
+    whole = F.floor(size).cast("double")
+    fraction = size - whole
+    first = cut(fraction, 34)
+    rest = fraction - first
+    second = cut(rest, 60)
+    scaled = first * scale
+    down = F.floor(scaled).cast("double")
+    tie = ((scaled - down) - F.lit(0.5) + second * scale) + (rest - second) * scale
+    up = (tie > 0) | ((tie == 0) & ((whole * scale + down) % 2 == 1))
+    rounded = (whole * scale + down + F.when(up, 1.0).otherwise(0.0)) / scale
+    return F.when(size >= F.lit(float(2**26)), value).otherwise(F.when(value < 0, -rounded).otherwise(rounded))
 
 
 def round_half_even(value: Column, places: int) -> Column:
@@ -72,22 +98,53 @@ def percent_sql(part: str, total: str) -> str:
     )
 
 
+def _days(text: Column, pattern: str) -> Column:
+    """Days since the epoch of the date at the start of a stamp, or null."""
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    number = lambda k: part(k).try_cast("int")
+    calendar = F.concat_ws("-", part(1), F.coalesce(F.nullif(part(2), F.lit("")), part(4)), F.coalesce(F.nullif(part(3), F.lit("")), part(5)))
+    week = F.coalesce(number(6), number(8))
+    day = F.coalesce(number(7), number(9), F.lit(1))
+    # week 1 holds January 4; the last week of a year holds December 28
+    fourth = F.concat(part(1), F.lit("-01-04")).try_cast("date")
+    last = F.weekofyear(F.concat(part(1), F.lit("-12-28")).try_cast("date"))
+    monday = F.unix_date(fourth) - F.weekday(fourth)
+    by_week = F.when((week >= 1) & (week <= last) & day.between(1, 7), monday + (week - 1) * 7 + day - 1)
+    return F.when(week.isNull(), F.unix_date(calendar.try_cast("date"))).otherwise(by_week)
+
+
+def _clock_micros(text: Column, pattern: str, at: int, most_hours: int = 23) -> Column:
+    """Microseconds of hours, minutes, seconds and fraction in seven groups, or null; digits beyond six are cut."""
+    part = lambda k: F.regexp_extract(text, pattern, at + k)
+    either = lambda a, b: F.coalesce(F.nullif(part(a), F.lit("")), F.nullif(part(b), F.lit("")), F.lit("0"))
+    hours, minutes, seconds = part(0).try_cast("bigint"), either(1, 4).try_cast("bigint"), either(2, 5).try_cast("bigint")
+    micros_ = F.rpad(F.substr(either(3, 6), F.lit(1), F.lit(6)), 6, "0").try_cast("bigint")
+    total = ((hours * 60 + minutes) * 60 + seconds) * 1000000 + micros_
+    return F.when((hours <= most_hours) & (minutes <= 59) & (seconds <= 59), total)
+
+
 def parse_aware_ts(value: Column) -> Column:
-    """ISO-8601 text with an explicit offset -> UTC timestamp, else null."""
-    text = F.upper(F.trim(value))
-    # the cast wants seconds before an offset
-    full = F.regexp_replace(F.translate(text, ",", "."), r"([T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
-    return F.when(text.rlike(_AWARE_TS), full.try_cast("timestamp"))
+    """ISO-8601 text with an explicit offset -> UTC timestamp, else null.
+
+    Basic and extended forms, week dates, hours alone, any one-character separator, fractions of any
+    length (cut to microseconds) and offsets with seconds are read.
+    """
+    text = F.trim(value)
+    shift = F.when(F.regexp_extract(text, _AWARE_TS, 17) == "Z", F.lit(0)).otherwise(
+        _clock_micros(text, _AWARE_TS, 19) * F.when(F.regexp_extract(text, _AWARE_TS, 18) == "-", -1).otherwise(1)
+    )
+    stamp = _days(text, _AWARE_TS).cast("bigint") * 86400000000 + _clock_micros(text, _AWARE_TS, 10) - shift
+    return F.when(text.rlike(_AWARE_TS), F.timestamp_micros(stamp))
 
 
 def aware_ts_error(value: Column, parsed: Column) -> Column:
     """``empty`` / ``naive`` / ``invalid`` or null when the text was parsed."""
-    text = F.upper(F.trim(value))
+    text = F.trim(value)
+    clocked = F.regexp_extract(text, _NAIVE_TS, 10) == ""
+    naive = text.rlike(_NAIVE_TS) & _days(text, _NAIVE_TS).isNotNull() & (clocked | _clock_micros(text, _NAIVE_TS, 10).isNotNull())
     return F.when(
         parsed.isNull(),
-        F.when(value.isNull() | (text == ""), "empty")
-        .when(text.rlike(_NAIVE_TS) & text.try_cast("timestamp").isNotNull(), "naive")
-        .otherwise("invalid"),
+        F.when(value.isNull() | (text == ""), "empty").when(naive, "naive").otherwise("invalid"),
     )
 
 

@@ -8,6 +8,7 @@ Unicode ``\\w`` also takes in marks and joiners.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,8 +55,15 @@ def normalize_evidence(value: Column) -> Column:
     return collapse(F.translate(value, ZWNJ, " "))
 
 
+# every decimal digit of Unicode besides 0-9, with its value
+_DIGITS = [chr(c) for c in range(128, 0x20000) if unicodedata.category(chr(c)) == "Nd"]
+_DIGIT_VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+
+
 def ascii_digits(value: Column) -> Column:
-    return F.translate(value, fv.DIGITS_FROM, fv.DIGITS_TO)
+    """Decimal digits of any script as 0-9."""
+    foreign = value.rlike(r"[\p{Nd}&&[^0-9]]")
+    return F.when(foreign, F.translate(value, "".join(_DIGITS), _DIGIT_VALUES)).otherwise(value)
 
 
 def lines_of(value: Column) -> Column:
@@ -120,7 +128,7 @@ def level_numbers(levels: Column) -> Column:
     numbers = F.flatten(
         F.transform(texts, lambda v: F.regexp_extract_all(v, F.lit(r"(?U)-?\d+(?:\.\d+)?"), F.lit(0)))
     )
-    return F.array_distinct(F.transform(numbers, lambda v: v.cast("double")))
+    return F.array_distinct(F.transform(numbers, lambda v: v.try_cast("double")))
 
 
 def is_price_level(value: Column) -> Column:
@@ -138,9 +146,10 @@ def clean_caption(value: Column) -> Column:
 
 def cue_seconds(value: Column) -> Column:
     """``[h:]mm:ss[,.]mmm`` -> seconds."""
-    parts = F.split(F.translate(value, ",", "."), ":")
-    tail = F.element_at(parts, -1).cast("double") + F.element_at(parts, -2).cast("double") * 60.0
-    hours = F.when(F.size(parts) > 2, F.element_at(parts, 1).cast("double")).otherwise(0.0)
+    parts = F.split(F.translate(ascii_digits(value), ",", "."), ":")
+    number = lambda at: F.try_element_at(parts, F.lit(at)).try_cast("double")
+    tail = number(-1) + number(-2) * 60.0
+    hours = F.when(F.size(parts) > 2, number(1)).otherwise(0.0)
     return F.round(hours * 3600.0 + tail, 3)
 
 
@@ -161,7 +170,7 @@ def format_evidence_numbers(value: Column) -> Column:
 
     def shown(piece: Column, number: Column) -> Column:
         sign = F.when(number.startswith("+"), "+").otherwise("")
-        return F.concat(piece, F.coalesce(F.concat(sign, F.format_number(number.cast("double"), 2)), F.lit("")))
+        return F.concat(piece, F.coalesce(F.concat(sign, F.format_number(ascii_digits(number).try_cast("double"), 2)), F.lit("")))
 
     return F.array_join(F.zip_with(pieces, numbers, shown), "")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fv
 
-# scheme, user info, host, port, path, query, fragment
-_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+# scheme, user info (up to the last @ of the authority), host, port, path, query, fragment
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#]*)@)?(\[[^\]/?#]*\]|[^/?#:@]*)(?::([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _EMBEDDED = r"(?i)https?://[^\s<>\"']+"
 
 

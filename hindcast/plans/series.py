@@ -15,9 +15,10 @@ TICKS_CTE = """
 typed AS (
   SELECT series_key, row_no, fault,
     CASE fault WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN {hour} WHEN 5 THEN ts - INTERVAL 2 HOUR
-      WHEN 6 THEN ts - INTERVAL 210 MINUTE ELSE ts END AS ts,
+      WHEN 6 THEN ts - INTERVAL 210 MINUTE WHEN 20 THEN TIMESTAMP '2024-01-02 03:00:00' WHEN 21 THEN TIMESTAMP '2024-01-02 03:04:05.123456' ELSE ts END AS ts,
     CASE fault WHEN 1 THEN 'timestamp_empty' WHEN 2 THEN 'timestamp_naive' WHEN 3 THEN 'timestamp_invalid' END AS ts_error,
-    CASE WHEN fault IN (7, 8) THEN NULL ELSE round(CAST(open AS DOUBLE), 8) END AS open,
+    CASE WHEN fault IN (7, 8) THEN NULL WHEN fault = 22 THEN CAST(1.0 AS DOUBLE) WHEN fault = 23 THEN CAST(1.00000001 AS DOUBLE) WHEN fault = 24 THEN CAST(2.675 AS DOUBLE)
+      WHEN fault = 25 THEN CAST(2e-08 AS DOUBLE) ELSE round(CAST(open AS DOUBLE), 8) END AS open,
     round(CAST(high AS DOUBLE), 8) AS high, round(CAST(low AS DOUBLE), 8) AS low,
     CASE WHEN fault IN (12, 13) THEN NULL ELSE round(CAST(close AS DOUBLE), 8) END AS close
   FROM {ticks}),

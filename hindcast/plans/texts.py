@@ -232,13 +232,13 @@ def claim_logic_check_query(spark, sf):
 
 # --- captions ----------------------------------------------------------------------------------
 
-_TIME = r"(?:\d{1,2}:)?\d{2}:\d{2}[,.]\d{3}"
+_TIME = r"(?:\p{Nd}{1,2}:)?\p{Nd}{2}:\p{Nd}{2}[,.]\p{Nd}{3}"
 _CUE = rf"^\s*({_TIME})\s*-->\s*({_TIME})(?:\s+.*)?$"
 _STRIPPED = rf"regexp_replace(regexp_replace(raw, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
 
 
 def _seconds(text: str) -> str:
-    clock = f"string_split(replace({text}, ',', '.'), ':')"
+    clock = f"string_split(translate({text}, ',{fv.DIGITS_FROM}', '.{fv.DIGITS_TO}'), ':')"
     return f"round(CASE WHEN len({clock}) = 3 THEN CAST({clock}[1] AS DOUBLE) * 3600 ELSE 0 END + CAST({clock}[-2] AS DOUBLE) * 60 + CAST({clock}[-1] AS DOUBLE), 3)"
 
 
@@ -589,13 +589,13 @@ def canonical_channels_query(spark, sf):
     return view(spark, sf, "pages").select("page_id", urls.canonical_channel_url(address).alias("canonical"))
 
 
-_ADDRESS = """(SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN 'ftp://host/' || page_id ELSE 'HTTPS://Host:8080/p' || page_id || '?q#f' END AS address FROM {pages})"""
+_ADDRESS = """(SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://user:p@w:x@') WHEN 2 THEN 'ftp://host/' || page_id ELSE 'HTTPS://Host:8080/p' || page_id || '?q#f' END AS address FROM {pages})"""
 
 
 @query(
     "sanitize_url",
-    f"""SELECT page_id, CASE page_id % 4 WHEN 2 THEN '' WHEN 3 THEN 'https://host:8080/p' || page_id ELSE regexp_replace(replace(address, 'user:pw@', ''), '[?#].*$', '') END AS strict,
-      CASE page_id % 4 WHEN 2 THEN address WHEN 3 THEN 'https://host:8080/p' || page_id ELSE regexp_replace(replace(address, 'user:pw@', ''), '[?#].*$', '') END AS lenient FROM {_ADDRESS}""",
+    f"""SELECT page_id, CASE page_id % 4 WHEN 2 THEN '' WHEN 3 THEN 'https://host:8080/p' || page_id ELSE regexp_replace(replace(address, 'user:p@w:x@', ''), '[?#].*$', '') END AS strict,
+      CASE page_id % 4 WHEN 2 THEN address WHEN 3 THEN 'https://host:8080/p' || page_id ELSE regexp_replace(replace(address, 'user:p@w:x@', ''), '[?#].*$', '') END AS lenient FROM {_ADDRESS}""",
 )
 def sanitize_url_query(spark, sf):
     rows = spark.sql(f"SELECT * FROM {_ADDRESS}", pages=view(spark, sf, "pages"))
@@ -613,7 +613,7 @@ def redact_text_query(spark, sf):
     text = (
         F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("/srv/data/page"), pid, F.lit(".html")))
         .when(F.col("page_id") % 4 == 1, F.concat(F.lit("file:///tmp/"), pid))
-        .when(F.col("page_id") % 4 == 2, F.concat(F.lit("see "), url, F.lit(" and /work/audit/x "), F.col("html")))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit("see "), F.replace(url, F.lit("://"), F.lit("://u:p@ss@")), F.lit(" and /work/audit/x "), F.col("html")))
         .otherwise(url)
     )
     return view(spark, sf, "pages").select("page_id", urls.redact_text(text, workspace="/work/audit/").alias("redacted"))

@@ -91,8 +91,9 @@ VIEW_SQL: dict[str, str] = {
         SELECT event_type || '-' || (user_id % 10) AS series_key, event_id AS row_no, ts, fault,
           CASE fault WHEN 1 THEN '' WHEN 2 THEN ts || '' WHEN 3 THEN 'not a time' WHEN 4 THEN ({hour}) || 'Z'
             WHEN 5 THEN (ts - INTERVAL '2' HOUR) || 'Z' WHEN 6 THEN ts || '+03:30'
+            WHEN 19 THEN replace(ts || '', ' ', '_') || '+00:00:00' WHEN 20 THEN '20240102T03Z' WHEN 21 THEN '2024-W01-2T03:04:05.1234569Z'
             ELSE ts || CASE event_id % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+00:00' ELSE '-0000' END END AS timestamp_utc,
-          CASE fault WHEN 7 THEN 'nan' WHEN 8 THEN '1d' ELSE value || '' END AS open,
+          CASE fault WHEN 22 THEN '1.000000005' WHEN 23 THEN '1.000000015' WHEN 24 THEN '2.675000005' WHEN 25 THEN '0.000000025' WHEN 7 THEN 'nan' WHEN 8 THEN '1d' ELSE value || '' END AS open,
           CASE fault WHEN 9 THEN (value - 9) || '' WHEN 10 THEN (value + 0.5) || '' ELSE (value + 5) || '' END AS high,
           CASE fault WHEN 11 THEN (value + 0.5) || '' ELSE (value - 5) || '' END AS low,
           CASE fault WHEN 12 THEN 'Infinity' WHEN 13 THEN NULL ELSE (value + 1) || '' END AS close,
@@ -175,13 +176,14 @@ VIEW_SQL: dict[str, str] = {
           CASE WHEN doc_id % 6 = 2 THEN 'vague' ELSE NULL END AS not_scoreable_reason,
           CASE WHEN doc_id % 4 = 1 THEN 'if it holds' WHEN doc_id % 4 = 2 THEN '   ' ELSE NULL END AS condition
         FROM {transcripts}""",
-    # captions: two of three documents get a header and a cue before every line
+    # captions: two of three documents get a header and a cue before every line, a fifth of them in Persian digits
     "captions": """
         SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN body ELSE
             'WEBVTT' || chr(10) || chr(10) || 'intro' || chr(10) || cue || chr(10) || replace(body, chr(10), chr(10) || chr(10) || '17' || chr(10) || cue || chr(10)) END AS text
+        FROM (SELECT *, CASE WHEN doc_id % 5 = 1 THEN translate(plain, '0123456789', '۰۱۲۳۴۵۶۷۸۹') ELSE plain END AS cue
         FROM (SELECT doc_id, replace(replace(text, ' the ', ' <b>the</b>  '), ' de ', ' ' || chr(123) || chr(92) || 'an8' || chr(125) || 'de ') AS body,
           CASE WHEN doc_id % 2 = 0 THEN '01:' ELSE '' END || lpad(CAST(doc_id % 60 AS STRING), 2, '0') || ':05,250 --> ' ||
-          CASE WHEN doc_id % 2 = 0 THEN '01:' ELSE '' END || lpad(CAST((doc_id + doc_id % 3 - 1 + 60) % 60 AS STRING), 2, '0') || ':07.500 align:start' AS cue FROM {documents})""",
+          CASE WHEN doc_id % 2 = 0 THEN '01:' ELSE '' END || lpad(CAST((doc_id + doc_id % 3 - 1 + 60) % 60 AS STRING), 2, '0') || ':07.500 align:start' AS plain FROM {documents}))""",
     # documents as source videos of channels
     "videos": """
         SELECT d.doc_id, 'doc-' || d.doc_id AS video_id, d.source AS channel_key, CASE WHEN d.doc_id % 29 = 0 THEN NULL ELSE d.source END AS channel_id, d.lang,

@@ -170,3 +170,21 @@ def test_runs_do_not_depend_on_blocks(spark):
     plain = transcripts.consecutive_dedupe(df, ["k"], "i", "v").select("i", "run").collect()
     blocked = transcripts.consecutive_dedupe(df, ["k"], "i", "v", F.floor(F.col("i") / 9)).select("i", "run").collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, blocked)) and min(r.run for r in plain) == 1
+
+
+def test_digits_of_any_script(spark):
+    assert one(spark, "۰۱:۰۲:۰۳,۵۰۰", tx.cue_seconds) == 3723.5
+    assert one(spark, "१२:३४.५००", tx.cue_seconds) == 754.5
+    assert one(spark, "no:time", tx.cue_seconds) is None
+    assert one(spark, ["price १२३", "๔๕.5"], tx.level_numbers, "array<string>") == [123.0, 45.5]
+    assert one(spark, "at ۱۲.۳۴۵ now", tx.format_evidence_numbers) in ("at 12.34 now", "at 12.35 now")
+
+
+def test_user_info_ends_at_the_last_at_sign(spark):
+    for url, clean in {
+        "https://user:p@ss@host/x": "https://host/x",
+        "https://a@b:80@h.example:8080/p?q#f": "https://h.example:8080/p",
+        "https://h/x@y": "https://h/x@y",
+    }.items():
+        assert one(spark, url, urls.sanitize_url) == clean
+        assert one(spark, f"see {url} now", urls.redact_text) == f"see {clean} now"
