@@ -148,10 +148,13 @@ def safe_id_violations(columns: dict[str, str]) -> Column:
     )
 
 
-def normalize_provided_sources(videos: DataFrame, start: str, end: str) -> DataFrame:
-    """Provided-source rows -> normalized rows plus ``errors``.
+def normalize_provided_sources(
+    videos: DataFrame, start: str, end: str, max_title: int = 1000, max_description: int = 200000, max_language: int = 24
+) -> DataFrame:
+    """Provided-source rows -> normalized rows plus ``errors`` and ``cuts``.
 
-    In-range rows only; the others are skipped, not rejected.
+    In-range rows only; the others are skipped, not rejected. ``file_error`` is an error of the whole file;
+    the first two kinds stand alone, on a row without a video. ``cuts`` names the fields that a bound cut.
     """
     from hindcast.functions import numbers as nums
     from hindcast.operators.scoring import repeated_keys
@@ -159,7 +162,12 @@ def normalize_provided_sources(videos: DataFrame, start: str, end: str) -> DataF
     day = F.when(F.col("upload_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("upload_date").try_cast("date"))
     published = nums.parse_aware_ts(F.col("published_at_utc"))
     language = F.regexp_replace(F.coalesce(F.nullif("transcript_language", F.lit("")), F.lit("und")), "[^A-Za-z0-9_-]", "-")
-    language = F.substring(F.regexp_replace(language, "^-+|-+$", ""), 1, 24)
+    language = F.regexp_replace(language, "^-+|-+$", "")
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled provided source"))
+    description = F.coalesce("description", F.lit(""))
+    fields = {"title": (title, max_title), "description": (description, max_description), "transcript_language": (language, max_language)}
+    cuts = F.array_compact(F.array(*[F.when(F.length(text) > most, F.lit(name)) for name, (text, most) in fields.items()]))
+    kept = {name: F.substring(text, 1, most) for name, (text, most) in fields.items()}
     suffix = F.lower(F.regexp_extract("transcript_path", r"(\.[^./]+)$", 1))
     duration = F.col("duration_seconds")
     repeated = repeated_keys(videos.filter("video_id IS NOT NULL"), ["video_id"]).select("video_id", F.lit(True).alias("_repeated"))
@@ -173,19 +181,22 @@ def normalize_provided_sources(videos: DataFrame, start: str, end: str) -> DataF
         (duration.isNotNull() & ~((duration > 0) & (duration <= 21600)), "duration_out_of_range"),
     ]
     bad_category = (F.coalesce(F.col("category"), F.lit("")) != "") & ~F.col("category").rlike(f"^(?:{fv.CATEGORY_PATTERN})$")
-    codes = [F.when(bad_category if code is None else test, F.lit(code or "category_unsafe")) for test, code in rules]
+    file_error = F.col("file_error") if "file_error" in videos.columns else F.lit(None).cast("string")
+    alone = F.coalesce(file_error.isin("not_a_json_object", "no_videos"), F.lit(False))
+    codes = [F.when(~alone & (bad_category if code is None else test), F.lit(code or "category_unsafe")) for test, code in rules]
     return (
         videos.join(repeated, "video_id", "left")
         .filter(day.isNull() | day.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
         .select(
             "video_id",
-            F.substring(F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled provided source")), 1, 1000).alias("title"),
+            F.when(~alone, kept["title"]).alias("title"),
             day.alias("upload_date"),
             published.cast("timestamp_ntz").alias("published_at"),
             "duration_seconds",
             F.nullif("category", F.lit("")).alias("category"),
-            F.coalesce(F.nullif(language, F.lit("")), F.lit("und")).alias("transcript_language"),
-            F.substring(F.coalesce("description", F.lit("")), 1, 200000).alias("description"),
-            F.array_compact(F.array(*codes)).alias("errors"),
+            F.when(~alone, F.coalesce(F.nullif(kept["transcript_language"], F.lit("")), F.lit("und"))).alias("transcript_language"),
+            F.when(~alone, kept["description"]).alias("description"),
+            F.array_compact(F.array(file_error, *codes)).alias("errors"),
+            cuts.alias("cuts"),
         )
     )

@@ -160,10 +160,13 @@ def number_lines(transcripts: DataFrame, key: str = "video_id", text: str = "tex
     )
 
 
-def evidence_slice(claims: DataFrame) -> DataFrame:
+def evidence_slice(
+    claims: DataFrame, max_lines: int = fv.MAX_EVIDENCE_LINES, max_characters: int = fv.MAX_EVIDENCE_CHARACTERS
+) -> DataFrame:
     """Adds ``selected`` (cited lines) and the first range violation.
 
-    Claims carry ``transcript``, ``source_line_start`` and ``source_line_end``.
+    Claims carry ``transcript``, ``source_line_start`` and ``source_line_end``. Cited lines beyond
+    the limits are reported, not cut.
     """
     first, last = F.col("source_line_start"), F.col("source_line_end")
     cited = F.when(
@@ -173,8 +176,8 @@ def evidence_slice(claims: DataFrame) -> DataFrame:
     violation = (
         F.when(last < first, "reversed_line_range")
         .when(last > F.size("_lines"), "line_outside_transcript")
-        .when(last - first + 1 > fv.MAX_EVIDENCE_LINES, "too_many_lines")
-        .when(F.length("selected") > fv.MAX_EVIDENCE_CHARACTERS, "evidence_too_long")
+        .when(last - first + 1 > max_lines, "too_many_lines")
+        .when(F.length("selected") > max_characters, "evidence_too_long")
     )
     return (
         claims.withColumn("_lines", tx.lines_of(F.col("transcript")))
@@ -216,12 +219,12 @@ def evidence_coverage(claims: DataFrame, key: str = "claim_id") -> DataFrame:
     """Slices the cited lines and adds ``exact_match``, ``coverage`` and
     ``excerpt_violation``.
 
-    One shuffle by claim serves the token counts and the join back. Claims out
-    of bounds keep their row; only their texts are blanked before counting.
+    One shuffle by claim serves the token counts and the join back. Coverage is measured
+    wherever lines are cited, also beyond the limits that ``range_violation`` reports.
     """
     advisory = tx.strip_line_labels(F.col("source_excerpt"))
     sliced = evidence_slice(claims.repartition(key))
-    within = F.col("range_violation").isNull()
+    within = F.col("selected").isNotNull()
     exact = F.contains(tx.normalize_evidence(F.col("selected")), tx.normalize_evidence(advisory))
     bounded = sliced.select(
         key, F.when(within, F.col("source_excerpt")).alias("_quoted"), F.when(within, F.col("selected")).alias("_cited")

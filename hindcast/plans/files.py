@@ -244,12 +244,14 @@ def scan_source_ledger_query(spark, sf):
     """SELECT CASE WHEN doc_id % 13 = 4 THEN 'a b' ELSE video_id END AS video_id, CASE WHEN doc_id % 5 = 0 THEN 'Untitled provided source' ELSE title END AS title,
       CASE WHEN doc_id % 17 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(doc_id % 31 AS INTEGER) END AS upload_date,
       CASE WHEN doc_id % 19 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 08:30:00' END AS published_at, CASE WHEN doc_id % 23 = 0 THEN 0 ELSE CAST(doc_id % 100 + 1 AS DOUBLE) END AS duration_seconds,
-      CASE WHEN doc_id % 29 = 0 THEN 'Bad Category' ELSE category END AS category, CASE doc_id % 3 WHEN 0 THEN 'und' WHEN 1 THEN 'en-US' ELSE 'x_y' END AS transcript_language, description,
-      concat_ws(',', CASE WHEN doc_id % 13 = 4 THEN 'video_id_unsafe' END, CASE WHEN doc_id % 13 = 4 AND n > 1 THEN 'video_id_repeated' END, CASE WHEN doc_id % 17 = 0 THEN 'upload_date_invalid' END,
+      CASE WHEN doc_id % 29 = 0 THEN 'Bad Category' ELSE category END AS category, CASE doc_id % 3 WHEN 0 THEN 'und' WHEN 1 THEN 'en-US' ELSE 'x_y' END AS transcript_language, substr(description, 1, 500) AS description,
+      CASE WHEN length(description) > 500 THEN 'description' ELSE '' END AS cuts,
+      concat_ws(',', CASE WHEN channel_key <> 'src1' THEN 'channel_mismatch' END, CASE WHEN doc_id % 13 = 4 THEN 'video_id_unsafe' END, CASE WHEN doc_id % 13 = 4 AND n > 1 THEN 'video_id_repeated' END, CASE WHEN doc_id % 17 = 0 THEN 'upload_date_invalid' END,
         CASE WHEN doc_id % 19 = 0 THEN 'published_at_invalid' END, CASE WHEN doc_id % 37 = 0 THEN 'transcript_extension_unsupported' END, CASE WHEN doc_id % 29 = 0 THEN 'category_unsafe' END,
         CASE WHEN doc_id % 23 = 0 THEN 'duration_out_of_range' END) AS errors
       FROM (SELECT *, (SELECT count(*) FROM {documents} WHERE doc_id % 13 = 4) AS n FROM {videos})
-      WHERE doc_id % 17 = 0 OR doc_id % 31 BETWEEN 4 AND 19""",
+      WHERE doc_id % 17 = 0 OR doc_id % 31 BETWEEN 4 AND 19
+      UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '', error FROM (VALUES ('not_a_json_object'), ('no_videos')) AS broken(error)""",
 )
 def scan_provided_sources_query(spark, sf):
     i = F.col("doc_id")
@@ -267,8 +269,10 @@ def scan_provided_sources_query(spark, sf):
     # one file holds a bounded slice of a channel's videos
     path = shared_dir(spark)
     listed = view(spark, sf, "videos").groupBy(F.col("channel_key").alias("channel_id"), F.floor(i / 1000).alias("part")).agg(F.collect_list(video).alias("videos"))
-    listed.select(F.to_json(F.struct("channel_id", "videos")).alias("value")).write.text(path)
-    return ledger_sources.scan_provided_sources(spark, path, "2024-01-05", "2024-01-20").withColumn("errors", F.array_join("errors", ","))
+    broken = spark.createDataFrame([('{"channel_id": ',), ('{"channel_id": "src1", "videos": []}',)], "value string")
+    listed.select(F.to_json(F.struct("channel_id", "videos")).alias("value")).union(broken).write.text(path)
+    rows = ledger_sources.scan_provided_sources(spark, path, "2024-01-05", "2024-01-20", channel_id="src1", max_description=500)
+    return rows.withColumns({"errors": F.array_join("errors", ","), "cuts": F.array_join("cuts", ",")})
 
 
 @query(

@@ -500,10 +500,10 @@ def set_union_all_query(spark, sf):
     return events.unionByName(view(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.lit("orders").alias("origin")))
 
 
-@query("set_except", "SELECT c_custkey AS id FROM {customer} EXCEPT ALL SELECT o_custkey FROM {orders}")
+@query("set_except", "SELECT c_custkey * 2 AS id FROM {customer} EXCEPT ALL SELECT o_custkey FROM {orders}")
 def set_except_query(spark, sf):
     buyers = view(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
-    return view(spark, sf, "customer").select(F.col("c_custkey").alias("id")).exceptAll(buyers)
+    return view(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("id")).exceptAll(buyers)
 
 
 @query("set_intersect", "SELECT user_id AS id FROM {events} INTERSECT SELECT o_custkey FROM {orders}")

@@ -14,10 +14,10 @@ from hindcast.streaming import outcomes as outcome_streams
 from hindcast.streaming.tables import parquet_stream, read_batches
 
 
-def _as_files(rows, spark) -> str:
-    """A derived table as parquet files a stream can read."""
+def _as_files(rows, spark, parts: int = 1, order: str | None = None) -> str:
+    """A derived table as parquet files a stream can read, cut into parts along a column if several are asked for."""
     path = f"{shared_dir(spark)}/source"
-    rows.write.parquet(path)
+    (rows.repartitionByRange(parts, order) if parts > 1 else rows).write.parquet(path)
     return path
 
 
@@ -31,10 +31,10 @@ def stream_validate_bars_query(spark, sf):
 
 @query(
     "stream_gap_monitor",
-    """WITH spaced AS (SELECT event_type AS series_key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) <= 10836000000 THEN 0 ELSE 1 END AS fresh FROM {events}),
+    """WITH spaced AS (SELECT event_type AS series_key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) <= 3636000000 THEN 0 ELSE 1 END AS fresh FROM {events}),
       numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY series_key ORDER BY ts) AS stretch FROM spaced),
       stretches AS (SELECT series_key, count(*) AS bar_count, min(ts) AS first_ts, max(ts) AS last_ts FROM numbered GROUP BY series_key, stretch)
-      SELECT * FROM stretches WHERE epoch_us(last_ts) + 10836000001 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM {events}) - 3600000000""",
+      SELECT * FROM stretches WHERE epoch_us(last_ts) + 3636000001 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM {events}) - 3600000000""",
 )
 def stream_gap_monitor_query(spark, sf):
     use_utc(spark)
@@ -42,7 +42,7 @@ def stream_gap_monitor_query(spark, sf):
     events = parquet_stream(spark, f"{sf}/events.parquet")
     bars = events.select(
         F.col("event_type").alias("series_key"), F.col("ts").cast("timestamp").alias("ts"),
-        F.lit(3600.0).alias("cadence_seconds"), F.lit(10800.0).alias("maximum_gap_seconds"),
+        F.lit(3600.0).alias("cadence_seconds"), F.lit(3600.0).alias("maximum_gap_seconds"),
     )
     bar_streams.stream_gap_monitor(bars, root, f"{root}/checkpoint")
     rows = read_batches(spark, f"{root}/stretches").drop("batch")
@@ -57,7 +57,8 @@ def stream_gap_monitor_query(spark, sf):
 )
 def stream_outcome_windows_query(spark, sf):
     root = shared_dir(spark)
-    bars = parquet_stream(spark, _as_files(view(spark, sf, "bars"), spark))
+    # one series after the other, two files a batch: every batch but the first meets carried state
+    bars = parquet_stream(spark, _as_files(view(spark, sf, "bars"), spark, 4, "series_key"), 2)
     assets = oc.available_assets(spark, sf).select("claim_id", "asset_pos", "series_key", "anchor")
     outcome_streams.stream_outcome_windows(bars, assets, view(spark, sf, "series"), root, f"{root}/checkpoint")
     return read_batches(spark, f"{root}/settled").select("claim_id", "asset_pos", "hours", "status")

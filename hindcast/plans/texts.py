@@ -75,14 +75,14 @@ _UNLABEL = rf"regexp_replace(source_excerpt, '(?m)^{_SPACE}*L\d{{4}}:{_SPACE}*',
 _EVIDENCE = lambda text: _collapse(f"replace({text}, chr(8204), ' ')")
 COVERAGE_CTE = SLICE_CTE + f""",
 left_tokens AS (SELECT claim_id, token, count(*) AS n FROM (
-  SELECT claim_id, unnest(regexp_extract_all(lower({_EVIDENCE(_UNLABEL)}), {_TOKENS})) AS token FROM sliced WHERE range_violation IS NULL) GROUP BY ALL),
+  SELECT claim_id, unnest(regexp_extract_all(lower({_EVIDENCE(_UNLABEL)}), {_TOKENS})) AS token FROM sliced WHERE selected IS NOT NULL) GROUP BY ALL),
 right_tokens AS (SELECT claim_id, token, count(*) AS n FROM (
-  SELECT claim_id, unnest(regexp_extract_all(lower({_EVIDENCE('selected')}), {_TOKENS})) AS token FROM sliced WHERE range_violation IS NULL) GROUP BY ALL),
+  SELECT claim_id, unnest(regexp_extract_all(lower({_EVIDENCE('selected')}), {_TOKENS})) AS token FROM sliced WHERE selected IS NOT NULL) GROUP BY ALL),
 sizes AS (SELECT s.claim_id, (SELECT sum(n) FROM left_tokens l WHERE l.claim_id = s.claim_id) AS l, (SELECT sum(n) FROM right_tokens r WHERE r.claim_id = s.claim_id) AS r FROM sliced s),
 common AS (SELECT l.claim_id, sum(least(l.n, r.n)) AS n FROM left_tokens l JOIN right_tokens r ON r.claim_id = l.claim_id AND r.token = l.token GROUP BY 1),
 bound AS (
-  SELECT s.*, CASE WHEN range_violation IS NULL THEN contains({_EVIDENCE('selected')}, {_EVIDENCE(_UNLABEL)}) END AS exact_match,
-    CASE WHEN range_violation IS NULL THEN coalesce(CAST(c.n AS DOUBLE) / CAST(least(z.l, z.r) AS DOUBLE), 0) END AS coverage
+  SELECT s.*, CASE WHEN selected IS NOT NULL THEN contains({_EVIDENCE('selected')}, {_EVIDENCE(_UNLABEL)}) END AS exact_match,
+    CASE WHEN selected IS NOT NULL THEN coalesce(CAST(c.n AS DOUBLE) / CAST(least(z.l, z.r) AS DOUBLE), 0) END AS coverage
   FROM sliced s LEFT JOIN sizes z ON z.claim_id = s.claim_id LEFT JOIN common c ON c.claim_id = s.claim_id)"""
 
 

@@ -12,14 +12,13 @@ def scan_transcripts(spark: SparkSession, path: str, id_pattern: str) -> DataFra
     """One row per subtitle file: (video_id, text, too_large).
 
     ``id_pattern`` takes the video id out of the path. Bytes that are not UTF-8
-    are replaced. Oversized files are marked and their text withheld.
+    are replaced. Oversized files are marked; their text is there all the same.
     """
-    rows = spark.read.text(path, wholetext=True).select(
+    return spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).alias("video_id"),
         (F.col("_metadata.file_size") > fv.SUBTITLE_BYTES_LIMIT).alias("too_large"),
         F.col("value").alias("text"),
     )
-    return rows.withColumn("text", F.when(~F.col("too_large"), F.col("text")))
 
 
 def scan_file_inventory(spark: SparkSession, path: str, scope: str, root: str | None = None) -> DataFrame:

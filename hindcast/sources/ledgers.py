@@ -44,15 +44,23 @@ def scan_source_ledger(spark: SparkSession, path: str, start_compact: str, end_c
     ).drop(CORRUPT).withColumnRenamed("id", "video_id")
 
 
-def scan_provided_sources(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+def scan_provided_sources(
+    spark: SparkSession, path: str, start: str, end: str, channel_id: str | None = None, most_videos: int = 5000, **bounds: int
+) -> DataFrame:
     """Provided-source files -> normalized videos with errors.
 
-    ``size_error`` marks files with no or more than 5,000 videos.
+    No file vanishes: one that is no JSON object or has no videos gives one row with that error; every
+    video of a file with too many, or of another channel than ``channel_id``, carries the error.
     """
     files = scan_jsonl(spark, path, PROVIDED_SOURCES)
     n = F.coalesce(F.size("videos"), F.lit(0))
-    videos = files.filter((n >= 1) & (n <= 5000)).select(F.col("channel_id").alias("_channel"), F.inline("videos"))
-    return manifest.normalize_provided_sources(videos.drop("_channel"), start, end)
+    other = F.lit(False) if channel_id is None else (F.coalesce("channel_id", F.lit("")) != "") & (F.col("channel_id") != channel_id)
+    error = (
+        F.when(F.col(CORRUPT).isNotNull(), "not_a_json_object").when(n < 1, "no_videos")
+        .when(n > most_videos, "too_many_videos").when(other, "channel_mismatch")
+    )
+    videos = files.select(error.alias("file_error"), F.inline_outer("videos"))
+    return manifest.normalize_provided_sources(videos, start, end, **bounds)
 
 
 def sink_jsonl(rows: DataFrame, path: str) -> None:

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.functions.numbers import seconds_between
 from hindcast.operators import quality, windows
 from hindcast.streaming.tables import drain, read_batch, read_batches, write_batch
 
 
-def stream_outcome_windows(bars: DataFrame, assets: DataFrame, series: DataFrame, root: str, checkpoint: str) -> None:
+def stream_outcome_windows(
+    bars: DataFrame, assets: DataFrame, series: DataFrame, root: str, checkpoint: str, lateness_seconds: float = 0.0
+) -> None:
     """Settles claim windows as bars arrive.
 
-    After every batch the newest bar stamp is the clock. Windows that the clock
-    has passed are emitted once and for all; ``window_not_elapsed`` and
-    ``no_bar_after_publication`` stay open for the next batch. Bars not newer
-    than the clock of the batch before are late and ignored, so the order of a
-    series can only break inside a batch: only fresh bars are checked, verdicts
-    add up in a small state table. The windows come from the batch operator, over
-    open claims and the bars they can still touch.
+    Every series has its own clock, its newest bar stamp. A window is emitted once and for
+    all when the clock of its series has passed it, or when the newest clock of all has
+    passed it by ``lateness_seconds`` (how far a series may lag behind the others);
+    ``window_not_elapsed`` and ``no_bar_after_publication`` stay open for the next batch. Bars not
+    newer than what their own series has shown in earlier batches are late: they go to the
+    table ``late`` and count nowhere else, so the order of a series can only break inside a
+    batch. Only fresh bars are checked, verdicts add up in a small state table. The windows come
+    from the batch operator, over open claims and the bars they can still touch.
     """
     keys = ["claim_id", "asset_pos"]
 
@@ -27,7 +31,10 @@ def stream_outcome_windows(bars: DataFrame, assets: DataFrame, series: DataFrame
         before = read_batch(spark, f"{root}/state", batch_id - 1) if batch_id else None
         fresh = batch
         if before is not None:
-            fresh = batch.filter(F.col("ts") > before.agg(F.max("last_ts")).scalar())
+            shown = before.select("series_key", F.col("last_ts").alias("_shown"))
+            marked = batch.join(shown, "series_key", "left").withColumn("_late", F.coalesce(F.col("ts") <= F.col("_shown"), F.lit(False)))
+            write_batch(marked.filter("_late").drop("_shown", "_late"), f"{root}/late", batch_id)
+            fresh = marked.filter("NOT _late").select(*batch.columns)
         write_batch(fresh, f"{root}/bars", batch_id)
         fresh = read_batch(spark, f"{root}/bars", batch_id)
         verdicts = quality.series_verdicts(fresh).select("series_key", "last_ts", "valid")
@@ -44,10 +51,14 @@ def stream_outcome_windows(bars: DataFrame, assets: DataFrame, series: DataFrame
         usable = windows.usable_bars(quality.lag_gap(near).drop("gap_seconds"), profile)
         now = state.agg(F.max("last_ts")).scalar()
         long = windows.windows_over(waiting, profile, usable, now)
-        settled = ~F.col("status").isin("window_not_elapsed", "no_bar_after_publication")
+        clocks = state.select("series_key", F.col("last_ts").alias("_clock"))
+        long = long.join(clocks, "series_key", "left")
+        own = F.coalesce(F.col("_clock") >= F.col("window_end"), F.lit(False))
+        waited = F.coalesce(seconds_between(now, F.col("window_end")) >= lateness_seconds, F.lit(True))
+        settled = ~F.col("status").isin("window_not_elapsed", "no_bar_after_publication") & (own | waited)
         whole = long.groupBy(*keys).agg(F.every(settled).alias("_settled"))
         rows = long.join(whole, keys)
-        write_batch(rows.filter("_settled").drop("_settled"), f"{root}/settled", batch_id)
+        write_batch(rows.filter("_settled").drop("_settled", "_clock"), f"{root}/settled", batch_id)
         write_batch(waiting.join(whole.filter("NOT _settled"), keys, "left_semi"), f"{root}/open", batch_id)
 
     drain(bars, process, checkpoint)
