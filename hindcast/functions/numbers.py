@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ _NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _DATE = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)"
 _CLOCK = r"(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d*))?)?|(\d{2})(?:(\d{2})(?:[.,](\d*))?)?)?"
 _OFFSET = r"(?:(Z)|([+-])(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d*))?)?|(\d{2})(?:(\d{2})(?:[.,](\d*))?)?)?)"
+#: what the engine's own cast reads
+_USUAL_TS = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?(?:Z|[+-]\d{2}(?::?\d{2})?)$"
 _AWARE_TS = rf"^{_DATE}(?s:.){_CLOCK}{_OFFSET}$"
 _NAIVE_TS = rf"^{_DATE}(?:(?s:.){_CLOCK})?$"
 
@@ -23,7 +27,14 @@ def clean_number(value: Column, text: bool = False) -> Column:
     if text:
         number = F.when(value.rlike(_NUMBER_TEXT), number)
     finite = ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
-    return F.when(finite, _eight_places(number))
+    # what the usual rounding leaves as it is has eight places at most
+    near = F.round(number, 8)
+    return F.when(finite, F.when(near == number, near).otherwise(_eight_places(number)))
+
+
+def _given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _eight_places(value: Column) -> Column:
@@ -33,20 +44,29 @@ def _eight_places(value: Column) -> Column:
     34, 26 and the last bits, so that each product with 10**8 is exact; the sum of the last two steps
     is only asked for its sign, which floating point gets right.
     """
-    size = F.abs(value)
     scale = F.lit(1e8)
     cut = lambda x, bits: F.floor(x * F.lit(float(2**bits))).cast("double") / F.lit(float(2**bits))
-    whole = F.floor(size).cast("double")
-    fraction = size - whole
-    first = cut(fraction, 34)
-    rest = fraction - first
-    second = cut(rest, 60)
-    scaled = first * scale
-    down = F.floor(scaled).cast("double")
-    tie = ((scaled - down) - F.lit(0.5) + second * scale) + (rest - second) * scale
-    up = (tie > 0) | ((tie == 0) & ((whole * scale + down) % 2 == 1))
-    rounded = (whole * scale + down + F.when(up, 1.0).otherwise(0.0)) / scale
-    return F.when(size >= F.lit(float(2**26)), value).otherwise(F.when(value < 0, -rounded).otherwise(rounded))
+
+    def whole_part(v: Column) -> Column:
+        whole = F.floor(F.abs(v)).cast("double")
+        return F.struct(v.alias("v"), whole.alias("whole"), (F.abs(v) - whole).alias("fraction"))
+
+    def pieces(x: Column) -> Column:
+        first = cut(x["fraction"], 34)
+        return F.struct(x["v"].alias("v"), x["whole"].alias("whole"), first.alias("first"), (x["fraction"] - first).alias("rest"))
+
+    def steps(x: Column) -> Column:
+        down = F.floor(x["first"] * scale).cast("double")
+        second = cut(x["rest"], 60)
+        tie = ((x["first"] * scale - down) - F.lit(0.5) + second * scale) + (x["rest"] - second) * scale
+        return F.struct(x["v"].alias("v"), (x["whole"] * scale + down).alias("down"), tie.alias("tie"))
+
+    def result(x: Column) -> Column:
+        up = (x["tie"] > 0) | ((x["tie"] == 0) & (x["down"] % 2 == 1))
+        rounded = (x["down"] + F.when(up, 1.0).otherwise(0.0)) / scale
+        return F.when(F.abs(x["v"]) >= F.lit(float(2**26)), x["v"]).otherwise(F.when(x["v"] < 0, -rounded).otherwise(rounded))
+
+    return _given(_given(_given(_given(value, whole_part), pieces), steps), result)
 
 
 def round_half_even(value: Column, places: int) -> Column:
@@ -98,50 +118,58 @@ def percent_sql(part: str, total: str) -> str:
     )
 
 
-def _days(text: Column, pattern: str) -> Column:
-    """Days since the epoch of the date at the start of a stamp, or null."""
-    part = lambda k: F.regexp_extract(text, pattern, k)
-    number = lambda k: part(k).try_cast("int")
-    calendar = F.concat_ws("-", part(1), F.coalesce(F.nullif(part(2), F.lit("")), part(4)), F.coalesce(F.nullif(part(3), F.lit("")), part(5)))
-    week = F.coalesce(number(6), number(8))
-    day = F.coalesce(number(7), number(9), F.lit(1))
+def _groups(text: Column, pattern: str, count: int) -> Column:
+    """All groups of a matching text, empty where one took no part."""
+    return F.split(F.regexp_replace(text, pattern, "|".join(f"${k}" for k in range(1, count + 1))), r"\|", -1)
+
+
+def _days(part: Column) -> Column:
+    """Days since the epoch of the nine groups of a date, or null."""
+    number = lambda k: part[k - 1].try_cast("int")
+    calendar = F.concat(part[0], F.lit("-"), part[1], part[3], F.lit("-"), part[2], part[4])
+    week, day = F.coalesce(number(6), number(8)), F.coalesce(number(7), number(9), F.lit(1))
     # week 1 holds January 4; the last week of a year holds December 28
-    fourth = F.concat(part(1), F.lit("-01-04")).try_cast("date")
-    last = F.weekofyear(F.concat(part(1), F.lit("-12-28")).try_cast("date"))
-    monday = F.unix_date(fourth) - F.weekday(fourth)
-    by_week = F.when((week >= 1) & (week <= last) & day.between(1, 7), monday + (week - 1) * 7 + day - 1)
+    fourth = F.concat(part[0], F.lit("-01-04")).try_cast("date")
+    last = F.weekofyear(F.concat(part[0], F.lit("-12-28")).try_cast("date"))
+    by_week = F.when((week >= 1) & (week <= last) & day.between(1, 7), F.unix_date(fourth) - F.weekday(fourth) + (week - 1) * 7 + day - 1)
     return F.when(week.isNull(), F.unix_date(calendar.try_cast("date"))).otherwise(by_week)
 
 
-def _clock_micros(text: Column, pattern: str, at: int, most_hours: int = 23) -> Column:
-    """Microseconds of hours, minutes, seconds and fraction in seven groups, or null; digits beyond six are cut."""
-    part = lambda k: F.regexp_extract(text, pattern, at + k)
-    either = lambda a, b: F.coalesce(F.nullif(part(a), F.lit("")), F.nullif(part(b), F.lit("")), F.lit("0"))
-    hours, minutes, seconds = part(0).try_cast("bigint"), either(1, 4).try_cast("bigint"), either(2, 5).try_cast("bigint")
-    micros_ = F.rpad(F.substr(either(3, 6), F.lit(1), F.lit(6)), 6, "0").try_cast("bigint")
-    total = ((hours * 60 + minutes) * 60 + seconds) * 1000000 + micros_
-    return F.when((hours <= most_hours) & (minutes <= 59) & (seconds <= 59), total)
+def _clock_micros(part: Column, at: int) -> Column:
+    """Microseconds of the seven groups of a clock, or null; digits beyond six are cut."""
+    number = lambda a, b: F.coalesce(F.concat(part[at + a], part[at + b]).try_cast("bigint"), F.lit(0))
+    hours = part[at].try_cast("bigint")
+    micros_ = F.rpad(F.substring(F.concat(part[at + 3], part[at + 6]), 1, 6), 6, "0").try_cast("bigint")
+    total = ((hours * 60 + number(1, 4)) * 60 + number(2, 5)) * 1000000 + micros_
+    return F.when((hours <= 23) & (number(1, 4) <= 59) & (number(2, 5) <= 59), total)
 
 
 def parse_aware_ts(value: Column) -> Column:
     """ISO-8601 text with an explicit offset -> UTC timestamp, else null.
 
     Basic and extended forms, week dates, hours alone, any one-character separator, fractions of any
-    length (cut to microseconds) and offsets with seconds are read.
+    length (cut to microseconds) and offsets with seconds are read. The usual form takes a plain cast.
     """
     text = F.trim(value)
-    shift = F.when(F.regexp_extract(text, _AWARE_TS, 17) == "Z", F.lit(0)).otherwise(
-        _clock_micros(text, _AWARE_TS, 19) * F.when(F.regexp_extract(text, _AWARE_TS, 18) == "-", -1).otherwise(1)
-    )
-    stamp = _days(text, _AWARE_TS).cast("bigint") * 86400000000 + _clock_micros(text, _AWARE_TS, 10) - shift
-    return F.when(text.rlike(_AWARE_TS), F.timestamp_micros(stamp))
+    usual = F.regexp_replace(F.translate(text, ",", "."), r"([T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2").try_cast("timestamp")
+
+    def stamp(part: Column) -> Column:
+        sign = F.when(part[17] == "-", -1).otherwise(1)
+        shift = F.when(part[16] == "Z", F.lit(0)).otherwise(_clock_micros(part, 18) * sign)
+        return F.timestamp_micros(_days(part).cast("bigint") * 86400000000 + _clock_micros(part, 9) - shift)
+
+    other = _given(_groups(text, _AWARE_TS, 25), stamp)
+    return F.when(text.rlike(_USUAL_TS), usual).otherwise(F.when(text.rlike(_AWARE_TS), other))
 
 
 def aware_ts_error(value: Column, parsed: Column) -> Column:
     """``empty`` / ``naive`` / ``invalid`` or null when the text was parsed."""
     text = F.trim(value)
-    clocked = F.regexp_extract(text, _NAIVE_TS, 10) == ""
-    naive = text.rlike(_NAIVE_TS) & _days(text, _NAIVE_TS).isNotNull() & (clocked | _clock_micros(text, _NAIVE_TS, 10).isNotNull())
+
+    def dated(part: Column) -> Column:
+        return _days(part).isNotNull() & ((part[9] == "") | _clock_micros(part, 9).isNotNull())
+
+    naive = F.when(text.rlike(_NAIVE_TS), _given(_groups(text, _NAIVE_TS, 16), dated))
     return F.when(
         parsed.isNull(),
         F.when(value.isNull() | (text == ""), "empty").when(naive, "naive").otherwise("invalid"),
