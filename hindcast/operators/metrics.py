@@ -350,9 +350,16 @@ def ledger_filter(ledger: DataFrame, result: str | None = None, category: str |
     return rows
 
 
-def ledger_page(rows: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page in (upload_date, claim_id) order plus the unpaged total."""
+def ledger_page(rows: DataFrame, limit: int = 100, offset: int = 0, after: tuple | None = None) -> DataFrame:
+    """One page in (upload_date, claim_id) order plus the unpaged total.
+
+    ``after`` is the (upload_date, claim_id) of the last row seen and costs the same on every page; an
+    ``offset`` sorts and skips that many rows, so it is for the first pages only.
+    """
     if not 1 <= limit <= 2000 or offset < 0:
         raise ValueError("limit must be 1..2000 and offset not negative")
     total = rows.agg(F.count(F.lit(1))).scalar()
+    if after is not None:
+        day, claim = F.lit(after[0]), F.lit(after[1])
+        rows = rows.filter((F.col("upload_date") > day) | ((F.col("upload_date") == day) & (F.col("claim_id") > claim)))
     return rows.orderBy("upload_date", "claim_id").offset(offset).limit(limit).withColumn("total", total)

@@ -63,15 +63,22 @@ def prepare(bars: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     return profile, usable_bars(checked.drop("broken"), profile)
 
 
+#: buckets that a declared gap is cut into at most
+MOST_BUCKETS = 64.0
+
+
 def asof_entry_bar(anchors: DataFrame, bars: DataFrame, profile: DataFrame) -> DataFrame:
     """First bar at or after each anchor, inclusive, within the declared gap.
 
     ``anchors`` has (series_key, anchor) and keeps all its columns and rows;
     adds ``entry_ts`` and ``entry_status`` (null, ``no_bar_after_publication`` or
     ``next_tradable_bar_too_late``). ``bars`` are the usable ones of ``prepare``.
+
+    Bars and anchors meet in buckets of one cadence, or of a 64th of the gap where that is wider: no
+    bar takes more than 66 buckets under any policy.
     """
     limit = F.col("maximum_gap_seconds")
-    width = F.col("cadence_seconds")
+    width = F.greatest(F.col("cadence_seconds"), limit / MOST_BUCKETS)
     reach = F.greatest(
         nums.micros(F.col("ts")) - (limit * 1000000.0).cast("bigint"),
         F.coalesce(nums.micros(F.col("prev_ts")) + 1, F.lit(-(2**62))),
@@ -84,13 +91,13 @@ def asof_entry_bar(anchors: DataFrame, bars: DataFrame, profile: DataFrame) -> D
         nums.micros(F.col("ts")).alias("_to"),
         F.explode_outer(F.sequence(first_bucket, nums.time_bucket(F.col("ts"), width))).alias("_bucket"),
     )
-    dim = profile.select("series_key", "cadence_seconds", "series_last_ts", "blocked_status")
+    dim = profile.select("series_key", width.alias("_width"), "series_last_ts", "blocked_status")
     keyed = (
         anchors.join(dim, "series_key", "left")
         .withColumn("_at", nums.micros(F.col("anchor")))
         .withColumn(
             "_bucket",
-            F.when(F.col("blocked_status").isNull(), nums.time_bucket(F.col("anchor"), F.col("cadence_seconds"))),
+            F.when(F.col("blocked_status").isNull(), nums.time_bucket(F.col("anchor"), F.col("_width"))),
         )
     )
     matched = keyed.alias("a").join(

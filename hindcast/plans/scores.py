@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fv
@@ -468,13 +470,14 @@ def ledger_join_query(spark, sf):
     "ledger_page",
     """WITH rows AS (SELECT c.claim_id, c.published_at AS upload_date, c.category, s.result, s.score FROM {claims} c LEFT JOIN {judged} s ON s.claim_id = c.claim_id
       WHERE c.category = 'crypto' AND NOT coalesce(s.counts_in_final_score, FALSE))
-      SELECT *, (SELECT count(*) FROM rows) AS total FROM (SELECT * FROM rows ORDER BY upload_date, claim_id LIMIT 100 OFFSET 50)""",
+      SELECT *, (SELECT count(*) FROM rows) AS total FROM (SELECT * FROM rows WHERE upload_date > TIMESTAMP '2024-01-03 12:00:00'
+        OR (upload_date = TIMESTAMP '2024-01-03 12:00:00' AND claim_id > 50) ORDER BY upload_date, claim_id LIMIT 100)""",
 )
 def ledger_page_query(spark, sf):
     rows = metrics.ledger_filter(ledger(spark, sf), category="crypto", counted=False).select(
         "claim_id", "upload_date", "category", "result", "score"
     )
-    return metrics.ledger_page(rows, limit=100, offset=50)
+    return metrics.ledger_page(rows, limit=100, after=(datetime(2024, 1, 3, 12), 50))
 
 
 # --- set operations and key comparison -----------------------------------------------------------

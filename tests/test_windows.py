@@ -170,3 +170,15 @@ def test_window_support_needs_every_asset(spark):
     long = spark.createDataFrame(rows, "claim_id int, asset_pos int, asset_status string, hours int, complete boolean, w string")
     got = {r.claim_id: bool(r.supported) for r in windows.window_supported(long, "w").collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_a_fine_cadence_with_a_year_of_gap_takes_few_buckets(spark):
+    """One bar under a policy of one second and a gap of a year must not become millions of rows."""
+    stamp = "TIMESTAMP_NTZ '2024-06-01 00:00:00'"
+    bars = spark.sql(f"SELECT 's' AS series_key, {stamp} AS ts, CAST(NULL AS TIMESTAMP_NTZ) AS prev_ts, 1D AS cadence_seconds, 3e7D AS maximum_gap_seconds")
+    profile = spark.sql(f"SELECT 's' AS series_key, 1D AS cadence_seconds, 3e7D AS maximum_gap_seconds, {stamp} AS series_last_ts, CAST(NULL AS STRING) AS blocked_status")
+    anchors = spark.sql("SELECT 's' AS series_key, explode(array(TIMESTAMP_NTZ '2024-05-31 00:00:00', TIMESTAMP_NTZ '2023-06-25 00:00:00', TIMESTAMP_NTZ '2023-01-01 00:00:00')) AS anchor")
+    rows = windows.asof_entry_bar(anchors, bars, profile).collect()
+    assert sorted((r.anchor.year, r.entry_ts is not None, r.entry_status) for r in rows) == [
+        (2023, False, "next_tradable_bar_too_late"), (2023, True, None), (2024, True, None),
+    ]
