@@ -244,7 +244,8 @@ def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         .groupBy("mark")
         .agg(F.sort_array(F.collect_list(mention)).alias("mentions"))
     )
-    joined = texts.join(materialize(replaced), "mark", "left")
+    # dealt by hash at every size: the texts move once, whether few of them or many hold entities
+    joined = texts.join(materialize(replaced).hint("shuffle_hash"), "mark", "left")
     gaps = F.split("text", ANY, -1)
     news = F.concat(F.transform("mentions", lambda m: m["new"]), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(gaps, news, lambda gap, new: F.concat(gap, new)), "")
