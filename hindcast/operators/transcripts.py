@@ -242,8 +242,11 @@ def evidence_coverage(claims: DataFrame, key: str = "claim_id") -> DataFrame:
 
 
 def level_binding(sliced: DataFrame) -> DataFrame:
-    """Adds ``level_violations``: one code per price level that is not bound."""
-    present = tx.numeric_tokens(F.col("selected"))
+    """Adds ``level_violations``: one code per price level that is not bound.
+
+    Nothing is bound by a claim without cited lines.
+    """
+    present = F.coalesce(tx.numeric_tokens(F.col("selected")), F.array().cast("array<string>"))
 
     def check(level: Column) -> Column:
         numbers = tx.numeric_tokens(level)

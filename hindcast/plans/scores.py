@@ -531,11 +531,14 @@ def filter_scope_query(spark, sf):
 
 @query(
     "join_claim_video",
-    "SELECT e.event_id AS claim_id, c.c_custkey AS video_id, c.c_mktsegment FROM {events} e JOIN {customer} c ON c.c_custkey = e.user_id",
+    """SELECT c.claim_id, v.video_id, v.published_at, v.published_at_source FROM (SELECT event_id AS claim_id, user_id AS video_id FROM {events}) c
+      JOIN (SELECT o_custkey AS video_id, min(o_orderdate)::TIMESTAMP + INTERVAL 9 HOUR AS published_at, min(o_orderpriority) AS published_at_source FROM {orders} GROUP BY 1) v
+        ON v.video_id = c.video_id""",
 )
 def join_claim_video_query(spark, sf):
-    videos = view(spark, sf, "customer").select(
-        F.col("c_custkey").alias("video_id"), F.col("c_mktsegment").alias("published_at"), F.lit("x").alias("published_at_source")
+    videos = view(spark, sf, "orders").groupBy(F.col("o_custkey").alias("video_id")).agg(
+        (F.min("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 9 HOUR")).alias("published_at"),
+        F.min("o_orderpriority").alias("published_at_source"),
     )
     claims = view(spark, sf, "events").select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("video_id"))
-    return resolve.join_claim_video(claims, videos).select("claim_id", "video_id", F.col("published_at").alias("c_mktsegment"))
+    return resolve.join_claim_video(claims, videos)

@@ -95,16 +95,36 @@ def evidence_coverage_query(spark, sf):
     return transcripts.evidence_coverage(view(spark, sf, "text_claims")).select("claim_id", "exact_match", "coverage", "excerpt_violation")
 
 
-@query("numeric_tokens")
+def _numbers(text: str) -> str:
+    """Distinct canonical numbers of a text. A mark after every character between words stands in for look-behind."""
+    plain = f"translate({text}, '{fv.DIGITS_FROM}', '{fv.DIGITS_TO}')"
+    marked = f"regexp_replace({plain}, '([^{_W}])', '\\1' || chr(1), 'g')"
+    number = rf"(?:^|\x01)((?:[-+]\x01)?(?:\d{{1,3}}(?:[,٬]\x01\d{{3}})+|\d+)(?:[.٫]\x01\d+)?)(?:$|[^{_W}])"
+    bare = "regexp_replace(translate(m, '٫,٬+' || chr(1), '.'), '^(-?)0+(\\d)', '\\1\\2')"
+    trimmed = f"CASE WHEN contains({bare}, '.') THEN regexp_replace({bare}, '\\.?0+$', '') ELSE {bare} END"
+    return f"list_distinct([{trimmed} for m in regexp_extract_all({marked}, '{number}', 1)])"
+
+
+@query("numeric_tokens", f"SELECT doc_id, unnest({_numbers('transcript')}) AS number FROM {{transcripts}}")
 def numeric_tokens_query(spark, sf):
     found = F.explode_outer(tx.numeric_tokens(F.col("transcript"))).alias("number")
     return view(spark, sf, "transcripts").select("doc_id", found).filter("number IS NOT NULL")
 
 
-@query("level_binding")
+def _binding(level: str) -> str:
+    own = _numbers(level)
+    return f"""CASE WHEN len({own}) = 0 THEN 'non_numeric_level' WHEN regexp_matches({level}, '(?i){fv.NON_PRICE_LEVEL}') THEN 'duration_or_percentage_level'
+      WHEN len(list_filter({own}, lambda n: NOT list_contains(present, n))) > 0 THEN 'level_not_in_evidence' END"""
+
+
+@query(
+    "level_binding",
+    f"""WITH {SLICE_CTE} SELECT claim_id, concat_ws(',', {_binding('level_a')}, {_binding('level_b')}) AS level_violations
+      FROM (SELECT *, CASE WHEN selected IS NULL THEN [] ELSE {_numbers('selected')} END AS present FROM sliced)""",
+)
 def level_binding_query(spark, sf):
     claims = view(spark, sf, "text_claims").withColumn("levels", F.array("level_a", "level_b"))
-    sliced = transcripts.evidence_slice(claims).filter("range_violation IS NULL")
+    sliced = transcripts.evidence_slice(claims)
     return transcripts.level_binding(sliced).select("claim_id", F.array_join("level_violations", ",").alias("level_violations"))
 
 
