@@ -51,7 +51,7 @@ _ADDRESS = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _TITLES = "|".join(sorted(FEMALE + MALE + EITHER, key=len, reverse=True))
 #: fixed values: what counts as an entity, in the order of preference at one place
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]+\.)+[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_ADDRESS}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -110,7 +110,7 @@ def _letters(text: Column, digits: Column, keep: str) -> Column:
     def change(c: Column, i: Column) -> Column:
         n = _number(digits, i)
         pick = lambda alphabet: F.substr(F.lit(alphabet), n % len(alphabet) + 1, F.lit(1))
-        new = F.when(c.rlike("[a-z]"), pick(small)).when(c.rlike("[A-Z]"), pick(large)).when(c.rlike("[0-9]"), pick(numbers))
+        new = F.when(c.rlike("[a-z]"), pick(small)).when(c.rlike("[A-Z]"), pick(large)).when(c.rlike("[0-9]"), pick(numbers)).when(c.rlike(r"\p{L}"), pick(small))
         return F.when(c.isin(*keep), c).otherwise(F.coalesce(new, c)) if keep else F.coalesce(new, c)
 
     return F.array_join(F.transform(F.split(text, ""), change), "")

@@ -244,6 +244,11 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert same.text == text and other.text != text
 
 
+def test_mailboxes_with_letters_of_any_script(spark):
+    (row,) = su.replace_personal_data(spark.createDataFrame([(1, "à éau.34@mail3.example.com, Œil@b.fr!")], "doc_id long, text string")).collect()
+    assert row.n_email == 2 and re.fullmatch(r"à [a-z]+\.\d\d\w*@mail\.example\.com, \w+@mail\.example\.fr!", row.text)
+
+
 def test_surrogates_stay_distinct_where_there_are_few(spark):
     """More three-letter mailboxes and social security numbers than a single draw keeps apart."""
     rows = [(k, f"{k % 1000:03d}-{k // 1000:02d}-{k % 9:04d}") for k in range(20_000)]
