@@ -60,7 +60,7 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
 KINDS = list(PATTERNS)
-#: an entity holds a digit, an at sign or a form of address, so one test on the first letter rules most places out
+#: all kinds in one pattern, so a text is read once
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
