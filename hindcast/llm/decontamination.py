@@ -1,12 +1,12 @@
-"""Benchmark decontamination by rare seeds and Smith-Waterman alignment (operator 9).
+"""Benchmark decontamination by shared seeds and Smith-Waterman alignment (operator 9).
 
 Items and documents are sequences of lower-case words. Runs of four words of the items are the seeds;
 a Bloom filter of fixed size over them lets the one pass over the documents keep only the stretches
-around possible seeds. How often each seed occurs in the corpus is counted, and every item is searched
-by the rarer half of its seeds. A stretch that shares such a seed with an item is aligned with it
+around possible seeds. A stretch that shares any seed with an item is aligned with it
 (match 2, other word -1, gap -1), so copies with words changed, added or left out score nearly as
-high as exact ones. A row of the result is a document and an item whose best alignment reaches half
-the item's full score.
+high as exact ones. A pair goes unaligned only where too few of the item's words are there for the score.
+A row of the result is a document and an item whose best alignment reaches half the item's full score;
+a copy that keeps no run of four words of its item is not found.
 
 Edge cases: null, empty and short texts have no seeds; items of fewer than four words are one seed, which
 only documents of the same few words share; repeated rows and several stretches of a document give one
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm.common import WordHashes, bounded_batches, id_and_text, lower_words, materialize, mix, shingle_hashes, table
@@ -96,16 +96,37 @@ def align(words: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
     return score, j, end, equal
 
 
-def _aligned(words: pd.Series, start: pd.Series, low: pd.Series, high: pd.Series, item: pd.Series) -> pd.DataFrame:
-    """Align around the diagonals of the seeds, with half an item's length to spare."""
-    rows = []
-    for w, s, a, b, t in zip(words, start, low, high, item):
-        w, t = np.asarray(w), np.asarray(t)
-        spare = len(t) // 2 + SEED_WORDS
-        begin = max(0, a - s - spare)
-        score, first, end, equal = align(w[begin : b - s + len(t) + spare], t)
-        rows.append((score, score / (MATCH * len(t)), s + begin + first, s + begin + end, equal))
-    return pd.DataFrame(rows, columns=["score", "ratio", "word_start", "word_end", "equal_words"])
+def best_alignment(words: np.ndarray, item: np.ndarray, least_ratio: float) -> tuple[int, int, int, int]:
+    """The best of ``align``, or zeros if none reaches ``least_ratio``; memory stays at a few times the item squared.
+
+    An alignment above zero covers less than three times the item's length (each gap costs half of what an equal
+    word gains), so blocks that overlap by as much hold each one whole. Without enough words of the item, every one
+    equal, a block cannot reach the ratio and is left out.
+    """
+    m, best = len(item), (0, 0, 0, 0)
+    for begin in range(0, max(1, len(words) - 3 * m), 5 * m):
+        block = words[begin : begin + 8 * m]
+        if np.count_nonzero(np.isin(item, block)) < least_ratio * m:
+            continue
+        score, first, end, equal = align(block, item)
+        if score > best[0]:
+            best = (score, begin + first, begin + end, equal)
+    return best
+
+
+def _aligner(least_ratio: float):
+    def aligned(words: pd.Series, start: pd.Series, low: pd.Series, high: pd.Series, item: pd.Series) -> pd.DataFrame:
+        """Align around the diagonals of the seeds, with half an item's length to spare."""
+        rows = []
+        for w, s, a, b, t in zip(words, start, low, high, item):
+            w, t = np.asarray(w), np.asarray(t)
+            spare = len(t) // 2 + SEED_WORDS
+            begin = max(0, a - s - spare)
+            score, first, end, equal = best_alignment(w[begin : b - s + len(t) + spare], t, least_ratio)
+            rows.append((score, score / (MATCH * len(t)), s + begin + first, s + begin + end, equal))
+        return pd.DataFrame(rows, columns=["score", "ratio", "word_start", "word_end", "equal_words"])
+
+    return aligned
 
 
 ALIGNED = "score long, ratio double, word_start long, word_end long, equal_words long"
@@ -145,19 +166,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_ratio: float = LEA
         "doc_id", "key", F.col("h.places").alias("place"), F.col("h.seeds").alias("seed")
     )
     own = items.select("item_id", F.posexplode("seeds").alias("item_place", "seed"))
-    counted = own.join(hits.groupBy("seed").agg(F.count("*").alias("n")), "seed")
-    by_item = Window.partitionBy("item_id")
-    rare = (
-        counted.withColumn("rank", F.row_number().over(by_item.orderBy("n", "seed", "item_place")))
-        .withColumn("of", F.count("*").over(by_item))
-        .filter("2 * rank <= of + 1")
-        .select("item_id", "item_place", "seed")
-    )
     diagonal = F.col("place") - F.col("item_place")
-    met = hits.join(rare, "seed").groupBy("doc_id", "key", "item_id").agg(
+    met = hits.join(own, "seed").groupBy("doc_id", "key", "item_id").agg(
         F.count("*").alias("n_seeds"), F.min(diagonal).alias("low"), F.max(diagonal).alias("high")
     )
-    aligned = F.pandas_udf(_aligned, ALIGNED)
+    aligned = F.pandas_udf(_aligner(least_ratio), ALIGNED)
     scored = (
         met.drop("doc_id").join(kept.select("doc_id", "key", "start", "words"), "key")
         .join(items.select(F.col("item_id").alias("_item"), F.col("words").alias("item_words")), F.col("item_id").eqNullSafe(F.col("_item")))

@@ -151,6 +151,25 @@ def test_edited_copies_are_found_and_clean_documents_are_not(spark):
     assert found <= want and all(score(*pair) < 0.6 for pair in want - found)
 
 
+def test_edited_copies_are_found_beside_an_exact_one(spark):
+    item = [f"e{k}" for k in range(10)]
+    one_changed = [item[:k] + ["other"] + item[k + 1 :] for k in (2, 4, 5, 7)]
+    docs = [(k, " ".join(["a", *copy, "z"])) for k, copy in enumerate([item, *one_changed, item[:7] + item[8:]])]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item), 0, "")], BENCH)).collect()
+    assert {r.doc_id: r.score for r in got} == {0: 20, 1: 17, 2: 17, 3: 17, 4: 17, 5: 17}
+    two = spark.createDataFrame([docs[0], docs[3]], "doc_id long, text string")
+    assert {r.doc_id for r in dc.contaminated(two, spark.createDataFrame([(1, " ".join(item), 0, "")], BENCH)).collect()} == {0, 3}
+
+
+def test_blocks_of_a_long_text_align_as_the_whole():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        item = rng.integers(0, 40, rng.integers(4, 12))
+        text = np.concatenate([rng.integers(0, 90, rng.integers(0, 200)), item[rng.random(len(item)) < 0.9], rng.integers(0, 90, rng.integers(0, 200))])
+        whole, parts = dc.align(text, item), dc.best_alignment(text, item, 0.5)
+        assert parts == whole if whole[0] >= len(item) else parts[0] < len(item)
+
+
 def test_a_passage_in_a_third_of_the_documents_is_found_in_each(spark):
     item = " ".join(f"q{k}" for k in range(25))
     docs = [(k, f"a{k} b{k} c{k} {item if k % 3 == 0 else ''} d{k}") for k in range(300)]
