@@ -12,9 +12,11 @@ them, spans inside compressed data cover the whole run.
 
 Edge cases: null and empty texts have no spans and the hash of the empty string; repeated rows are
 scanned one by one; ties in the order of spans go by kind, then by end; an empty table gives an empty
-result; other columns are ignored. Base64 broken over lines is not joined. One decompressed layer is
-read up to ``max_layer_bytes`` (a guard against decompression bombs); layers cut there are counted in
-``n_cut``, so no loss is silent.
+result; other columns are ignored. Base64 broken over lines is not joined. A decompressed layer is
+read to its end, through all its members, in overlapping blocks of about ``max_layer_bytes``, so memory stays
+bounded. ``n_cut`` counts layers in which a block had to break a run without white space that is longer than four
+blocks, or with more than 64 levels of compression directly inside each other. Damaged compressed data counts
+up to the damage; bytes outside UTF-8 are one replacement each, the readable rest of a layer stays.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import pandas as pd
 import zstandard
@@ -54,6 +57,17 @@ ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 COMPRESSED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\x00")
 MAX_LAYER_BYTES = 16 << 20
+LONGEST_MAGIC = max(map(len, COMPRESSED))
+#: bytes out of and into a decompressor at a time (zstd has no bound on what comes out, so little goes in)
+PIECE_BYTES, FEED_BYTES = 1 << 20, 1 << 9
+#: bytes before a broken run that are read again, and levels of compression directly inside each other
+OVERLAP, MOST_NESTED = 1 << 10, 64
+#: bytes in no encoded run; a space is one unless it indents a line
+BETWEEN = [bytes([c]) for c in (*range(9), *range(14, 32), 127, *b"<>(),|")]
+LEAST_STRETCH = 16
+UNREADABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffd\ud800-\udfff]")
+STRETCH = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\ufffd\ud800-\udfff]{%d}" % LEAST_STRETCH)
+INVALID = re.compile(r"[\udc80-\udcff]")
 
 Span = tuple[int, int]
 
@@ -64,6 +78,8 @@ class Layer:
     place: Span
     origin: Callable[[int, int], Span]
     path: str = ""
+    #: one of several blocks of a large layer
+    streamed: bool = False
 
 
 @dataclass
@@ -152,28 +168,158 @@ def _escapes(layer: Layer) -> Layer | None:
     return _replaced(layer, runs, "unicode") if runs else None
 
 
-def _inflate(data: bytes, limit: int) -> tuple[bytes, bool] | None:
-    """One compressed layer, at most ``limit`` bytes of it, and whether it was cut."""
-    try:
-        if data.startswith(b"\x28\xb5\x2f\xfd"):
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(limit + 1)
-        elif data.startswith(b"BZh"):
-            out = bz2.BZ2Decompressor().decompress(data, limit + 1)
-        elif data.startswith(b"\xfd7zXZ\x00"):
-            out = lzma.LZMADecompressor().decompress(data, limit + 1)
+def _decompressor(head: bytes):
+    """A decompressor of one member that begins with ``head``, or none."""
+    if head.startswith(b"\x28\xb5\x2f\xfd"):
+        return zstandard.ZstdDecompressor().decompressobj()
+    if head.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    if head.startswith(b"\xfd7zXZ\x00"):
+        return lzma.LZMADecompressor()
+    return zlib.decompressobj(47) if head.startswith(COMPRESSED) else None
+
+
+def _steps(engine, piece: bytes) -> Iterator[bytes]:
+    """What one piece of input gives, in pieces of bounded size where the library allows it."""
+    if isinstance(engine, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+        yield engine.decompress(piece, PIECE_BYTES)
+        while not engine.eof and not engine.needs_input:
+            yield engine.decompress(b"", PIECE_BYTES)
+    elif isinstance(engine, type(zlib.decompressobj())):
+        yield engine.decompress(piece, PIECE_BYTES)
+        while not engine.eof and engine.unconsumed_tail:
+            yield engine.decompress(engine.unconsumed_tail, PIECE_BYTES)
+    else:
+        yield engine.decompress(piece)
+
+
+def _inflated(pieces: Iterable[bytes], used: list[int]) -> Iterator[bytes]:
+    """The content of all members that follow each other; ``used[0]`` counts the bytes read so far.
+
+    Damaged or foreign data ends it, what came out before is kept. Bytes of zero between members are padding.
+    """
+    engine, rest, source = None, b"", iter(pieces)
+    while True:
+        if engine is None:
+            while len(rest) < LONGEST_MAGIC and (more := next(source, None)) is not None:
+                rest += more
+                if used[0]:
+                    bare = rest.lstrip(b"\0")
+                    used[0] += len(rest) - len(bare)
+                    rest = bare
+            if used[0] and rest.startswith(b"\0"):
+                bare = rest.lstrip(b"\0")
+                used[0] += len(rest) - len(bare)
+                rest = bare
+                continue
+            engine = _decompressor(rest[:LONGEST_MAGIC])
+            if engine is None:
+                return
+        elif (more := next(source, None)) is None:
+            return
         else:
-            out = zlib.decompressobj(47).decompress(data, limit + 1)
-    except (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return out[:limit], len(out) > limit
+            rest = more
+        for at in range(0, len(rest), FEED_BYTES):
+            feed = rest[at : at + FEED_BYTES]
+            try:
+                for out in _steps(engine, feed):
+                    if out:
+                        yield out
+            except (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
+                return
+            if engine.eof:
+                used[0] += len(feed) - len(engine.unused_data)
+                rest, engine = engine.unused_data + rest[at + FEED_BYTES :], None
+                break
+            used[0] += len(feed)
+        else:
+            rest = b""
+
 
+def _decoded(data: bytes) -> tuple[str, list[int] | None] | None:
+    """Text with one replacement per byte outside UTF-8, and the byte each character begins at if they differ.
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
+    None for data without any readable stretch: no secret, plain or encoded, is shorter than ``LEAST_STRETCH``.
+    """
+    text = data.decode("utf-8", "surrogateescape")
+    if not text or (UNREADABLE.search(text) and not STRETCH.search(text)):
         return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]", text) else None
+    ends = None
+    if len(text) != len(data):
+        ends = [0, *accumulate(len(c.encode("utf-8", "surrogateescape")) for c in text)]
+    return INVALID.sub("\ufffd", text), ends
+
+
+def _open_run(data: bytes, overlap: int) -> int:
+    """Where the run begins that the end of ``data`` may have broken, with room for a secret before it."""
+    at, space = max(data.rfind(c) for c in BETWEEN), data.rfind(b" ")
+    while space > at:
+        before = len(data[:space].rstrip(b" \t\r\n"))
+        if b"\n" not in data[before:space]:
+            at = space
+            break
+        space = data.rfind(b" ", 0, before)
+    return max(0, at + 1 - overlap)
+
+
+def _blocks(pieces: Iterable[bytes], found: Found, limit: int) -> Iterator[bytes]:
+    """Overlapping blocks of about ``limit`` bytes that do not break a run shorter than four blocks."""
+    held, cut, fresh = b"", False, False
+    buffer, size = [], 0
+    for piece in pieces:
+        buffer.append(piece)
+        size += len(piece)
+        fresh = True
+        if len(held) + size < limit:
+            continue
+        held, buffer, size = held + b"".join(buffer), [], 0
+        while len(held) >= limit:
+            keep = _open_run(held, min(OVERLAP, limit // 4))
+            if keep < limit // 2:
+                # a run fills the block: wait for its end, but not for ever
+                if len(held) < 4 * limit:
+                    break
+                cut, keep = True, max(len(held) - OVERLAP, len(held) // 2)
+            yield held
+            held, fresh = held[keep:], False
+    if fresh and (held or buffer):
+        yield held + b"".join(buffer)
+    found.n_cut += cut
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    for at in range(0, len(data), PIECE_BYTES):
+        yield data[at : at + PIECE_BYTES]
+
+
+def _uncompressed(layer: Layer, data: bytes, path: str, place: Callable[[int], Span], found: Found, limit: int) -> Iterator[Layer]:
+    """Layers of compressed data, through further compression inside; ``place`` maps bytes used to a span."""
+    used = [0]
+    stream: Iterator[bytes] = _inflated(_pieces(data), used)
+    path, stages = f"{path}/compressed", {hashlib.blake2b(data).digest()}
+    for depth in range(MOST_NESTED + 1):
+        head, more, ended = b"", [], False
+        while len(head) < limit and not ended:
+            more = next(stream, None)
+            ended = more is None
+            head += more or b""
+        if not head.startswith(COMPRESSED):
+            break
+        if (stage := hashlib.blake2b(head).digest()) in stages:
+            break
+        if depth == MOST_NESTED:
+            found.n_cut += 1
+            break
+        stages.add(stage)
+        inner = _inflated(chain([head], stream), [0])
+        first = next(inner, None)
+        if first is None:
+            break
+        stream, path = chain([first], inner), f"{path}/compressed"
+    for block in _blocks(chain([head], stream), found, limit):
+        if (decoded := _decoded(block)) is not None:
+            span = layer.origin(*place(used[0]))
+            yield Layer(decoded[0], span, lambda a, b, s=span: s, path, streamed=True)
 
 
 def _base64_layers(layer: Layer, found: Found, limit: int):
@@ -185,56 +331,60 @@ def _base64_layers(layer: Layer, found: Found, limit: int):
             data = base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        path, whole, stages = f"{layer.path}/base64", False, {hashlib.blake2b(data).digest()}
-        while data.startswith(COMPRESSED):
-            inner = _inflate(data, limit)
-            if inner is None:
-                break
-            data, cut = inner
-            found.n_cut += cut
-            path, whole = f"{path}/compressed", True
-            if (stage := hashlib.blake2b(data).digest()) in stages:
-                break
-            stages.add(stage)
-        text = _readable(data)
-        if text is None:
+        path, first, last = f"{layer.path}/base64", m.start(), m.end()
+        inside = None
+        if data.startswith(COMPRESSED):
+            layers = _uncompressed(layer, data, path, lambda n, f=first, e=last: (f, e), found, limit)
+            inside = next(layers, None)
+        if inside is not None:
+            yield inside
+            yield from layers
             continue
-        first, last = m.start(), m.end()
-        if whole:
-            origin = lambda a, b, f=first, e=last: layer.origin(f, e)
-        else:
-            ends = None if len(text) == len(data) else [0]
-            if ends:
-                for c in text:
-                    ends.append(ends[-1] + len(c.encode("utf-8")))
+        decoded = _decoded(data)
+        if decoded is None:
+            continue
+        text, ends = decoded
 
-            def origin(a: int, b: int, f=first, ends=ends) -> Span:
-                x, y = (ends[a], ends[b]) if ends else (a, b)
-                return layer.origin(f + x * 8 // 6, f + -(-y * 8 // 6))
+        def origin(a: int, b: int, f=first, ends=ends) -> Span:
+            x, y = (ends[a], ends[b]) if ends else (a, b)
+            return layer.origin(f + x * 8 // 6, f + -(-y * 8 // 6))
 
         yield Layer(text, layer.origin(first, last), origin, path)
 
 
+def _inner_layers(layer: Layer, found: Found, limit: int) -> Iterator[Layer]:
+    yield from (x for x in (_percent(layer), _escapes(layer)) if x is not None)
+    yield from _base64_layers(layer, found, limit)
+
+
 def find_secrets(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> Found:
     """Base spans and the spans that decoded layers add."""
     found = Found(scan(text))
     base = set(found.base)
-    waiting = deque([Layer(text, (0, len(text)), lambda a, b: (a, b))])
     seen: set = set()
-    while waiting:
-        layer = waiting.popleft()
-        if layer.path:
-            mark = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.place)
-            if mark in seen:
-                continue
-            seen.add(mark)
-            found.n_layers += 1
-            for kind, a, b in scan(layer.text):
-                span = (kind, *layer.origin(a, b))
-                if span not in base:
-                    found.added.setdefault(span, layer.path[1:])
-        waiting.extend(x for x in (_percent(layer), _escapes(layer)) if x is not None)
-        waiting.extend(_base64_layers(layer, found, max_layer_bytes))
+
+    def work(layers: Iterable[Layer]) -> None:
+        waiting = deque([layers])
+        while waiting:
+            for layer in waiting.popleft():
+                if layer.path:
+                    mark = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.place)
+                    if mark in seen:
+                        continue
+                    seen.add(mark)
+                    found.n_layers += 1
+                    for kind, a, b in scan(layer.text):
+                        span = (kind, *layer.origin(a, b))
+                        if span not in base:
+                            found.added.setdefault(span, layer.path[1:])
+                inner = _inner_layers(layer, found, max_layer_bytes)
+                if layer.streamed:
+                    # a block is done with before the next one is read
+                    work(inner)
+                else:
+                    waiting.append(inner)
+
+    work([Layer(text, (0, len(text)), lambda a, b: (a, b))])
     return found
 
 

@@ -4,10 +4,12 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import os
 import re
 import sys
 import urllib.parse
+import zlib
 
 import pytest
 import zstandard
@@ -90,6 +92,32 @@ def test_layers_end_in_cycles_and_bombs_are_reported():
     assert sl.find_secrets("%zz %4 \\u12 &#x; " + "A" * 33).added == {}
 
 
+@pytest.mark.parametrize("compress", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress, zlib.compress])
+def test_later_members_are_read(compress):
+    inner = b64(compress(b"nothing in the first") + compress(SECRET.encode()))
+    found = sl.find_secrets(f"x {inner} y")
+    assert found.added == {("assign", 2, 2 + len(inner)): "base64/compressed"} and found.n_cut == 0
+
+
+def test_large_layers_are_read_to_their_end():
+    content = ("päivää " * 700 + SECRET + " öö " * 700 + KEY).encode()
+    for limit in (1000, 1001, 1002, 1003):
+        found = sl.find_secrets(b64(gzip.compress(content)), max_layer_bytes=limit)
+        assert {kind for kind, _, _ in found.added} == {"assign", "access"} and found.n_cut == 0
+    long_run = ("word " * 300 + b64(b"x" * 2000 + SECRET.encode()) + " word" * 300).encode()
+    found = sl.find_secrets(b64(zstandard.compress(long_run)), max_layer_bytes=1000)
+    assert list(found.added.values()) == ["base64/compressed/base64"] and found.n_cut == 0
+
+
+def test_one_bad_byte_does_not_drop_a_layer():
+    for bad in (b"\xe9", b"\x00", b"\xff\xfe"):
+        text = b64(b"caf" + bad + b" " + SECRET.encode() + b" " + bad)
+        (span,) = sl.find_secrets(text).added
+        covered = base64.b64decode(text[span[1] // 4 * 4 : -(-span[2] // 4) * 4])
+        assert SECRET[:-1].encode() in covered and len(covered) <= len(SECRET) + 4
+        assert len(sl.find_secrets(b64(gzip.compress(b"caf" + bad + SECRET.encode()))).added) == 1
+
+
 def test_scan_operator(spark):
     rows = sl.scan_secrets(helpers.documents(spark)).collect()
     assert len(rows) == len(helpers.ROWS)
