@@ -2,7 +2,8 @@ r"""Secret scans through nested encodings (operator 2).
 
 Every text is a worklist of layers. A layer is scanned for the three kinds of secrets, then
 unwrapped: percent and Unicode escapes give the whole layer once more with the escapes replaced,
-base64 runs give a layer each (through any compression found inside). New layers join the worklist
+base64 runs give a layer each (through any compression found inside), also joined over line breaks and, where a
+run does not decode from its first letter, from the other three offsets. New layers join the worklist
 until none is left; a layer with a content and place seen before is dropped, which also ends cycles.
 Spans found in a layer are mapped back, layer by layer, to code points of the original text.
 
@@ -12,7 +13,7 @@ them, spans inside compressed data cover the whole run.
 
 Edge cases: null and empty texts have no spans and the hash of the empty string; repeated rows are
 scanned one by one; ties in the order of spans go by kind, then by end; an empty table gives an empty
-result; other columns are ignored. Base64 broken over lines is not joined. A decompressed layer is
+result; other columns are ignored. A decompressed layer is
 read to its end, through all its members, in overlapping blocks of about ``max_layer_bytes``, so memory stays
 bounded. ``n_cut`` counts layers in which a block had to break a run without white space that is longer than four
 blocks, or with more than 64 levels of compression directly inside each other. Damaged compressed data counts
@@ -22,7 +23,6 @@ up to the damage; bytes outside UTF-8 are one replacement each, the readable res
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -55,7 +55,11 @@ ESCAPE = re.compile(
 )
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: lines end in a break, plain or written as an escape, and may be indented
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"(?<!\\)[A-Za-z0-9+/_-]+|(?<=\\[nr])[A-Za-z0-9+/_-]+")
 COMPRESSED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\x00")
+MAGIC = re.compile(b"|".join(re.escape(m) for m in COMPRESSED))
 MAX_LAYER_BYTES = 16 << 20
 LONGEST_MAGIC = max(map(len, COMPRESSED))
 #: bytes out of and into a decompressor at a time (zstd has no bound on what comes out, so little goes in)
@@ -287,14 +291,13 @@ def _blocks(pieces: Iterable[bytes], found: Found, limit: int) -> Iterator[bytes
     found.n_cut += cut
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
+def _pieces(data: memoryview) -> Iterator[bytes]:
     for at in range(0, len(data), PIECE_BYTES):
-        yield data[at : at + PIECE_BYTES]
+        yield bytes(data[at : at + PIECE_BYTES])
 
 
-def _uncompressed(layer: Layer, data: bytes, path: str, place: Callable[[int], Span], found: Found, limit: int) -> Iterator[Layer]:
+def _uncompressed(layer: Layer, data: memoryview, path: str, place: Callable[[int], Span], found: Found, limit: int, used: list[int]) -> Iterator[Layer]:
     """Layers of compressed data, through further compression inside; ``place`` maps bytes used to a span."""
-    used = [0]
     stream: Iterator[bytes] = _inflated(_pieces(data), used)
     path, stages = f"{path}/compressed", {hashlib.blake2b(data).digest()}
     for depth in range(MOST_NESTED + 1):
@@ -322,34 +325,59 @@ def _uncompressed(layer: Layer, data: bytes, path: str, place: Callable[[int], S
             yield Layer(decoded[0], span, lambda a, b, s=span: s, path, streamed=True)
 
 
-def _base64_layers(layer: Layer, found: Found, limit: int):
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        run = run[: len(run) - 1] if len(run) % 4 == 1 else run
-        plain = run.translate({45: "+", 95: "/"})
-        try:
-            data = base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        path, first, last = f"{layer.path}/base64", m.start(), m.end()
-        inside = None
-        if data.startswith(COMPRESSED):
-            layers = _uncompressed(layer, data, path, lambda n, f=first, e=last: (f, e), found, limit)
-            inside = next(layers, None)
-        if inside is not None:
-            yield inside
-            yield from layers
-            continue
-        decoded = _decoded(data)
-        if decoded is None:
-            continue
-        text, ends = decoded
+def _runs(text: str) -> Iterator[tuple[str, list[int] | None, int, int]]:
+    """Letters of each base64 run, their places if they do not follow each other, start and end.
+
+    Runs of one line come first, then those joined over line breaks (also escaped ones) and indentation.
+    """
+    for m in BASE64.finditer(text):
+        yield m[0].rstrip("="), None, *m.span()
+    for m in WRAPPED.finditer(text):
+        places = [at for line in LINE.finditer(m[0]) for at in range(m.start() + line.start(), m.start() + line.end())]
+        yield "".join(line[0] for line in LINE.finditer(m[0])), places, *m.span()
 
-        def origin(a: int, b: int, f=first, ends=ends) -> Span:
-            x, y = (ends[a], ends[b]) if ends else (a, b)
-            return layer.origin(f + x * 8 // 6, f + -(-y * 8 // 6))
 
-        yield Layer(text, layer.origin(first, last), origin, path)
+def _base64_layers(layer: Layer, found: Found, limit: int):
+    path = f"{layer.path}/base64"
+    for run, places, first, last in _runs(layer.text):
+        plain = run.translate({45: "+", 95: "/"})
+        # a run may begin with letters of something else (a path, a name): what follows decodes at one of four offsets
+        for offset in range(4):
+            size = len(plain) - offset
+            size -= size % 4 == 1
+            data = base64.b64decode(plain[offset : offset + size] + "=" * (-size % 4)) if size > 0 else b""
+
+            def chars(x: int, y: int, f=first + offset, offset=offset, places=places) -> Span:
+                """The letters that carry bytes x to y."""
+                start, end = x * 8 // 6, -(-y * 8 // 6)
+                return (places[offset + start], places[offset + end - 1] + 1) if places else (f + start, f + end)
+
+            whole, inflated, done = offset == 0, False, 0
+            for magic in MAGIC.finditer(data):
+                # letters come in fours, so a payload that begins with a letter at this offset begins with a third byte
+                if magic.start() % 3 or magic.start() < done:
+                    continue
+                at, used = magic.start(), [0]
+
+                def place(n: int, at=at, chars=chars, end=last, size=len(data)) -> Span:
+                    start = chars(at, at + 1)[0]
+                    return start, end
+
+                for inner in _uncompressed(layer, memoryview(data)[at:], path, place, found, limit, used):
+                    inflated = True
+                    yield inner
+                done = at + used[0] if inflated else 0
+            decoded = _decoded(data)
+            # inside a payload nothing is text, and a run that is all text needs no other offset
+            if decoded is not None and not (inflated and whole and data.startswith(COMPRESSED)):
+                text, ends = decoded
+
+                def origin(a: int, b: int, chars=chars, ends=ends) -> Span:
+                    return layer.origin(*chars(*((ends[a], ends[b]) if ends else (a, b))))
+
+                yield Layer(text, layer.origin(first, last), origin, path)
+            if whole and (inflated and data.startswith(COMPRESSED) or decoded is not None and not UNREADABLE.search(decoded[0])):
+                break
 
 
 def _inner_layers(layer: Layer, found: Found, limit: int) -> Iterator[Layer]:

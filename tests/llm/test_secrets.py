@@ -118,6 +118,29 @@ def test_one_bad_byte_does_not_drop_a_layer():
         assert len(sl.find_secrets(b64(gzip.compress(b"caf" + bad + SECRET.encode()))).added) == 1
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n"])
+def test_wrapped_base64_is_joined(end):
+    noise = hashlib.sha256(b"noise").hexdigest()[:30].upper()
+    for data in (f"{noise} {'word ' * 4} {SECRET} {noise}".encode(), gzip.compress((f"{os.urandom(99)} " + SECRET).encode())):
+        letters = b64(data)
+        inner = end.join(letters[k : k + 76] for k in range(0, len(letters), 76))
+        text = f"key:\n  {inner}\n\nbye"
+        found = sl.find_secrets(text)
+        spans = [s for s in found.added if s[0] == "assign"]
+        assert spans and all(7 <= a < b <= 7 + len(inner) for _, a, b in spans)
+        assert any(b - a >= len(SECRET) for _, a, b in spans)
+        assert sl.masked(text, [*found.base, *found.added]).endswith("\n\nbye")
+
+
+@pytest.mark.parametrize("before", ["https://host/d/", "name-", "key_", "a/b-c/", "ab+", "x/y/zz_"])
+def test_base64_behind_a_path_or_a_name_is_decoded(before):
+    for data in (SECRET.encode(), gzip.compress(SECRET.encode()), "é ".encode() + SECRET.encode()):
+        found = sl.find_secrets(f"see {before}{b64(data)} end")
+        assert [s[0] for s in found.added] == ["assign"]
+        ((_, start, end),) = found.added
+        assert 4 + len(before) <= start < end <= 4 + len(before) + len(b64(data))
+
+
 def test_scan_operator(spark):
     rows = sl.scan_secrets(helpers.documents(spark)).collect()
     assert len(rows) == len(helpers.ROWS)
