@@ -1,7 +1,8 @@
 r"""Secret scans through nested encodings (operator 2).
 
 Every text is a worklist of layers. A layer is scanned for the three kinds of secrets, then
-unwrapped: percent and Unicode escapes give the whole layer once more with the escapes replaced,
+unwrapped: percent and Unicode escapes give the whole layer once more with the escapes replaced (bytes outside
+UTF-8 by one replacement each) and a layer for compressed data written in them,
 base64 runs give a layer each (through any compression found inside), also joined over line breaks and, where a
 run does not decode from its first letter, from the other three offsets. New layers join the worklist
 until none is left; a layer with a content and place seen before is dropped, which also ends cycles.
@@ -54,6 +55,22 @@ ESCAPE = re.compile(
     r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+"
 )
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
+#: compression magic of which at least one byte is escaped ("x" and "BZh" are plain letters)
+_ONE = r"(?:\\x%02x|\\u00%02x|\\U000000%02x|\\u\{0*%02x\}|&#[xX]0*%02x;|&#0*%d;)"
+_ANY_CASE = "(?i:%s)"
+
+
+def _magic(escaped: Callable[[int], str]) -> re.Pattern:
+    one = lambda c: f"(?:{escaped(c)}|{re.escape(chr(c))})" if 32 < c < 127 else escaped(c)
+    marks = [(0x1F, 0x8B), (0x78, 0x01), (0x78, 0x5E), (0x78, 0x9C), (0x78, 0xDA), (0x28, 0xB5, 0x2F, 0xFD), tuple(b"BZh"), (0xFD, *b"7zXZ", 0)]
+    return re.compile("|".join("".join(map(one, mark)) for mark in marks))
+
+
+PERCENT_MAGIC = _magic(lambda c: _ANY_CASE % f"%{c:02x}")
+ESCAPE_MAGIC = _magic(lambda c: _ANY_CASE % (_ONE % (c, c, c, c, c, c)))
+PERCENT_UNIT = re.compile(r"%[0-9A-Fa-f]{2}|[!$&'()*+,./0-9:;=?@A-Z_a-z~\[\]^`{|}-]")
+ESCAPE_UNIT = re.compile(ESCAPE.pattern.removesuffix("+") + r"|\\[abfnrtv0/\\'\"]|[\x20-\x5b\x5d-\x7e\x80-\xff]")
+SHORT = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "0": 0, "/": 47, "\\": 92, "'": 39, '"': 34}
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: lines end in a break, plain or written as an escape, and may be indented
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
@@ -143,15 +160,11 @@ def _percent(layer: Layer) -> Layer | None:
         return None
     runs = []
     for m in PERCENT.finditer(layer.text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
         at = m.start()
-        try:
-            for c in raw.decode("utf-8"):
-                width = 3 * len(c.encode("utf-8"))
-                runs.append((at, at + width, c))
-                at += width
-        except UnicodeDecodeError:
-            continue
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            width = 3 * len(c.encode("utf-8", "surrogateescape"))
+            runs.append((at, at + width, INVALID.sub("\ufffd", c)))
+            at += width
     return _replaced(layer, runs, "url") if runs else None
 
 
@@ -292,14 +305,17 @@ def _blocks(pieces: Iterable[bytes], found: Found, limit: int) -> Iterator[bytes
 
 
 def _pieces(data: memoryview) -> Iterator[bytes]:
-    for at in range(0, len(data), PIECE_BYTES):
-        yield bytes(data[at : at + PIECE_BYTES])
+    at, size = 0, FEED_BYTES
+    while at < len(data):
+        yield bytes(data[at : at + size])
+        # most false starts end within the first piece
+        at, size = at + size, PIECE_BYTES
 
 
 def _uncompressed(layer: Layer, data: memoryview, path: str, place: Callable[[int], Span], found: Found, limit: int, used: list[int]) -> Iterator[Layer]:
     """Layers of compressed data, through further compression inside; ``place`` maps bytes used to a span."""
     stream: Iterator[bytes] = _inflated(_pieces(data), used)
-    path, stages = f"{path}/compressed", {hashlib.blake2b(data).digest()}
+    path, stages = f"{path}/compressed", set()
     for depth in range(MOST_NESTED + 1):
         head, more, ended = b"", [], False
         while len(head) < limit and not ended:
@@ -380,8 +396,56 @@ def _base64_layers(layer: Layer, found: Found, limit: int):
                 break
 
 
+def _escaped_bytes(layer: Layer, found: Found, limit: int) -> Iterator[Layer]:
+    """Layers of compressed data written as percent or other escapes, with plain letters between them."""
+    text = layer.text
+    for name, start, unit, quick in (("url", PERCENT_MAGIC, PERCENT_UNIT, "%"), ("unicode", ESCAPE_MAGIC, ESCAPE_UNIT, ("\\", "&#"))):
+        if not any(q in text for q in quick):
+            continue
+        done, places, forms = 0, [0], []
+        for begin in start.finditer(text):
+            first = begin.start()
+            if first < done:
+                continue
+            if first >= places[-1]:
+                # the stretch is decoded once, however many starts are in it; a literal ends at the quote it began with
+                quote = text[first - 1] if first and text[first - 1] in "\"'" else ""
+                values, places = bytearray(), [first]
+                while (m := unit.match(text, places[-1])) is not None and (not quote or m[0] != quote):
+                    value = _unit_value(m[0])
+                    if value is None:
+                        break
+                    values.append(value)
+                    places.append(m.end())
+                # a plus is a space in forms; elsewhere it may be itself
+                data = bytes(values)
+                forms = [data.replace(b"+", b" "), data] if name == "url" and b"+" in data else [data]
+            at = bisect_right(places, first) - 1
+            for form in forms:
+                if not form.startswith(COMPRESSED, at):
+                    continue
+                used = [0]
+                span = lambda n, f=first, at=at, places=places: (f, places[at + n] if n else places[-1])
+                for inner in _uncompressed(layer, memoryview(form)[at:], f"{layer.path}/{name}", span, found, limit, used):
+                    yield inner
+                    done = max(done, places[at + used[0]])
+
+
+def _unit_value(unit: str) -> int | None:
+    """The byte that a percent escape, another escape or a plain letter stands for."""
+    if unit[0] == "%" and len(unit) == 3:
+        return int(unit[1:], 16)
+    if len(unit) == 1:
+        return ord(unit)
+    if (m := ONE_ESCAPE.fullmatch(unit)) is not None:
+        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
+        return code if code < 256 else None
+    return SHORT.get(unit[1])
+
+
 def _inner_layers(layer: Layer, found: Found, limit: int) -> Iterator[Layer]:
     yield from (x for x in (_percent(layer), _escapes(layer)) if x is not None)
+    yield from _escaped_bytes(layer, found, limit)
     yield from _base64_layers(layer, found, limit)
 
 

@@ -141,6 +141,28 @@ def test_base64_behind_a_path_or_a_name_is_decoded(before):
         assert 4 + len(before) <= start < end <= 4 + len(before) + len(b64(data))
 
 
+@pytest.mark.parametrize("compress", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress, zlib.compress])
+def test_compressed_bytes_in_escapes_are_inflated(compress):
+    data = compress(("päivää " + SECRET).encode())
+    forms = {
+        "url": [urllib.parse.quote(data, safe=""), urllib.parse.quote_plus(data), "".join(f"%{c:02X}" for c in data)],
+        "unicode": ["".join(f"\\x{c:02x}" for c in data), repr(data), "".join(f"\\u{c:04x}" for c in data)],
+    }
+    for name, texts in forms.items():
+        for inner in texts:
+            found = sl.find_secrets(f"at {inner} end")
+            # xz stores short data as it is, so the secret may be seen without inflating as well
+            spans = [s for s, path in found.added.items() if s[0] == "assign" and path == f"{name}/compressed"]
+            assert spans and all(3 <= start < end <= 3 + len(inner) for _, start, end in spans)
+
+
+def test_valid_parts_of_a_mixed_percent_run_are_decoded():
+    secret = "".join(f"%{c:02x}" for c in SECRET.encode())
+    for text in (f"%E9{secret}", f"{secret}%E9", f"%C3%A9%E9{secret}%ff%C3%A9"):
+        ((kind, start, end),) = sl.find_secrets(text).added
+        assert kind == "assign" and urllib.parse.unquote(text[start:end]) == SECRET[:-1]
+
+
 def test_scan_operator(spark):
     rows = sl.scan_secrets(helpers.documents(spark)).collect()
     assert len(rows) == len(helpers.ROWS)
