@@ -236,9 +236,11 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without an identified language go."""
-    judged = identify_documents(docs, docs)
+    # everything that the verdict follows from names the rows, because ids may be null or repeated
+    mark = F.sha2(F.to_json(F.struct("doc_id", "text", "lang", "source")), 256)
+    judged = identify_documents(docs.withColumn("doc_id", mark), docs)
     gone = judged.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone._gone), "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.join(gone, mark == gone._gone, "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query("op10_language_id")

@@ -235,3 +235,17 @@ def test_pipeline_bears_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     left = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id is None for r in left) == [False] * 4 + [True]
+
+
+def test_stages_judge_rows_without_a_usable_id(spark, tmp_path):
+    item = " ".join(f"item{k}" for k in range(12))
+    english = "the quick brown fox jumps over the lazy dog and runs away from the hunter "
+    rows = [(i, english * 3, "en", "a", 1, 0, "", 0) for i in (None, None, 7)]
+    spark.createDataFrame([(1, item, 0, "")], BENCH).write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaked = [(i, f"x {item} y", "en", "a", 1, 0, "", 0) for i in (None, 7)]
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["decontamination"](spark, helpers.documents(spark, rows + leaked), str(tmp_path)).collect()
+    assert len(left) == 3 and not any(item in r.text for r in left)
+    nothing = [(i, "", None, "odd", 0, 0, "", 0) for i in (None, 7)]
+    left = stages["language_id"](spark, helpers.documents(spark, rows + nothing), str(tmp_path)).collect()
+    assert len(left) == 3 and all(r.text for r in left)
