@@ -143,6 +143,8 @@ def state_on_disk(spark: SparkSession):
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # many small stores: space for logs is not reserved ahead
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
