@@ -37,33 +37,30 @@ def clean_bars(raw: DataFrame) -> DataFrame:
     return raw.withColumn("_ts", nums.parse_aware_ts(F.col("timestamp_utc"))).select(*out)
 
 
-def checked_bars(
-    bars: DataFrame, key: str = "series_key", block_rows: int = 65536, history: DataFrame | None = None
-) -> DataFrame:
+def checked_bars(bars: DataFrame, key: str = "series_key", block_rows: int = 65536) -> DataFrame:
     """Bars with ``prev_ts`` (row before in file order) and ``broken``.
 
     ``broken`` is the array of (rank, code) a bar violates, empty when it is
     sound. Order matters and DataFrames have none, so ``row_no`` is the file
-    order. ``history`` holds (key, row_no, ts) of earlier rows that count as seen.
+    order. A column ``first_row``, if there is one, tells the first row with the same stamp.
     """
     have = set(bars.columns)
     flag = lambda name: F.col(name) if name in have else F.lit(False)
     extra = ("ts_error", "volume", "volume_invalid", "trade_count", "trade_count_invalid")
-    kept = [key, "row_no", "ts", *OHLC, *[c for c in extra if c in have]]
+    kept = [key, "row_no", "ts", *OHLC, *[c for c in (*extra, "first_row") if c in have]]
     ordered = block_lag(
         bars.select(*kept), [key], "row_no", F.floor(F.col("row_no") / block_rows), "ts", "prev_ts"
     )
-    stamps = bars.select(key, "row_no", "ts")
-    if history is not None:
-        seen = history.select(key, "row_no", "ts").join(stamps.select(key, "ts").distinct(), [key, "ts"], "left_semi")
-        stamps = stamps.unionByName(seen.select(*stamps.columns))
-    repeated = (
-        stamps.groupBy(key, "ts")
-        .agg(F.min("row_no").alias("_first_row"), F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1 AND ts IS NOT NULL")
-        .drop("_n")
-    )
-    rows = ordered.join(repeated, [key, "ts"], "left")
+    if "first_row" in have:
+        rows = ordered.withColumnRenamed("first_row", "_first_row")
+    else:
+        repeated = (
+            bars.groupBy(key, "ts")
+            .agg(F.min("row_no").alias("_first_row"), F.count(F.lit(1)).alias("_n"))
+            .filter("_n > 1 AND ts IS NOT NULL")
+            .drop("_n")
+        )
+        rows = ordered.join(repeated, [key, "ts"], "left")
     ts_error = F.col("ts_error") if "ts_error" in have else F.when(F.col("ts").isNull(), F.lit("empty"))
     duplicate = F.coalesce(F.col("row_no") > F.col("_first_row"), F.lit(False))
     missing = F.lit(False)
@@ -89,14 +86,12 @@ def checked_bars(
     return rows.select(key, "row_no", "ts", "prev_ts", *OHLC, F.array_compact(F.array(*rules)).alias("broken"))
 
 
-def validate_ohlc(
-    bars: DataFrame, key: str = "series_key", block_rows: int = 65536, history: DataFrame | None = None
-) -> DataFrame:
+def validate_ohlc(bars: DataFrame, key: str = "series_key", block_rows: int = 65536) -> DataFrame:
     """Every rule a bar breaks, as (key, row_no, rank, code) rows.
 
     Nothing is sorted, repaired or dropped; clean series yield no rows.
     """
-    return checked_bars(bars, key, block_rows, history).select(
+    return checked_bars(bars, key, block_rows).select(
         key, "row_no", F.inline_outer("broken")
     ).filter("rank IS NOT NULL")
 

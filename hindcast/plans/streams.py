@@ -24,7 +24,8 @@ def _as_files(rows, spark, parts: int = 1, order: str | None = None) -> str:
 @query("stream_validate_bars", f"WITH {TICKS_CTE} SELECT series_key, row_no, rank, code FROM broken")
 def stream_validate_bars_query(spark, sf):
     root = shared_dir(spark)
-    ticks = parquet_stream(spark, _as_files(typed_ticks(spark, sf), spark))
+    # rows in file order over four files: every batch but the first meets carried state
+    ticks = parquet_stream(spark, _as_files(typed_ticks(spark, sf), spark, 4, "row_no"), 1)
     bar_streams.stream_validate_bars(ticks, root, f"{root}/checkpoint")
     return read_batches(spark, f"{root}/violations").drop("batch")
 
@@ -34,7 +35,7 @@ def stream_validate_bars_query(spark, sf):
     """WITH spaced AS (SELECT event_type AS series_key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) <= 3636000000 THEN 0 ELSE 1 END AS fresh FROM {events}),
       numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY series_key ORDER BY ts) AS stretch FROM spaced),
       stretches AS (SELECT series_key, count(*) AS bar_count, min(ts) AS first_ts, max(ts) AS last_ts FROM numbered GROUP BY series_key, stretch)
-      SELECT * FROM stretches WHERE epoch_us(last_ts) + 3636000001 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM {events}) - 3600000000""",
+      SELECT * FROM stretches""",
 )
 def stream_gap_monitor_query(spark, sf):
     use_utc(spark)
@@ -44,8 +45,8 @@ def stream_gap_monitor_query(spark, sf):
         F.col("event_type").alias("series_key"), F.col("ts").cast("timestamp").alias("ts"),
         F.lit(3600.0).alias("cadence_seconds"), F.lit(3600.0).alias("maximum_gap_seconds"),
     )
-    bar_streams.stream_gap_monitor(bars, root, f"{root}/checkpoint")
-    rows = read_batches(spark, f"{root}/stretches").drop("batch")
+    bar_streams.stream_gap_monitor(bars, root, f"{root}/checkpoint", idle_seconds=2.0)
+    rows = bar_streams.latest_stretches(read_batches(spark, f"{root}/stretches"))
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 

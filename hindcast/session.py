@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +39,20 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_hindcast_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='hindcast-')}/hindcast.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._hindcast_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 

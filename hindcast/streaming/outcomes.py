@@ -2,32 +2,160 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from hindcast.functions.numbers import seconds_between
+from hindcast import fixed_values as fv
+from hindcast.functions import numbers as nums
 from hindcast.operators import quality, windows
-from hindcast.streaming.tables import drain, read_batch, read_batches, write_batch
+from hindcast.streaming.tables import drain, keyed_state, read_batch, write_batch
+
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+FIGURES = {
+    "bar_count": "long", "open": "double", "high": "double", "high_ts": "long", "low": "double", "low_ts": "long", "close": "double",
+    "last_bar_ts": "long", "maximum_observed_gap_seconds": "double", "irregular_gaps": "long", "excessive_gaps": "long",
+}
+ROUTED = "series_key string, day long, us long, open double, high double, low double, close double, own long, valid boolean, clock timestamp, step int"
+BLANK = (0, None, None, None, None, None, None, None, None, 0, 0)
+
+
+def merge_bars(have: tuple, us: np.ndarray, ohlc: np.ndarray, cadence: float, limit: float) -> tuple:
+    """Figures of a window (in the order of ``FIGURES``) after some more bars, all newer than those so far."""
+    if not len(us):
+        return have
+    n, first, high, high_ts, low, low_ts, _, last, gap, irregular, excessive = have
+    top, bottom = int(ohlc[1].argmax()), int(ohlc[2].argmin())
+    if high is None or ohlc[1][top] > high:
+        high, high_ts = float(ohlc[1][top]), int(us[top])
+    if low is None or ohlc[2][bottom] < low:
+        low, low_ts = float(ohlc[2][bottom]), int(us[bottom])
+    gaps = np.diff(us if last is None else np.concatenate(([last], us))) / 1e6
+    if len(gaps):
+        # the rules of ``quality.irregular_gap`` and ``quality.excessive_gap``
+        tolerance, steps = max(0.001, cadence * 0.01), gaps / cadence
+        irregular += int(((gaps < cadence - tolerance) | (np.abs(steps - np.rint(steps)) > tolerance / cadence)).sum())
+        excessive += int((gaps > limit + tolerance).sum())
+        gap = float(max(gaps.max(), gaps[0] if gap is None else gap))
+    opened = float(ohlc[0][0]) if n == 0 else first
+    return n + len(us), opened, high, high_ts, low, low_ts, float(ohlc[3][-1]), int(us[-1]), gap, irregular, excessive
+
+
+class ClaimWindows(StatefulProcessor):
+    """Open windows of the claims on one series whose anchors lie on one day.
+
+    A claim is an entry of the map state from the start: anchor, entry bar and the figures of its
+    windows so far. It leaves when the clock of its series has passed its longest window, or when a timer on the
+    newest clock of all fires.
+    """
+
+    def __init__(self, hours: tuple[int, ...], claim: str):
+        self.hours, self.claim = hours, claim
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        figures = ", ".join(f"{name}: {kind}" for name, kind in FIGURES.items())
+        self.open = handle.getMapState(
+            "open", self.claim, f"anchor long, cadence double, gap_limit double, entry long, windows array<struct<{figures}>>"
+        )
+
+    def handleInitialState(self, key: tuple, row: Row, timerValues) -> None:
+        self.open.updateValue((row.claim_id, row.asset_pos), (row.anchor, row.cadence, row.gap_limit, None, [BLANK] * len(self.hours)))
+
+    def _told(self, claim: tuple, entry: int | None, status: str | None, figures: list[tuple]) -> Iterator[Row]:
+        self.open.removeKey(claim)
+        for hours, values in zip(self.hours, figures):
+            yield Row(claim_id=claim[0], asset_pos=claim[1], entry=entry, entry_status=status, hours=hours, **dict(zip(FIGURES, values)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batches: dict[int, list[Row]] = {}
+        for row in rows:
+            batches.setdefault(row.step, []).append(row)
+        if not self.open.exists():
+            return
+        claims = {tuple(claim): tuple(value) for claim, value in self.open.iterator()}
+        nothing, changed = [(None,) * len(FIGURES)] * len(self.hours), set()
+        for _, batch in sorted(batches.items()):
+            own = max(row.own for row in batch)
+            bars = sorted((row.us, row.open, row.high, row.low, row.close) for row in batch if row.us is not None)
+            us, *ohlc = np.array(bars, dtype=np.float64).reshape(-1, 5).T
+            us = np.array([bar[0] for bar in bars], dtype=np.int64)
+            for claim, (anchor, cadence, limit, entry, figures) in list(claims.items()):
+                status = "invalid_market_series" if not all(row.valid for row in batch) else None
+                start = int(np.searchsorted(us, anchor)) if entry is None else 0
+                if status is None and entry is None and own >= anchor:
+                    first = int(us[start]) if start < len(us) else own
+                    if first - anchor > int(limit * 1e6):
+                        status = "next_tradable_bar_too_late"
+                    elif start < len(us):
+                        entry = first
+                        self.handle.registerTimer(self._due(entry))
+                if status is not None:
+                    del claims[claim]
+                    yield from self._told(claim, None, status, nothing)
+                    continue
+                if entry is None:
+                    continue
+                ends = [int(np.searchsorted(us, entry + hours * HOUR)) for hours in self.hours]
+                figures = [
+                    merge_bars(tuple(have), us[start:end], [x[start:end] for x in ohlc], cadence, limit) for have, end in zip(figures, ends)
+                ]
+                if own >= entry + max(self.hours) * HOUR:
+                    del claims[claim]
+                    yield from self._told(claim, entry, None, figures)
+                else:
+                    claims[claim] = anchor, cadence, limit, entry, figures
+                    changed.add(claim)
+        for claim in changed & claims.keys():
+            self.open.updateValue(claim, claims[claim])
+
+    def _due(self, entry: int) -> int:
+        """Milliseconds at which the longest window has passed."""
+        return -(-(entry + max(self.hours) * HOUR) // 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.open.exists():
+            return
+        for claim, (_, _, _, entry, figures) in list(self.open.iterator()):
+            if entry is not None and self._due(entry) <= expiredTimerInfo.getExpiryTimeInMs():
+                yield from self._told(tuple(claim), entry, None, [tuple(f) for f in figures])
+
+
+def _stamp(us: Column) -> Column:
+    return F.timestamp_micros(us).cast("timestamp_ntz")
 
 
 def stream_outcome_windows(
-    bars: DataFrame, assets: DataFrame, series: DataFrame, root: str, checkpoint: str, lateness_seconds: float = 0.0
+    bars: DataFrame, assets: DataFrame, series: DataFrame, root: str, checkpoint: str, lateness_seconds: float = 0.0,
+    hours: tuple[int, ...] = fv.HORIZON_HOURS,
 ) -> None:
-    """Settles claim windows as bars arrive.
-
-    Every series has its own clock, its newest bar stamp. A window is emitted once and for
-    all when the clock of its series has passed it, or when the newest clock of all has
-    passed it by ``lateness_seconds`` (how far a series may lag behind the others);
-    ``window_not_elapsed`` and ``no_bar_after_publication`` stay open for the next batch. Bars not
-    newer than what their own series has shown in earlier batches are late: they go to the
-    table ``late`` and count nowhere else, so the order of a series can only break inside a
-    batch. Only fresh bars are checked, verdicts add up in a small state table. The windows come
-    from the batch operator, over open claims and the bars they can still touch.
+    """Settles claim windows as bars arrive, in two streams of which neither reads an earlier batch again.
+
+    The first checks fresh bars and keeps one row per series (newest stamp, soundness). Bars not newer than what
+    their own series has shown in earlier batches are late: they go to the table ``late`` and count nowhere else. The
+    others are routed to the claims they can touch, by series and day of the anchor; a claim's day also hears once that
+    its series has passed it or is unsound.
+
+    The second keeps the open windows as keyed state (``ClaimWindows``). A window is settled once and for all when the clock
+    of its series has passed it, or, by a timer, when the newest clock of all has passed it by
+    ``lateness_seconds`` (how far a series may lag behind the others). Claims without a bar after them stay open.
+    Claims on series without a usable policy are settled at the start.
     """
     keys = ["claim_id", "asset_pos"]
+    spark = bars.sparkSession
+    unseen = spark.createDataFrame([], "series_key string, last_ts timestamp_ntz, valid boolean")
+    profile = windows.series_profile(series, unseen).select("series_key", "blocked_status", *windows.POLICY)
+    claims = assets.join(profile, "series_key").withColumns(
+        {"_at": nums.micros(F.col("anchor")), "day": nums.time_bucket(F.col("anchor"), DAY // 1000000)}
+    )
+    ready = claims.filter("blocked_status IS NULL")
+    reach = (F.col("maximum_gap_seconds") * 1000000.0).cast("bigint") + max(hours) * HOUR
+    days = ready.select("series_key", "day", ((F.col("day") + 1) * DAY + reach).alias("_due")).distinct()
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    def route(batch: DataFrame, batch_id: int) -> None:
         before = read_batch(spark, f"{root}/state", batch_id - 1) if batch_id else None
         fresh = batch
         if before is not None:
@@ -38,30 +166,71 @@ def stream_outcome_windows(
         write_batch(fresh, f"{root}/bars", batch_id)
         fresh = read_batch(spark, f"{root}/bars", batch_id)
         verdicts = quality.series_verdicts(fresh).select("series_key", "last_ts", "valid")
-        both = verdicts if before is None else verdicts.unionByName(before)
+        both = verdicts.withColumn("_new", F.lit(True))
+        if before is not None:
+            both = both.unionByName(before.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        earlier = F.when(~F.col("_new"), F.col("last_ts"))
         write_batch(
-            both.groupBy("series_key").agg(F.max("last_ts").alias("last_ts"), F.every("valid").alias("valid")),
+            both.groupBy("series_key").agg(
+                F.max("last_ts").alias("last_ts"), F.every("valid").alias("valid"), F.max("_new").alias("touched"),
+                F.max(earlier).alias("shown_ts"), F.coalesce(F.every(F.when(~F.col("_new"), F.col("valid"))), F.lit(True)).alias("was_valid"),
+            ),
             f"{root}/state", batch_id,
         )
         state = read_batch(spark, f"{root}/state", batch_id)
-        waiting = read_batch(spark, f"{root}/open", batch_id - 1) if batch_id else assets
-        known = read_batches(spark, f"{root}/bars").filter(F.col("batch") <= batch_id).drop("batch")
-        near = known.filter(F.col("ts") >= waiting.agg(F.min("anchor")).scalar())
-        profile = windows.series_profile(series, state)
-        usable = windows.usable_bars(quality.lag_gap(near).drop("gap_seconds"), profile)
-        now = state.agg(F.max("last_ts")).scalar()
-        long = windows.windows_over(waiting, profile, usable, now)
-        clocks = state.select("series_key", F.col("last_ts").alias("_clock"))
-        long = long.join(clocks, "series_key", "left")
-        own = F.coalesce(F.col("_clock") >= F.col("window_end"), F.lit(False))
-        waited = F.coalesce(seconds_between(now, F.col("window_end")) >= lateness_seconds, F.lit(True))
-        settled = ~F.col("status").isin("window_not_elapsed", "no_bar_after_publication") & (own | waited)
-        whole = long.groupBy(*keys).agg(F.every(settled).alias("_settled"))
-        rows = long.join(whole, keys)
-        write_batch(rows.filter("_settled").drop("_settled", "_clock"), f"{root}/settled", batch_id)
-        write_batch(waiting.join(whole.filter("NOT _settled"), keys, "left_semi"), f"{root}/open", batch_id)
-
-    drain(bars, process, checkpoint)
+        # half a millisecond keeps rows of an unchanged clock ahead of the watermark, which has whole ones
+        newest = state.agg(F.max("last_ts")).scalar()
+        clock = F.timestamp_micros(F.floor(nums.micros(newest) / 1000) * 1000 + 500)
+        known = state.select("series_key", nums.micros(F.col("last_ts")).alias("own"), "valid", "touched", "was_valid", nums.micros(F.col("shown_ts")).alias("_shown"))
+        limits = ready.select("series_key", reach.alias("_reach")).distinct()
+        near = (
+            fresh.join(limits, "series_key").withColumn("us", nums.micros(F.col("ts")))
+            .withColumn("day", F.explode(F.sequence(F.floor((F.col("us") - F.col("_reach")) / DAY), F.floor(F.col("us") / DAY))))
+            .join(days.drop("_due"), ["series_key", "day"]).join(known, "series_key")
+            .select("series_key", "day", "us", "open", "high", "low", "close", "own", "valid")
+        )
+        passed = (F.col("_due") <= F.col("own")) & F.coalesce(F.col("_due") > F.col("_shown"), F.lit(True))
+        heard = days.join(known.filter("touched"), "series_key").filter(passed | (F.col("was_valid") & ~F.col("valid")))
+        tick = spark.range(1).select(F.lit(None).cast("string").alias("series_key"), F.lit(0).cast("bigint").alias("day"))
+        routed = near.unionByName(heard.select("series_key", "day", "own", "valid"), allowMissingColumns=True)
+        routed = routed.unionByName(tick, allowMissingColumns=True).withColumns({"clock": clock, "step": F.lit(batch_id)})
+        write_batch(routed, f"{root}/routed", batch_id)
+
+    def settle(rows: DataFrame, batch_id: int) -> None:
+        write_batch(_settled(rows, assets, profile), f"{root}/settled", batch_id)
+
+    drain(bars, route, checkpoint)
+    blocked = claims.filter("blocked_status IS NOT NULL").select(
+        *keys, F.explode(F.array(*map(F.lit, hours))).alias("hours"), F.col("blocked_status").alias("entry_status"),
+        F.lit(None).cast("bigint").alias("entry"), *[F.lit(None).cast(kind).alias(name) for name, kind in FIGURES.items()],
+    )
+    write_batch(_settled(blocked, assets, profile), f"{root}/settled", -1)
+    start = ready.select(
+        "series_key", "day", *keys, F.col("_at").alias("anchor"), F.col("cadence_seconds").alias("cadence"), F.col("maximum_gap_seconds").alias("gap_limit")
+    )
+    claim = ", ".join(f"{k} {assets.schema[k].dataType.simpleString()}" for k in keys)
+    told = f"{claim}, entry long, entry_status string, hours int, " + ", ".join(f"{name} {kind}" for name, kind in FIGURES.items())
+    with keyed_state(spark):
+        # a batch is routed again only if its own stream failed, and then nothing has been read from here yet
+        routed = spark.readStream.schema(ROUTED).option("recursiveFileLookup", True).parquet(f"{root}/routed").withWatermark("clock", f"{round(lateness_seconds * 1000)} milliseconds")
+        settled = routed.groupBy("series_key", "day").transformWithState(
+            ClaimWindows(hours, claim), told, "Append", "EventTime", initialState=start.groupBy("series_key", "day")
+        )
+        drain(settled, settle, f"{checkpoint}-windows")
+
+
+def _settled(rows: DataFrame, assets: DataFrame, profile: DataFrame) -> DataFrame:
+    """Rows of ``windows.windows_over`` from the figures of settled windows."""
+    stamps = {c: _stamp(F.col(c)) for c in ("high_ts", "low_ts", "last_bar_ts")}
+    located = assets.join(rows.withColumns({"entry_ts": _stamp(F.col("entry")), **stamps}).drop("entry"), ["claim_id", "asset_pos"])
+    figured = windows.window_coverage(located.join(profile.drop("blocked_status"), "series_key"))
+    stats = windows.window_status(windows.rounded_returns(windows.window_returns(figured)), F.col("window_end"))
+    stats = stats.withColumn("status", F.coalesce("entry_status", "status"))
+    # a window without an entry has neither an end nor figures
+    entered = lambda c: F.when(F.col("entry_ts").isNotNull(), F.col(c)).alias(c)
+    plain = [*assets.columns, "entry_ts", "hours", "status"]
+    rest = [c for c in stats.columns if c not in (*plain, *windows.POLICY, "entry_status", "elapsed")]
+    return stats.select(*plain, *map(entered, rest), (F.col("status") == "complete").alias("complete"))
 
 
 def daily_scores(scores: DataFrame, keys: list[str]) -> DataFrame:

@@ -38,44 +38,81 @@ def test_bar_rules_across_batches(spark, tmp_path):
         ts = clock[key] - HOUR * rng.choice([0] * 12 + [1, 2, 30])
         rows.append((key, i, ts, 1.0, rng.choice([2.0] * 20 + [0.5]), 1.0, 1.5))
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
-    drop_files(spark, source, rows, BARS, 5, lambda: bar_streams.stream_validate_bars(parquet_stream(spark, source), root, f"{root}/cp"))
+    for half in (rows[:120], rows[120:]):
+        for k in range(0, 120, 24):
+            spark.createDataFrame(half[k : k + 24], BARS).coalesce(1).write.mode("append").parquet(source)
+        bar_streams.stream_validate_bars(parquet_stream(spark, source, 1), root, f"{root}/cp")
     streamed = {tuple(r) for r in read_batches(spark, f"{root}/violations").drop("batch").collect()}
     batch = {tuple(r) for r in quality.validate_ohlc(spark.createDataFrame(rows, BARS)).collect()}
     assert streamed == batch and {r[3] for r in batch} >= {"duplicate_timestamp", "timestamps_not_increasing", "high_below_low"}
 
 
 def test_windows_settle_as_in_batch(spark, tmp_path):
+    """Twelve files, one a batch, with a new start in the middle; then the batch operator over all of them."""
     rng = random.Random(9)
     bars, ts = [], T0
-    for i in range(160):
-        ts += HOUR * rng.choice([1, 1, 1, 3])
+    for i in range(156):
+        ts += HOUR * rng.choice([1] * 40 + [3])
         bars.append(("s", i, ts, 5.0, 5.0 + rng.randint(0, 3), 5.0 - rng.randint(0, 3), 5.0))
-    series = spark.createDataFrame([("s", "csv", "non_continuous", 3600.0, 7200.0, 7200.0, 4)], SERIES)
-    anchors = [(i, 0, "s", T0 + timedelta(minutes=rng.randint(0, 60 * 200))) for i in range(60)]
+        bars.append(("broken", i, ts, 5.0, 4.0 if i == 2 else 5.0, 5.0, 5.0))
+    series = [(k, "csv", "non_continuous", 3600.0, 7200.0, 7200.0, 4) for k in ("s", "broken", "silent")]
+    series = spark.createDataFrame([*series, ("undeclared", "csv", None, None, None, None, None)], SERIES)
+    anchors = [(i, 0, "s", T0 + timedelta(minutes=rng.randint(-900, 60 * 200))) for i in range(60)]
+    anchors += [(100 + i, i, k, T0 + HOUR * hours) for i, k in enumerate(("broken", "silent", "undeclared", "unknown")) for hours in (5,)]
+    anchors.append((200, 0, "broken", T0 + 5000 * HOUR))
     assets = spark.createDataFrame(anchors, "claim_id int, asset_pos int, series_key string, anchor timestamp_ntz")
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
-    drop_files(
-        spark, source, bars, BARS, 4,
-        lambda: outcome_streams.stream_outcome_windows(parquet_stream(spark, source), assets, series, root, f"{root}/cp"),
-    )
-    columns = ["claim_id", "hours", "status", "entry_ts", "bar_count", "high", "high_ts"]
+    for half in (bars[:156], bars[156:]):
+        for k in range(0, 156, 26):
+            spark.createDataFrame(half[k : k + 26], BARS).coalesce(1).write.mode("append").parquet(source)
+        outcome_streams.stream_outcome_windows(parquet_stream(spark, source, 1), assets, series, root, f"{root}/cp")
+    columns = ["claim_id", "hours", "status", "entry_ts", "bar_count", "high", "high_ts", "low", "low_ts", "close", "irregular_gaps",
+               "excessive_gaps", "maximum_observed_gap_seconds", "reasons", "window_end", "return_pct", "complete"]
     streamed = sorted(map(tuple, read_batches(spark, f"{root}/settled").select(*columns).collect()), key=str)
     batch = windows.outcome_windows(assets, spark.createDataFrame(bars, BARS), series, F.lit(ts).cast("timestamp_ntz")).select(*columns).collect()
     open_claims = {r.claim_id for r in batch if r.status in ("window_not_elapsed", "no_bar_after_publication")}
     assert streamed == sorted((tuple(r) for r in batch if r.claim_id not in open_claims), key=str) and open_claims and streamed
+    assert {r[2] for r in streamed} >= {"complete", "invalid_market_series", "coverage_policy_missing", "next_tradable_bar_too_late"}
+    assert spark.read.parquet(f"{root}/routed").select("step").distinct().count() == 12
+
+
+def test_lagging_series_settles_by_timer(spark, tmp_path):
+    """A window that its own series never passes is settled once the newest clock is far enough ahead."""
+    series = spark.createDataFrame([(k, "csv", "non_continuous", 3600.0, 7200.0, 7200.0, 4) for k in "ab"], SERIES)
+    assets = spark.createDataFrame([(1, 0, "a", T0)], "claim_id int, asset_pos int, series_key string, anchor timestamp_ntz")
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    first = [("a", i, T0 + i * HOUR, 5.0, 6.0, 4.0, 5.0) for i in range(10)]
+    for rows, settled in ((first, 0), ([("b", 0, T0 + 49 * HOUR, 1.0, 1.0, 1.0, 1.0)], 0), ([("b", 1, T0 + 60 * HOUR, 1.0, 1.0, 1.0, 1.0)], 2)):
+        spark.createDataFrame(rows, BARS).coalesce(1).write.mode("append").parquet(source)
+        outcome_streams.stream_outcome_windows(parquet_stream(spark, source, 1), assets, series, root, f"{root}/cp", 6 * 3600.0)
+        got = read_batches(spark, f"{root}/settled").collect()
+        assert len(got) == settled
+    assert {(r.hours, r.bar_count, r.status) for r in got} == {(24, 10, "source_coverage_gap"), (48, 10, "source_coverage_gap")}
+
+
+def stretches_of(spark, tmp_path, rows, **kwargs):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, "series_key string, ts timestamp").withColumns(
+        {"cadence_seconds": F.lit(3600.0), "maximum_gap_seconds": F.lit(7200.0)}
+    ).repartition(3).write.mode("append").parquet(source)
+    bar_streams.stream_gap_monitor(parquet_stream(spark, source), root, f"{root}/cp", idle_seconds=0.5, **kwargs)
+    return {(r.series_key, r.bar_count, r.first_ts, r.last_ts) for r in bar_streams.latest_stretches(read_batches(spark, f"{root}/stretches")).collect()}
 
 
 @pytest.mark.parametrize("seconds, stretches", [(7200, 1), (7273, 2)])
 def test_gap_session_edge(spark, tmp_path, seconds, stretches):
     # tolerance is 36 s at hourly cadence: a gap of exactly 7236 s would still belong
     rows = [("s", T0), ("s", T0 + timedelta(seconds=seconds)), ("s", T0 + 500 * HOUR), ("z", T0 + 900 * HOUR)]
-    source, root = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame(rows, "series_key string, ts timestamp").withColumns(
-        {"cadence_seconds": F.lit(3600.0), "maximum_gap_seconds": F.lit(7200.0)}
-    ).coalesce(1).write.parquet(source)
-    bar_streams.stream_gap_monitor(parquet_stream(spark, source), root, f"{root}/cp")
-    done = read_batches(spark, f"{root}/stretches").filter("series_key = 's' AND last_ts < '2026-06-10'")
-    assert done.count() == stretches
+    got = stretches_of(spark, tmp_path, rows)
+    assert len(got) == stretches + 2 and ("z", 1, T0 + 900 * HOUR, T0 + 900 * HOUR) in got
+
+
+def test_silent_series_wakes_up(spark, tmp_path):
+    assert stretches_of(spark, tmp_path, [("s", T0), ("s", T0 + HOUR), ("s", T0 + 5 * HOUR), (None, T0)], delay_seconds=86400.0) == {
+        ("s", 2, T0, T0 + HOUR), ("s", 1, T0 + 5 * HOUR, T0 + 5 * HOUR), (None, 1, T0, T0)}
+    # a late bar joins both stretches, which takes the second one back
+    assert stretches_of(spark, tmp_path, [("s", T0 + 3 * HOUR), ("s", T0 + 6 * HOUR)], delay_seconds=86400.0) == {
+        ("s", 5, T0, T0 + 6 * HOUR), (None, 1, T0, T0)}
 
 
 def test_rollup_updates(spark, tmp_path):
