@@ -75,25 +75,27 @@ def _count_trigrams(batches):
 def fit(labelled: DataFrame) -> Model:
     """Trigram probabilities from a bounded sample of (doc_id, text, lang) rows."""
     bounded_batches(labelled.sparkSession)
-    known = labelled.select("doc_id", F.lower("lang").alias("lang"), "text").filter("lang <> '' and text is not null")
-    names = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    known = labelled.select(F.lower("lang").alias("lang"), "text", mark.alias("mark")).filter("lang <> '' and text is not null")
+    # repeated rows count once, so a share of the marks is that share of the rows to choose from
+    marks = known.select("lang", "mark").distinct()
+    names = marks.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     sizes = {row.lang: row.n for row in names.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 1), dtype=np.float32))
-    first = Window.partitionBy("lang").orderBy("mark", "doc_id")
-    # only hashes low enough to be among the first go on to the sort, so no task gets all rows of a language
+    first = Window.partitionBy("lang").orderBy("mark")
+    # three times the rows wanted are expected below the bar, so no task sorts all rows of a language
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 3 * SAMPLE_ROWS / n))])
     ids = (
-        known.filter(F.col("lang").isin(languages))
-        .select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("mark"))
+        marks.filter(F.col("lang").isin(languages))
         .filter(F.col("mark") < share[F.col("lang")] * (1 << 40))
         .withColumn("k", F.row_number().over(first))
         .filter(F.col("k") <= SAMPLE_ROWS)
-        .select("lang", "doc_id")
+        .select("lang", "mark")
     )
-    # at most MOST_LANGUAGES * SAMPLE_ROWS pairs of a code and a number
-    sample = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("lang", "text")
+    # at most MOST_LANGUAGES * SAMPLE_ROWS pairs of a code and a number; one row per pair
+    sample = known.join(F.broadcast(ids), ["lang", "mark"], "left_semi").dropDuplicates(["lang", "mark"]).select("lang", "text")
     counts = sample.mapInPandas(_count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     place = {lang: k for k, lang in enumerate(languages)}
     total = np.full((BUCKETS, len(languages) + 1), 0.5)

@@ -5,8 +5,13 @@ security numbers, IP addresses and names after a form of address. Each distinct
 surrogate from a keyed hash of its normal form, so all its mentions, however written, change in the same way.
 A surrogate keeps type and format: letters stay letters and digits digits, separators stay where they are, a
 number that passes the Luhn test passes it again, addresses stay addresses, names keep their number of
-words, script and case, and first names the gender of the form of address; a last name alone changes as it does in
-a full name.
+words, script and case, and first names the gender of the form of address. A name that a form of address has
+introduced is replaced wherever the same text repeats it; a last name alone changes to the last word of its full
+name's surrogate. Phone numbers keep their country code, sound bank accounts get sound check digits.
+
+Not found: names without any form of address in their text, national phone numbers other than the written patterns,
+and IPv6 addresses. Names in scripts other than Latin and Cyrillic get Latin surrogates; mail domains become one
+reserved domain with the same ending.
 
 Surrogates are checked against each other and against all originals of their kind: of several entities
 with the same surrogate one keeps it, the others, and any surrogate that is someone's original, are drawn again
@@ -60,14 +65,26 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
 KINDS = list(PATTERNS)
+#: the same without what must stand around them, for a mention that has been cut out already
+BARE = {
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]+\.)+[A-Za-z]{2,}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?",
+    "ip": _ADDRESS,
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "phone": r"\+\d.*|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}",
+    "card": r"[\d -]+",
+}
+#: fixed values: country codes of two digits; 1 and 7 have one, all others three
+CODES_OF_TWO = r"2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: all kinds in one pattern, so a text is read once
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 def _kind(raw: Column) -> Column:
-    kind = F.lit(None).cast("string")
-    for name in reversed(KINDS):
-        kind = F.when(raw.rlike(f"^(?:{PATTERNS[name]})$"), F.lit(name)).otherwise(kind)
+    """The kind of a mention. Every mention has one: what is none of the others is a name."""
+    kind = F.lit("name")
+    for name in reversed(BARE):
+        kind = F.when(raw.rlike(f"^(?:{BARE[name]})$"), F.lit(name)).otherwise(kind)
     return kind
 
 
@@ -84,6 +101,7 @@ def _normal(raw: Column, kind: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
         .when(kind == "ip", raw)
         .when(kind == "name", name)
+        .when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits))
         .otherwise(digits)
     )
 
@@ -128,6 +146,14 @@ def _luhn_rest(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), part), F.lit(0), lambda s, x: s + x) % 10
 
 
+def _iban_rest(account: Column) -> Column:
+    """The number that letters (10 to 35) and digits spell, modulo 97."""
+    places = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = lambda c: F.instr(F.lit(places), c) - 1
+    add = lambda rest, c: (rest * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97
+    return F.aggregate(F.split(account, ""), F.lit(0), add)
+
+
 def _surrogate(key: str, kind: Column, normal: Column, gender: Column, draw: Column) -> Column:
     """The replacement's normal form; names come out in title case."""
     hashed = _hex_digits(key, kind, normal, draw.cast("string"))
@@ -146,9 +172,13 @@ def _surrogate(key: str, kind: Column, normal: Column, gender: Column, draw: Col
     lacking = _luhn_rest(F.concat(stem, F.lit("0")))
     valid = F.concat(stem, ((F.lit(10) - lacking) % 10).cast("string"))
     card = F.when(_luhn_rest(normal) == 0, valid).otherwise(other)
-    iban = F.concat(F.substr(normal, F.lit(1), F.lit(2)), F.substr(other, F.lit(3)))
-    # a country code stays, so the number remains one of that country
-    phone = F.concat(F.substr(normal, F.lit(1), F.lit(1)), F.substr(other, F.lit(2)))
+    country, account = F.substr(normal, F.lit(1), F.lit(2)), F.concat(F.substr(other, F.lit(5)), longer)
+    check = F.lpad((F.lit(98) - _iban_rest(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    sound = _iban_rest(F.concat(F.substr(normal, F.lit(5)), F.substr(normal, F.lit(1), F.lit(4)))) == 1
+    iban = F.concat(country, F.when(sound, check).otherwise(F.substr(other, F.lit(3), F.lit(2))), account)
+    # a country code stays, so the number remains one of that country; a national number keeps its first digit
+    code = F.regexp_extract(normal, rf"^(\+(?:[17]|{CODES_OF_TWO}|\d{{1,3}})|\d)", 1)
+    phone = F.concat(code, F.substr(other, F.length(code) + 1))
 
     words = F.split(normal, " ")
     last = F.element_at(words, -1)
@@ -172,7 +202,7 @@ def _surrogate(key: str, kind: Column, normal: Column, gender: Column, draw: Col
         F.when(kind == "email", email)
         .when(kind == "ip", F.when(draw < 2, ip).otherwise(wide_ip))
         .when(kind == "card", F.concat(card, longer))
-        .when(kind == "iban", F.concat(iban, longer))
+        .when(kind == "iban", iban)
         .when(kind == "name", name)
         .when(kind == "phone", F.concat(phone, longer))
         .otherwise(F.concat(other, longer))
@@ -199,7 +229,7 @@ def _rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
         .when(kind == "ip", surrogate)
         .when(kind == "name", F.concat(_title(raw), F.when(shouted, F.upper(surrogate)).otherwise(surrogate)))
         .when(kind == "iban", fill("A-Z0-9", surrogate))
-        .otherwise(fill("0-9", surrogate))
+        .otherwise(fill("0-9", F.regexp_replace(surrogate, r"^\+", "")))
     )
 
 
@@ -227,28 +257,56 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("surrogates still clash after the last draw")
 
 
+def _with_names(raws: Column) -> Column:
+    """The pattern for one text: all entities, then the names that a form of address introduces in it, full and last
+    ones, wherever they stand alone. Names consist of letters, apostrophes, hyphens and spaces only."""
+    names = F.transform(F.filter(raws, lambda r: _title(r) != ""), lambda r: F.substr(r, F.length(_title(r)) + 1))
+    parts = F.array_distinct(F.flatten(F.transform(names, lambda n: F.array(n, F.element_at(F.split(n, " "), -1)))))
+    longest_first = F.array_sort(parts, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    alone = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(longest_first, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(names) > 0, alone).otherwise(F.lit(ANY))
+
+
+def _owned(each: DataFrame) -> DataFrame:
+    """Lone last names belong to the full name that the same text has with them (the first by letter), and
+    ``lone`` says that they show its last word only."""
+    name = F.col("kind") == "name"
+    full = each.filter(name & F.col("normal").contains(" "))
+    owners = full.groupBy(F.col("mark").alias("_mark"), F.element_at(F.split("normal", " "), -1).alias("_last")).agg(F.min("normal").alias("_owner"))
+    joined = each.join(owners, name & (F.col("mark") == F.col("_mark")) & (F.col("normal") == F.col("_last")), "left")
+    return joined.withColumns({"lone": F.col("_owner").isNotNull(), "normal": F.coalesce("_owner", "normal")}).drop("_mark", "_last", "_owner")
+
+
 def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """doc_id, text with surrogates, n_entities and a count per kind."""
     texts = docs.select("doc_id", "text").withColumn("mark", F.sha2("text", 256))
-    mentions = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    found = materialize(texts.select("mark", mentions.alias("raws")).filter("size(raws) > 0").dropDuplicates(["mark"]))
+    seen = texts.select("mark", "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("raws")).filter("size(raws) > 0")
+    pattern = _with_names(F.col("raws"))
+    raws = F.when(pattern == ANY, F.col("raws")).otherwise(F.regexp_extract_all("text", pattern, F.lit(0)))
+    found = materialize(seen.select("mark", F.nullif(pattern, F.lit(ANY)).alias("pattern"), raws.alias("raws")).dropDuplicates(["mark"]))
     each = found.select("mark", F.posexplode("raws").alias("place", "raw"))
     kind = _kind(F.col("raw"))
     each = materialize(each.withColumn("kind", kind).withColumn("normal", _normal(F.col("raw"), F.col("kind"))).withColumn("gender", _gender(F.col("raw"))))
+    each = materialize(_owned(each))
     # a name met with several forms of address takes the gender that comes first by letter
     entities = materialize(each.groupBy("kind", "normal").agg(F.min(F.nullif(F.when(F.col("kind") == "name", F.col("gender")), F.lit(""))).alias("g")).select("kind", "normal", F.coalesce("g", F.lit("")).alias("gender")))
     surrogates = distinct_surrogates(entities, key)
-    mention = F.struct("place", _rendered(F.col("raw"), F.col("kind"), F.col("surrogate")).alias("new"), "kind")
+    own = F.when(F.col("lone"), F.element_at(F.split("surrogate", " "), -1)).otherwise(F.col("surrogate"))
+    mention = F.struct("place", _rendered(F.col("raw"), F.col("kind"), own).alias("new"), "kind")
     replaced = (
         each.drop("gender").join(surrogates, ["kind", "normal"])
         .groupBy("mark")
         .agg(F.sort_array(F.collect_list(mention)).alias("mentions"))
+        .join(found.select("mark", "pattern"), "mark")
     )
     # dealt by hash at every size: the texts move once, whether few of them or many hold entities
     joined = texts.join(materialize(replaced).hint("shuffle_hash"), "mark", "left")
-    gaps = F.split("text", ANY, -1)
+    gaps = F.split("text", F.coalesce("pattern", F.lit(ANY)), -1)
     news = F.concat(F.transform("mentions", lambda m: m["new"]), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(gaps, news, lambda gap, new: F.concat(gap, new)), "")
+    # a text is never rebuilt from parts that do not fit together
+    whole = F.assert_true(F.size("mentions") + 1 == F.size(gaps), F.lit("mentions and the text between them differ in number"))
+    rebuilt = F.when(whole.isNull(), rebuilt)
     count = lambda name: F.coalesce(F.size(F.filter("mentions", lambda m: m["kind"] == name)), F.lit(0)).cast("long")
     return joined.select(
         "doc_id",

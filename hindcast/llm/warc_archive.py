@@ -250,7 +250,9 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     responses = found.filter("record_type = 'response'").select(
         F.col("urn").alias("refers_to_urn"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest")
     ).dropDuplicates(["refers_to_urn"])
-    joined = found.join(responses, "refers_to_urn", "left")
+    # only revisits look for another record; responses have all of their own
+    own = found.filter("refers_to_urn is null")
+    joined = found.filter("refers_to_urn is not null").join(responses, "refers_to_urn", "left").unionByName(own, allowMissingColumns=True)
     digest = F.coalesce("payload_digest", "full_digest")
     checked = F.when(digest == F.col("stored_digest"), digest).otherwise(
         F.raise_error(F.concat(F.lit("stored and read digests differ for page "), F.coalesce(F.col("page_id").cast("string"), F.lit("?"))))

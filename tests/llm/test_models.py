@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -270,3 +271,57 @@ def test_surrogates_on_odd_rows(spark):
 def test_no_python_on_the_executors(spark):
     plan = su.replace_personal_data(spark.createDataFrame([(1, PERSONAL)], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+KEPT_WHOLE = [
+    "call +49 10.11.12.13.1.5.6.7 then bob@x.com THE END OF TEXT",
+    "a@b.co+1 555 123 4567 10.0.0.1:8080 123-45-6789-1 4111111111111111x Mr. Ann",
+    "+4412.34.56.78.9 555-123-4567-8 GB82WEST12345698765432Z (555) 123-4567",
+]
+
+
+def test_no_text_between_entities_is_lost(spark):
+    rng = random.Random(5)
+    bits = ["+49 ", "10.11.12.13", ".1", "555-123-4567", "123-45-6789", "4111 1111 1111 1111", "bob@x.com", "Mr. John Smith", " Smith", "GB82 WEST 1234 5698 7654 32", " ", "-", ".", "x", "(555) 123-4567", "\n", "Ω"]
+    texts = KEPT_WHOLE + ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in su.replace_personal_data(docs, "k").collect()}
+    for k, text in enumerate(texts):
+        introduced = {m.group(0).split(". ", 1)[1] for m in re.finditer(r"Mr\. [A-Z][a-z]+(?: [A-Z][a-z]+){0,2}", text)}
+        if introduced:  # then bare names change as well
+            continue
+        gaps = regex.split(su.ANY, text)
+        at = 0
+        for gap in gaps:  # what stands outside the entities is still there, in its order
+            found = got[k].text.find(gap, at)
+            assert found >= 0, (text, got[k].text)
+            at = found + len(gap)
+        assert got[k].n_entities == len(gaps) - 1 and got[k].text.endswith(gaps[-1])
+
+
+def test_names_keep_their_surrogate_wherever_they_stand(spark):
+    texts = ["Mr. John Smith came. John Smith left. Smith called. Smithson did not.", "Mr. Smith and Frau Schmidt met. Smith, Schmidt!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first, second = (r.text for r in su.replace_personal_data(docs, "k").orderBy("doc_id").collect())
+    new = re.match(r"Mr\. (\w+) (\w+) came\. (\w+) (\w+) left\. (\w+) called\. Smithson did not\.", first).groups()
+    assert new[:2] == new[2:4] and new[1] == new[4] and "Smith" not in new and "John" not in new
+    lone = re.match(r"Mr\. (\w+) and Frau (\w+) met\. (\w+), (\w+)!", second).groups()
+    assert lone[:2] == lone[2:] and not {"Smith", "Schmidt"} & set(lone)
+
+
+def test_country_codes_stay_and_accounts_stay_sound(spark):
+    text = "+44 20 7946 0958, +351 912 345 678, +1 555 123 4567; GB82 WEST 1234 5698 7654 32, DE89370400440532013000"
+    row = su.replace_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert re.match(r"\+44 \d\d \d{4} \d{4}, \+351 \d{3} \d{3} \d{3}, \+1 \d{3} \d{3} \d{4}; ", row.text) and row.n_phone == 3
+    for account in re.findall(r"(?:GB|DE)\w\w(?: ?\w{4})+(?: ?\w{1,3})?", row.text):
+        account = account.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def test_a_language_under_one_id_is_learned(spark):
+    """Repeated ids used to leave a language without a single row to learn from."""
+    for own in range(1, 6):
+        rows = [(own, f"zwo drei vier fünf sechs sieben {k}", "xx") for k in range(3000)] + [(k, "one two three four five", "en") for k in range(50)]
+        model = le.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        place = model.languages.index("xx")
+        assert model.table[:, place].max() - model.table[:, place].min() > 1
