@@ -20,6 +20,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import sys
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -134,13 +135,43 @@ class Merges:
         return across == NEVER
 
 
+    def extend(self, last: list[int], data: bytes, until: int) -> None:
+        """Appends the last tokens of the prefixes of ``data`` up to a length to those known so far."""
+        sizes, pairs, add = self.sizes, self.pairs, last.append
+        n = len(last)
+        start = max(0, n - self.longest)
+        for end, token in self.ending.iter(data[start:until].decode("latin-1")):
+            if end + start == n:  # else found in an earlier turn or by a longer token
+                before = n - sizes[token]
+                if before >= 0:
+                    pair = last[before] << 32 | token
+                    if not (pairs[pair] if pair in pairs else self.fits(pair)):
+                        continue
+                elif before != -1:
+                    continue
+                add(token)
+                n += 1
+        if n != until:
+            raise AssertionError("every prefix has a last token")
+
+    def read(self, last: list[int]) -> array:
+        """The ids of a whole table, from its end: every last token names the prefix before it."""
+        sizes, out, at = self.sizes, [], len(last)
+        while at:
+            token = last[at - 1]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return array("I", out)
+
+
 class PrefixTable:
     """The last token of every prefix of some bytes."""
 
     def __init__(self, merges: Merges, data: bytes = b""):
         self.merges = merges
         self.data = b""
-        self.last = array("I")
+        self.last: list[int] = []
         #: prefixes whose last token was looked for, over the life of the table
         self.filled = 0
         self.append(data)
@@ -151,24 +182,8 @@ class PrefixTable:
         self._fill(len(self.data))
 
     def _fill(self, until: int) -> None:
-        merges, last = self.merges, self.last
-        sizes, pairs = merges.sizes, merges.pairs
-        begun = n = len(last)
-        start = max(0, begun - merges.longest)
-        for end, token in merges.ending.iter(self.data[start:until].decode("latin-1")):
-            if end + start == n:  # else found in an earlier turn or by a longer token
-                before = n + 1 - sizes[token]
-                if before > 0:
-                    pair = last[before - 1] << 32 | token
-                    fits = pairs[pair] if pair in pairs else merges.fits(pair)
-                else:
-                    fits = before == 0
-                if fits:
-                    last.append(token)
-                    n += 1
-        if n != until:
-            raise AssertionError("every prefix has a last token")
-        self.filled += until - begun
+        self.filled += until - len(self.last)
+        self.merges.extend(self.last, self.data, until)
 
     def edit(self, start: int, end: int, new: bytes) -> None:
         """Replaces data[start:end]; fills the table anew from there until it agrees with the old one."""
@@ -183,13 +198,7 @@ class PrefixTable:
                 self.last.extend(old[at - shift :])
 
     def ids(self) -> array:
-        """Read from the end: every last token names the prefix before it."""
-        out, at = array("I"), len(self.last)
-        while at:
-            out.append(self.last[at - 1])
-            at -= self.merges.sizes[out[-1]]
-        out.reverse()
-        return out
+        return self.merges.read(self.last)
 
 
 class Cutter:
@@ -224,7 +233,8 @@ class Cutter:
 
 
 class Encoder(dict):
-    """Packed ids per piece, remembered up to a bound."""
+    """Packed ids per piece. Two generations: when the young one is full it becomes the old one, and pieces met
+    again come back from there, so frequent pieces outlive any number of rare ones."""
 
     #: where a text may be cut in two: before a space or line end behind an ASCII letter or digit a piece always ends
     BORDER = regex.compile(r"(?<=[0-9A-Za-z])[ \n]")
@@ -233,14 +243,22 @@ class Encoder(dict):
         super().__init__()
         self.merges = Merges(vocabulary)
         self.cutter = Cutter(vocabulary.pattern)
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.merges.ranks.get(raw)
-        ids = array("I", [whole]) if whole is not None else PrefixTable(self.merges, raw).ids()
-        packed = pack(ids)
+        packed = self.old.get(piece)
+        if packed is None:
+            raw, merges = piece.encode(), self.merges
+            whole = merges.ranks.get(raw)
+            if whole is None:
+                last: list[int] = []
+                merges.extend(last, raw, len(raw))
+                packed = pack(merges.read(last))
+            else:
+                packed = pack(array("I", [whole]))
         if len(piece) <= 64:
             if len(self) >= MEMO_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -262,7 +280,10 @@ class Encoder(dict):
 
 
 def pack(ids: array) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    if sys.byteorder == "big":
+        ids = array("I", ids)
+        ids.byteswap()
+    return ids.tobytes()
 
 
 def unpack(packed: bytes) -> list[int]:
