@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,17 +53,24 @@ def scoring_fingerprint(
     return set_fingerprint(both, "_h", ["video_id"])
 
 
-def cache_lookup(work: DataFrame, cache: DataFrame, key: str, contract: list[str], collection: str) -> tuple[DataFrame, DataFrame]:
+def cache_lookup(
+    work: DataFrame, cache: DataFrame, key: str, contract: list[str], collection: str,
+    check: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(reused rows stamped with the new collection, work still to be done).
 
     A cached result counts only when its key matches and every contract column
-    (versions, model, hashes) equals the one of the work item.
+    (versions, model, hashes) equals the one of the work item. ``check`` adds ``violations`` to rows; a result of
+    which any row has some is not reused.
     """
     ours = work.select(key, *[F.col(c).alias(f"_{c}") for c in contract])
     same = F.lit(True)
     for c in contract:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     hits = cache.join(ours, key).filter(same).drop(*[f"_{c}" for c in contract])
+    if check is not None:
+        broken = check(hits).filter(F.size("violations") > 0).select(key).distinct()
+        hits = hits.join(broken, key, "left_anti")
     if "collection_id" in cache.columns:
         hits = hits.withColumn("api_collection_id", F.col("collection_id"))
     hits = hits.withColumn("collection_id", F.lit(collection))

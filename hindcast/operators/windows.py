@@ -386,6 +386,24 @@ def claim_levels(located: DataFrame) -> DataFrame:
     )
 
 
+def with_level_events(long: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds ``level_events`` to long outcome rows: per level of the claim, in its order, the first touch and the first
+    close above and below inside the window. Null where there is no window.
+
+    ``long`` has claim_id, asset_pos, hours, series_key, entry_ts and ``levels``; ``events`` comes from
+    ``level_events``. A claim names a handful of levels.
+    """
+    keys, names = ["claim_id", "asset_pos", "hours"], ["first_touch", "first_close_above", "first_close_below"]
+    asked = long.filter("entry_ts IS NOT NULL").select(*keys, "series_key", "entry_ts", F.posexplode("levels").alias("_pos", "level"))
+    told = asked.join(events, ["series_key", "entry_ts", "level", "hours"], "left")
+    nested = told.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "level", *names))).alias("_events"))
+    plain = F.transform("_events", lambda e: F.struct(e["level"].alias("level"), *[e[n].alias(n) for n in names]))
+    return long.join(nested, keys, "left").withColumn(
+        "level_events", F.when(F.col("entry_ts").isNotNull(), F.coalesce(plain, F.array().cast(
+            "array<struct<level: double, first_touch: timestamp_ntz, first_close_above: timestamp_ntz, first_close_below: timestamp_ntz>>"))),
+    ).drop("_events")
+
+
 def claim_outcome_status(claims: DataFrame) -> DataFrame:
     """Status of the whole claim outcome."""
     return claims.withColumn(
@@ -400,7 +418,7 @@ def assemble_outcomes(long: DataFrame) -> DataFrame:
     """Nest long rows per claim, assets in position order.
 
     ``long`` has claim_id, asset_pos, asset, asset_status, hours, status,
-    complete and any further window columns. A claim has a handful of assets.
+    complete and any further window columns, such as ``level_events``. A claim has a handful of assets.
     """
     identity = {"claim_id", "asset_pos", "asset", "asset_status", "series_key", "hours"}
     window = F.struct(*[c for c in long.columns if c not in identity])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.functions.hashing import row_fingerprint
-from hindcast.operators import integrity, publish
+from hindcast.operators import integrity, publish, scoring
 from hindcast.plans.registry import query
 from hindcast.plans.views import view
 
@@ -86,20 +86,25 @@ def claim_cache_key_query(spark, sf):
 
 @query(
     "cache_lookup",
-    """SELECT doc_id, 'hit' AS outcome, 'new' AS collection_id FROM {documents} WHERE doc_id % 3 = 0 AND doc_id % 5 > 0
-      UNION ALL SELECT doc_id, 'miss', NULL FROM {documents} WHERE NOT (doc_id % 3 = 0 AND doc_id % 5 > 0)""",
+    """SELECT doc_id, 'hit' AS outcome, 'new' AS collection_id FROM {documents} WHERE doc_id % 3 = 0 AND doc_id % 5 > 0 AND doc_id % 7 > 1
+      UNION ALL SELECT doc_id, 'miss', NULL FROM {documents} WHERE NOT (doc_id % 3 = 0 AND doc_id % 5 > 0 AND doc_id % 7 > 1)""",
 )
 def cache_lookup_query(spark, sf):
     docs = view(spark, sf, "documents").select(
         "doc_id", F.sha2("text", 256).alias("transcript_sha256"), row_fingerprint(DOC_COLUMNS).alias("cache_key"), F.lit("m1").alias("model")
     )
-    # a third was scored before, a fifth of that with an older model; the others are known under foreign keys
+    # a third was scored before, a fifth of that with an older model; the others are known under foreign keys; two in
+    # seven hold a score or a result that the contract does not allow
     cache = docs.select(
         F.when(F.col("doc_id") % 3 == 0, F.col("cache_key")).otherwise(F.concat(F.lit("x"), "cache_key")).alias("cache_key"),
         "transcript_sha256", F.when(F.col("doc_id") % 5 == 0, "m0").otherwise("m1").alias("model"),
-        F.col("doc_id"), F.lit("old").alias("collection_id"),
+        F.col("doc_id"), F.lit("old").alias("collection_id"), F.col("doc_id").cast("string").alias("claim_id"),
+        F.when(F.col("doc_id") % 7 == 0, "right").otherwise("correct").alias("result"), F.when(F.col("doc_id") % 7 == 1, 1.5).otherwise(1.0).alias("score"),
+        F.lit(True).alias("counts_in_final_score"), F.lit("not_applicable").alias("trigger_status"), F.lit("sufficient").alias("data_sufficiency"),
+        F.lit("seen").alias("evidence_summary"), F.lit("judged").alias("reasoning"), F.lit("24h").alias("evaluation_window"), F.lit(0.5).alias("scoring_confidence"),
     )
-    hits, misses = integrity.cache_lookup(docs.drop("doc_id").join(docs.select("cache_key", "doc_id"), "cache_key"), cache, "cache_key", ["transcript_sha256", "model", "doc_id"], "new")
+    work = docs.drop("doc_id").join(docs.select("cache_key", "doc_id"), "cache_key")
+    hits, misses = integrity.cache_lookup(work, cache, "cache_key", ["transcript_sha256", "model", "doc_id"], "new", scoring.score_row_contract)
     return hits.select("doc_id", F.lit("hit").alias("outcome"), "collection_id").unionByName(
         misses.select("doc_id", F.lit("miss").alias("outcome"), F.lit(None).cast("string").alias("collection_id"))
     )

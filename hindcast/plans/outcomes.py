@@ -394,31 +394,54 @@ def complete_claims_query(spark, sf):
     )
 
 
+_EVENT_CODE = "concat(CASE WHEN {0}.first_touch IS NOT NULL THEN 't' ELSE '' END, CASE WHEN {0}.first_close_above IS NOT NULL THEN 'a' ELSE '' END, CASE WHEN {0}.first_close_below IS NOT NULL THEN 'b' ELSE '' END)"
+NESTED_CTE = WINDOW_CTE + LEVEL_CTE.removeprefix(LOCATED_CTE) + f""",
+told AS (
+  SELECT l.claim_id, l.asset_pos, h.hours, concat({_EVENT_CODE.format('x')}, '/', {_EVENT_CODE.format('y')}) AS events
+  FROM located l CROSS JOIN (VALUES (24), (48)) AS h(hours)
+  LEFT JOIN events_at x ON x.series_key = l.series_key AND x.entry_ts = l.entry_ts AND x.level = l.level_1 AND x.hours = h.hours
+  LEFT JOIN events_at y ON y.series_key = l.series_key AND y.entry_ts = l.entry_ts AND y.level = l.level_2 AND y.hours = h.hours
+  WHERE l.entry_ts IS NOT NULL)"""
+
+
 @query(
     "assemble_outcomes",
-    f"""WITH {WINDOW_CTE} SELECT a.claim_id, count(*) AS n_assets, string_agg(a.asset_status, ',' ORDER BY a.asset_pos) AS statuses,
+    f"""WITH {NESTED_CTE} SELECT a.claim_id, count(*) AS n_assets, string_agg(a.asset_status, ',' ORDER BY a.asset_pos) AS statuses,
       string_agg(coalesce(o.status, '-'), ',' ORDER BY a.asset_pos) AS windows_24h,
-      string_agg(coalesce(p.status, '-'), ',' ORDER BY a.asset_pos) AS windows_48h
+      string_agg(coalesce(p.status, '-'), ',' ORDER BY a.asset_pos) AS windows_48h,
+      string_agg(coalesce(t.events, '-'), ',' ORDER BY a.asset_pos) AS events_24h,
+      string_agg(coalesce(u.events, '-'), ',' ORDER BY a.asset_pos) AS events_48h
       FROM asset_rows a LEFT JOIN outcomes o ON o.claim_id = a.claim_id AND o.asset_pos = a.asset_pos AND o.hours = 24
-      LEFT JOIN outcomes p ON p.claim_id = a.claim_id AND p.asset_pos = a.asset_pos AND p.hours = 48 GROUP BY a.claim_id""",
+      LEFT JOIN outcomes p ON p.claim_id = a.claim_id AND p.asset_pos = a.asset_pos AND p.hours = 48
+      LEFT JOIN told t ON t.claim_id = a.claim_id AND t.asset_pos = a.asset_pos AND t.hours = 24
+      LEFT JOIN told u ON u.claim_id = a.claim_id AND u.asset_pos = a.asset_pos AND u.hours = 48 GROUP BY a.claim_id""",
 )
 def assemble_outcomes_query(spark, sf):
     nested = windows.assemble_outcomes(nested_input(spark, sf))
     part = lambda f: F.array_join(F.transform("assets", f), ",", "-")
+    happened = lambda e, name, letter: F.when(e[name].isNotNull(), letter).otherwise("")
+    code = lambda e: F.concat(happened(e, "first_touch", "t"), happened(e, "first_close_above", "a"), happened(e, "first_close_below", "b"))
+    codes = lambda window: F.array_join(F.transform(window["level_events"], code), "/")
     return nested.select(
         "claim_id",
         F.size("assets").cast("bigint").alias("n_assets"),
         part(lambda a: a["status"]).alias("statuses"),
         part(lambda a: a["window_24h"]["status"]).alias("windows_24h"),
         part(lambda a: a["window_48h"]["status"]).alias("windows_48h"),
+        part(lambda a: codes(a["window_24h"])).alias("events_24h"),
+        part(lambda a: codes(a["window_48h"])).alias("events_48h"),
     )
 
 
 def nested_input(spark: SparkSession, sf: str) -> DataFrame:
-    outcome = outcome_rows(spark, sf).drop("anchor", "series_key")
+    """Long outcome rows of all assets, with the level events of their windows."""
+    profile, usable = prepared(spark, sf)
+    rows = available_assets(spark, sf).select("claim_id", "asset_pos", "series_key", "anchor", "levels")
+    outcome = windows.windows_over(rows, profile, usable, as_of())
+    outcome = windows.with_level_events(outcome, windows.level_events(windows.claim_levels(outcome), usable))
     return resolved_assets(spark, sf).select(
         "claim_id", "asset_pos", "asset", "asset_status", "series_key"
-    ).join(outcome, ["claim_id", "asset_pos"], "left")
+    ).join(outcome.drop("anchor", "series_key", "levels"), ["claim_id", "asset_pos"], "left")
 
 
 @query(
