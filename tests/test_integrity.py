@@ -95,3 +95,11 @@ def test_inventory_failures(spark):
 def test_audit_status(spark, row, status):
     df = spark.createDataFrame([row], "verified boolean, scores_status string, claims_status string, publication_mode string, review_accepted boolean")
     assert integrity.audit_status(df).first().status == status
+
+
+def test_a_broken_cached_result_is_not_reused(spark):
+    work = spark.createDataFrame([("k1", "m"), ("k2", "m"), ("k3", "m")], "cache_key string, model string")
+    cache = spark.createDataFrame([("k1", "m", 1.0), ("k2", "m", 1.0), ("k2", "m", 7.0), ("k3", "old", 1.0)], "cache_key string, model string, score double")
+    check = lambda rows: rows.withColumn("violations", F.array_compact(F.array(F.when(F.col("score") > 1, "score_range"))))
+    hits, misses = integrity.cache_lookup(work, cache, "cache_key", ["model"], "new", check)
+    assert [r.cache_key for r in hits.collect()] == ["k1"] and {r.cache_key for r in misses.collect()} == {"k2", "k3"}

@@ -182,3 +182,17 @@ def test_a_fine_cadence_with_a_year_of_gap_takes_few_buckets(spark):
     assert sorted((r.anchor.year, r.entry_ts is not None, r.entry_status) for r in rows) == [
         (2023, False, "next_tradable_bar_too_late"), (2023, True, None), (2024, True, None),
     ]
+
+
+def test_level_events_are_nested_in_the_order_of_the_levels(spark):
+    bars = [("s", i, T0 + i * HOUR, 10.0 + i, 11.0 + i, 9.0 + i, 10.0 + i) for i in range(60)]
+    profile, usable = windows.prepare(spark.createDataFrame(bars, BARS), spark.createDataFrame([("s", "csv", *HOURLY)], SERIES))
+    claims = [(1, 0, "s", T0, [40.0, 12.0, 500.0]), (2, 0, "s", T0, []), (3, 0, "s", T0 + 400 * HOUR, [12.0])]
+    assets = spark.createDataFrame(claims, "claim_id int, asset_pos int, series_key string, anchor timestamp_ntz, levels array<double>")
+    long = windows.windows_over(assets, profile, usable, F.lit(T0 + 100 * HOUR).cast("timestamp_ntz"))
+    nested = windows.with_level_events(long, windows.level_events(windows.claim_levels(long), usable))
+    got = {(r.claim_id, r.hours): r.level_events for r in nested.collect()}
+    day, two = got[1, 24], got[1, 48]
+    assert [e.level for e in day] == [40.0, 12.0, 500.0] and day[0].first_touch is None and two[0].first_touch == T0 + 29 * HOUR
+    assert day[1].first_touch == T0 + HOUR and day[1].first_close_above == T0 + 3 * HOUR and day[1].first_close_below == T0
+    assert day[2].first_close_above is None and got[2, 24] == [] and got[3, 48] is None
