@@ -9,7 +9,7 @@ level), however many claims share them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fv
@@ -306,35 +306,121 @@ def window_status(windows: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def level_events(
-    entry_levels: DataFrame, bars: DataFrame, hours: tuple[int, ...] = fv.HORIZON_HOURS
-) -> DataFrame:
-    """First touch and first close above/below each level, long by horizon.
+#: spans of the tree over bars, coarse to fine; each divides the one before
+TREE_SECONDS = (28800, 1800)
+_ASKED = ["series_key", "entry_ts", "level"]
+_EVENTS = ("first_touch", "first_close_above", "first_close_below")
 
-    ``entry_levels`` has distinct (series_key, entry_ts, level).
+
+def level_tree(bars: DataFrame, spans: tuple[int, ...] = TREE_SECONDS) -> list[DataFrame]:
+    """Extremes per span of time, coarse to fine; each tier is built from the finer one.
+
+    A node is ``solid`` when the ranges of its bars join up, so that every price between its low and its high was
+    inside some bar. A bar is known by the node of the finest tier that holds it.
     """
-    joined = range_join_window(entry_levels, bars, max(hours), ["low", "high", "close"])
+    below = bars.select(
+        "series_key", F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), "low", "high",
+        F.col("close").alias("close_low"), F.col("close").alias("close_high"), F.lit(True).alias("solid"),
+    )
+    tiers = []
+    for span in reversed(spans):
+        grouped = below.groupBy("series_key", nums.time_bucket(F.col("first_ts"), span).alias("node")).agg(
+            F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+            F.min("close_low").alias("close_low"), F.max("close_high").alias("close_high"),
+            F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_ranges"), F.bool_and("solid").alias("_solid"),
+            F.min("low").alias("low"), F.max("high").alias("high"),
+        )
+        # ranges by their low end: each has to start at or below the highest end before it
+        joined_up = F.aggregate(
+            "_ranges",
+            F.struct(F.col("_solid").alias("ok"), F.col("low").alias("top")),
+            lambda seen, r: F.struct((seen["ok"] & (r["low"] <= seen["top"])).alias("ok"), F.greatest(seen["top"], r["high"]).alias("top")),
+        )["ok"]
+        below = grouped.withColumn("solid", F.coalesce(joined_up, F.lit(False))).drop("_ranges", "_solid")
+        tiers.insert(0, below)
+    return tiers
+
+
+def _level_tests(low: str, high: str, close_low: str, close_high: str) -> dict[str, Column]:
+    """Per event whether a bar, or any bar of a node, can show it."""
     level = F.col("level")
-    tests = {
-        "first_touch": (F.col("low") <= level) & (level <= F.col("high")),
-        "first_close_above": F.col("close") > level,
-        "first_close_below": F.col("close") < level,
+    return {
+        "first_touch": (F.col(low) <= level) & (level <= F.col(high)),
+        "first_close_above": F.col(close_high) > level,
+        "first_close_below": F.col(close_low) < level,
     }
-    firsts = joined.groupBy("series_key", "entry_ts", "level").agg(
-        *[F.min(F.when(test, F.col("ts"))).alias(name) for name, test in tests.items()]
+
+
+def _bars_by_level(
+    entry_levels: DataFrame, bars: DataFrame, hours: int, events: tuple[str, ...], first: bool, spans: tuple[int, ...]
+) -> DataFrame:
+    """(entry, level, ts, one flag per event) of the bars that show an event, found from the top of the tree down.
+
+    A node is opened only where its extremes allow the event. With ``first`` an event is not looked for behind the
+    first node that surely holds it: one inside the window, and solid where touches are meant.
+    """
+    spans = tuple(s for s in spans if s <= hours * 3600)
+    if not spans or any(a % b for a, b in zip(spans, spans[1:])):
+        raise ValueError("spans must divide each other, and one has to fit into the window")
+    entry, end = F.col("entry_ts"), F.col("entry_ts") + _hours(hours)
+    nodes = F.sequence(
+        nums.time_bucket(entry, spans[0]), nums.time_bucket(end - F.expr("INTERVAL '0.000001' SECOND"), spans[0])
     )
+    opened = entry_levels.select(*_ASKED, F.explode_outer(nodes).alias("node"), *[F.lit(True).alias(e) for e in events])
+    whole = Window.partitionBy(*_ASKED)
+    for k, (span, tier) in enumerate(zip(spans, level_tree(bars, spans))):
+        if k:
+            tier = tier.withColumn("_up", F.floor(F.col("node") / (spans[k - 1] // span)))
+            opened = opened.withColumnRenamed("node", "_up")
+        met = opened.join(tier, ["series_key", "node" if k == 0 else "_up"]).filter((F.col("last_ts") >= entry) & (F.col("first_ts") < end))
+        tests = _level_tests("low", "high", "close_low", "close_high")
+        met = met.withColumns({e: F.col(e) & tests[e] for e in events})
+        if first:
+            inside = (F.col("first_ts") >= entry) & (F.col("last_ts") < end)
+            sure = lambda e: F.col(e) & inside & (F.col("solid") if e == "first_touch" else F.lit(True))
+            met = met.withColumns({f"_to_{e}": F.min(F.when(sure(e), F.col("node"))).over(whole) for e in events})
+            met = met.withColumns({e: F.col(e) & F.coalesce(F.col("node") <= F.col(f"_to_{e}"), F.lit(True)) for e in events})
+        any_left = F.greatest(*[F.col(e) for e in events]) if len(events) > 1 else F.col(events[0])
+        opened = met.filter(any_left).select(*_ASKED, "node", *events)
+    leaves = bars.select("series_key", "ts", "low", "high", "close", nums.time_bucket(F.col("ts"), spans[-1]).alias("node"))
+    tests = _level_tests("low", "high", "close", "close")
+    found = opened.join(leaves, ["series_key", "node"]).filter((F.col("ts") >= entry) & (F.col("ts") < end))
+    return found.select(*_ASKED, "ts", *[(F.col(e) & tests[e]).alias(e) for e in events])
+
+
+def level_events(
+    entry_levels: DataFrame, bars: DataFrame, hours: tuple[int, ...] = fv.HORIZON_HOURS, spans: tuple[int, ...] = TREE_SECONDS
+) -> DataFrame:
+    """First touch and first close above/below each level, long by horizon.
+
+    ``entry_levels`` has distinct (series_key, entry_ts, level), all of which come back. Levels descend a tree of
+    extremes over the bars, so each meets a few nodes per tier and a few bars, not all bars of its window.
+    """
+    found = _bars_by_level(entry_levels, bars, max(hours), _EVENTS, True, spans)
+    times = found.select(*_ASKED, *[F.when(F.col(e), F.col("ts")).alias(e) for e in _EVENTS])
+    none = entry_levels.select(*_ASKED, *[F.lit(None).cast(bars.schema["ts"].dataType).alias(e) for e in _EVENTS])
+    firsts = times.unionByName(none).groupBy(*_ASKED).agg(*[F.min(e).alias(e) for e in _EVENTS])
     # The first event inside a shorter horizon is the overall first one, if early enough.
     per_hour = [
         F.struct(
             F.lit(h).alias("hours"),
             *[
                 (F.col(n) if h == max(hours) else F.when(F.col(n) < F.col("entry_ts") + _hours(h), F.col(n))).alias(n)
-                for n in tests
+                for n in _EVENTS
             ],
         )
         for h in hours
     ]
-    return firsts.select("series_key", "entry_ts", "level", F.inline(F.array(*per_hour)))
+    return firsts.select(*_ASKED, F.inline(F.array(*per_hour)))
+
+
+def level_touches(entry_levels: DataFrame, bars: DataFrame, hours: int, spans: tuple[int, ...] = TREE_SECONDS) -> DataFrame:
+    """(series_key, entry_ts, level, ts) of every bar in the window whose range holds the level.
+
+    Only nodes of the tree whose extremes enclose the level are opened.
+    """
+    found = _bars_by_level(entry_levels, bars, hours, ("first_touch",), False, spans)
+    return found.filter("first_touch").drop("first_touch")
 
 
 def outcome_windows(

@@ -319,8 +319,7 @@ def level_events_query(spark, sf):
 def level_bar_join_query(spark, sf):
     levels = windows.claim_levels(located_assets(spark, sf))
     return (
-        windows.range_join_window(levels, view(spark, sf, "bars"), 24, ["low", "high"])
-        .filter("low <= level AND level <= high")
+        windows.level_touches(levels, view(spark, sf, "bars"), 24)
         .groupBy("series_key", "entry_ts")
         .agg(F.count(F.lit(1)).alias("touches"))
     )

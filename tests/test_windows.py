@@ -196,3 +196,46 @@ def test_level_events_are_nested_in_the_order_of_the_levels(spark):
     assert [e.level for e in day] == [40.0, 12.0, 500.0] and day[0].first_touch is None and two[0].first_touch == T0 + 29 * HOUR
     assert day[1].first_touch == T0 + HOUR and day[1].first_close_above == T0 + 3 * HOUR and day[1].first_close_below == T0
     assert day[2].first_close_above is None and got[2, 24] == [] and got[3, 48] is None
+
+
+@pytest.mark.parametrize("spans", [(28800, 1800), (14400, 3600, 900), (7200,)])
+def test_level_tree_finds_the_events_of_a_plain_scan(spark, spans):
+    rng = random.Random(7)
+    bars, price, ts = [], 100.0, T0
+    for _ in range(400):
+        # jumps leave prices that no bar held, holes leave spans without bars
+        price += rng.choice([rng.uniform(-0.4, 0.4), rng.uniform(-3, 3)])
+        low, high = price - rng.uniform(0, 0.5), price + rng.uniform(0, 0.5)
+        bars.append(("s", ts, round(low, 2), round(high, 2), round(rng.uniform(low, high), 2)))
+        ts += timedelta(minutes=rng.choice([5, 5, 5, 15, 15, 700]))
+    asked = {(bar[1], round(bar[3] + rng.choice([0, rng.uniform(-2, 2)]), 2)) for bar in rng.sample(bars, 60)}
+    table = spark.createDataFrame(bars, "series_key string, ts timestamp_ntz, low double, high double, close double")
+    levels = spark.createDataFrame([("s", *a) for a in asked], "series_key string, entry_ts timestamp_ntz, level double")
+    got = {(r.entry_ts, r.level, r.hours): (r.first_touch, r.first_close_above, r.first_close_below) for r in windows.level_events(levels, table, spans=spans).collect()}
+    touches = {}
+    for r in windows.level_touches(levels, table, 24, spans).collect():
+        touches.setdefault((r.entry_ts, r.level), []).append(r.ts)
+    assert len(got) == 2 * len(asked)
+    for (entry, level, hours), events in got.items():
+        window = [b for b in bars if entry <= b[1] < entry + hours * HOUR]
+        first = lambda test: next((b[1] for b in window if test(b)), None)
+        assert events == (first(lambda b: b[2] <= level <= b[3]), first(lambda b: b[4] > level), first(lambda b: b[4] < level))
+        if hours == 24:
+            assert sorted(touches.get((entry, level), [])) == [b[1] for b in window if b[2] <= level <= b[3]]
+
+
+def test_level_tree_reads_few_bars_and_refuses_odd_spans(spark):
+    bars = [("s", T0 + timedelta(minutes=m), 100.0 + m / 100, 100.02 + m / 100, 100.01 + m / 100) for m in range(2880)]
+    table = spark.createDataFrame(bars, "series_key string, ts timestamp_ntz, low double, high double, close double")
+    levels = spark.createDataFrame([("s", T0, 115.005)], "series_key string, entry_ts timestamp_ntz, level double")
+    opened = windows._bars_by_level(levels, table, 48, windows._EVENTS, True, windows.TREE_SECONDS).count()
+    assert opened <= 4 * 30
+    with pytest.raises(ValueError):
+        windows.level_events(levels, table, spans=(5000, 1800))
+
+
+def test_levels_without_bars_come_back_without_events(spark):
+    table = spark.createDataFrame([], "series_key string, ts timestamp_ntz, low double, high double, close double")
+    levels = spark.createDataFrame([("s", T0, 1.0)], "series_key string, entry_ts timestamp_ntz, level double")
+    rows = windows.level_events(levels, table).collect()
+    assert [(r.hours, r.first_touch) for r in rows] == [(24, None), (48, None)]
