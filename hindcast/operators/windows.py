@@ -149,7 +149,7 @@ def range_join_window(
 
 
 def _bar_pieces(bars: DataFrame) -> DataFrame:
-    """Single bars in the shape of ``_block_pieces``."""
+    """Single bars in the shape of ``_roll_up``."""
     gap, cadence = F.col("gap_seconds"), F.col("cadence_seconds")
     return bars.select(
         "series_key", "ts", *POLICY,
@@ -161,10 +161,20 @@ def _bar_pieces(bars: DataFrame) -> DataFrame:
     )
 
 
-def _block_pieces(pieces: DataFrame, block_seconds: int) -> DataFrame:
-    """Bars rolled up to fixed blocks of time, which merge without loss."""
+#: bars in a block of the finest roll-up, blocks in one of the next tier, and number of tiers
+ROLL_UP_FACTOR = 8
+ROLL_UP_TIERS = 3
+
+
+def _block_start(at: Column, width: Column) -> Column:
+    """Start of the aligned block that holds ``at``; both are whole microseconds."""
+    return at - F.pmod(at, width)
+
+
+def _roll_up(pieces: DataFrame, width: Column) -> DataFrame:
+    """Pieces merged into aligned blocks of ``width``, without loss."""
     extreme = lambda sign, v, t: F.min(F.struct((F.col(v) * sign).alias("k"), F.col(t).alias("t")))
-    rolled = pieces.groupBy("series_key", nums.time_bucket(F.col("ts"), block_seconds).alias("block")).agg(
+    rolled = pieces.groupBy("series_key", _block_start(nums.micros(F.col("first_ts")), width).alias("block")).agg(
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
         F.min_by("open", "first_ts").alias("open"), F.max_by("close", "last_ts").alias("close"),
         F.max("high").alias("high"), extreme(-1, "high", "high_ts").alias("_hi"),
@@ -178,57 +188,88 @@ def _block_pieces(pieces: DataFrame, block_seconds: int) -> DataFrame:
 PIECE = ["first_ts", "last_ts", "open", "close", "high", "high_ts", "low", "low_ts", "n", "gap", "irregular", "excessive"]
 
 
-def _pieces_by_block(entries: DataFrame, pieces: DataFrame, hours: tuple[int, ...], block_seconds: int) -> DataFrame:
+def _block_widths(block_seconds: int | None) -> list[Column]:
+    """Block widths in microseconds, fine to coarse; each divides the next. They follow the cadence unless one is given."""
+    if block_seconds is not None:
+        return [F.lit(block_seconds * 1000000).cast("bigint")]
+    bar = F.greatest((F.col("cadence_seconds") * 1000000).cast("bigint"), F.lit(1).cast("bigint"))
+    return [bar * F.lit(ROLL_UP_FACTOR ** (k + 1)).cast("bigint") for k in range(ROLL_UP_TIERS)]
+
+
+def _covering(start: Column, stop: Column, widths: list[Column], holds_entry: bool) -> Column:
+    """(tier, block) pairs that make up ``[start, stop)``: the widest aligned blocks that fit, and tier -1 for the
+    blocks at the edges, which are read bar by bar. The block of the entry bar is an edge even where it fits, since
+    the gap before the entry is not part of the window.
+    """
+    first = start + 1 if holds_entry else start
+    low = [_block_start(first + w - 1, w) for w in widths]
+    high = [_block_start(stop, w) for w in widths]
+    tag = lambda tier, blocks: F.transform(blocks, lambda b: F.struct(F.lit(tier).alias("tier"), b.alias("block")))
+    run = lambda a, b, w: F.when(a < b, F.sequence(a, b - w, w)).otherwise(F.array().cast("array<bigint>"))
+    parts = []
+    for k, w in enumerate(widths):
+        if k + 1 < len(widths):
+            # what the wider tier covers is left out; where it covers nothing this tier takes all
+            none = low[k + 1] >= high[k + 1]
+            left, right = F.when(none, high[k]).otherwise(low[k + 1]), F.when(none, high[k]).otherwise(high[k + 1])
+            parts += [tag(k, run(low[k], left, w)), tag(k, run(right, high[k], w))]
+        else:
+            parts.append(tag(k, run(low[k], high[k], w)))
+    head, tail = _block_start(start, widths[0]), high[0]
+    edges = F.filter(F.array(F.when(start < low[0], head), F.when(stop > tail, tail)), lambda b: b.isNotNull())
+    return F.concat(tag(-1, F.array_distinct(edges)), *parts)
+
+
+def _pieces_of_windows(
+    entries: DataFrame, pieces: DataFrame, series: DataFrame, hours: tuple[int, ...], block_seconds: int | None
+) -> DataFrame:
     """Joined (entry, piece) rows with one membership flag ``in_<h>`` per horizon.
 
-    Blocks that lie wholly inside a window contribute their roll-up, only the
-    first and last block of a window contribute single bars. A 48 h window over
-    minute bars thus meets about 48 hourly blocks and 120 bars instead of 2,880.
+    The horizons cut a window into stretches; each stretch is a few aligned blocks per tier and the bars at its ends.
+    48 h over minute bars meet some 70 rows instead of 2,880. Blocks wider than every stretch are not built.
     """
-    of = lambda ts: nums.time_bucket(ts, block_seconds)
-    tails = {h: of(F.col("entry_ts") + _hours(h)) for h in hours}
-    keyed = entries.withColumns({"_head": of(F.col("entry_ts")), **{f"_tail_{h}": t for h, t in tails.items()}})
-    edges = F.array_distinct(F.array("_head", *[F.col(f"_tail_{h}") for h in hours]))
-    bars = pieces.withColumn("block", of(F.col("ts")))
-    single = keyed.withColumn("block", F.explode_outer(edges)).join(bars, ["series_key", "block"])
-    start, at = F.col("entry_ts"), F.col("ts")
-    single = single.withColumns(
-        {
-            f"in_{h}": F.col("block").isin(F.col("_head"), F.col(f"_tail_{h}")) & (at >= start) & (at < start + _hours(h))
-            for h in hours
-        }
-    ).withColumn("inner", at > start)
-    # roll-ups meet entries by groups of blocks about as long as the window
-    group = max(1, max(hours) * 3600 // block_seconds)
-    rolled = _block_pieces(pieces, block_seconds).withColumn("_group", F.floor(F.col("block") / group))
-    far = F.col(f"_tail_{max(hours)}")
-    spread = keyed.withColumn(
-        "_group", F.explode_outer(F.sequence(F.floor(F.col("_head") / group), F.floor(far / group)))
+    ends = sorted(set(hours))
+    longest = max(b - a for a, b in zip([0, *ends], ends)) * 3600 * 1000000
+    widths = _block_widths(block_seconds)
+    entry = nums.micros(F.col("entry_ts"))
+    at = lambda h: entry + F.lit(h * 3600 * 1000000).cast("bigint")
+    def stretch(a: int, b: int) -> Column:
+        return F.transform(
+            _covering(at(a), at(b), widths, a == 0),
+            lambda c: F.struct(F.lit(a).alias("after"), F.lit(b).alias("until"), c["tier"].alias("tier"), c["block"].alias("block")),
+        )
+
+    cadence = series.select("series_key", "cadence_seconds")
+    asked = entries.select("series_key", "entry_ts").join(cadence, "series_key").select(
+        "series_key", "entry_ts", F.inline_outer(F.concat(*[stretch(a, b) for a, b in zip([0, *ends], ends)]))
+    )
+    blocks = pieces.withColumns({"tier": F.lit(-1), "block": _block_start(nums.micros(F.col("ts")), widths[0])})
+    kept, finer = ["series_key", "tier", "block", *PIECE, *POLICY], pieces
+    blocks = blocks.select(*kept)
+    for k, w in enumerate(widths):
+        finer = _roll_up(finer.filter(w <= longest), w)
+        blocks = blocks.unionByName(finer.withColumn("tier", F.lit(k)).select(*kept))
+    met = asked.join(blocks, ["series_key", "tier", "block"])
+    stamp = nums.micros(F.col("first_ts"))
+    in_stretch = (stamp >= entry + F.col("after") * F.lit(3600000000).cast("bigint")) & (stamp < entry + F.col("until") * F.lit(3600000000).cast("bigint"))
+    return met.filter((F.col("tier") >= 0) | in_stretch).withColumns(
+        {"inner": F.col("first_ts") > F.col("entry_ts"), **{f"in_{h}": F.col("until") <= h for h in hours}}
     )
-    whole = spread.join(rolled, ["series_key", "_group"]).filter((F.col("block") > F.col("_head")) & (F.col("block") < far))
-    whole = whole.withColumns({f"in_{h}": F.col("block") < F.col(f"_tail_{h}") for h in hours}).withColumn("inner", F.lit(True))
-    columns = ["series_key", "entry_ts", "inner", *[f"in_{h}" for h in hours], *PIECE, *POLICY]
-    return single.select(*columns).unionByName(whole.select(*columns))
 
 
 def window_ohlc(
-    entries: DataFrame, bars: DataFrame, hours: tuple[int, ...] = fv.HORIZON_HOURS, block_seconds: int | None = None
+    entries: DataFrame, bars: DataFrame, hours: tuple[int, ...] = fv.HORIZON_HOURS, block_seconds: int | None = None,
+    series: DataFrame | None = None,
 ) -> DataFrame:
     """OHLC, extremes with their earliest stamps, and gap profile per entry.
 
-    One join at the longest horizon feeds all horizons; the result is long:
-    (series_key, entry_ts, hours, ...). With ``block_seconds`` the inside of each
-    window comes from roll-ups of that length, for series with many bars a day.
+    One join feeds all horizons; the result is long: (series_key, entry_ts, hours, ...). The inside of each window comes
+    from roll-ups in tiers that follow the cadence of its series, or from blocks of ``block_seconds``; only the edges
+    read single bars. ``series`` (series_key, cadence_seconds) saves looking the cadences up in the bars.
     """
-    pieces = _bar_pieces(bars)
-    if block_seconds is None:
-        joined = range_join_window(entries, pieces, max(hours), [*PIECE, *POLICY])
-        end = lambda h: F.col("ts") < F.col("entry_ts") + _hours(h)
-        joined = joined.withColumns(
-            {"inner": F.col("ts") > F.col("entry_ts"), **{f"in_{h}": F.lit(True) if h == max(hours) else end(h) for h in hours}}
-        )
-    else:
-        joined = _pieces_by_block(entries, pieces, hours, block_seconds)
+    if series is None:
+        series = bars.groupBy("series_key").agg(F.any_value("cadence_seconds").alias("cadence_seconds"))
+    joined = _pieces_of_windows(entries, _bar_pieces(bars), series, hours, block_seconds)
     aggregates = []
     for h in hours:
         inside = F.col(f"in_{h}")
@@ -450,7 +491,7 @@ def windows_over(
     located = asof_entry_bar(assets, usable, profile)
     entries = located.filter("entry_ts IS NOT NULL").select("series_key", "entry_ts").distinct()
     stats = window_status(
-        rounded_returns(window_returns(window_coverage(window_ohlc(entries, usable, hours, block_seconds)))), as_of
+        rounded_returns(window_returns(window_coverage(window_ohlc(entries, usable, hours, block_seconds, profile)))), as_of
     ).drop(*POLICY, "elapsed")
     # a located row meets its horizons in the join; only the others are spread here
     joined = located.join(stats.withColumnRenamed("hours", "_hours"), ["series_key", "entry_ts"], "left")

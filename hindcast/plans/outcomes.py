@@ -236,7 +236,7 @@ def range_join_window_query(spark, sf):
 def window_ohlc_query(spark, sf):
     bars = prepared(spark, sf)
     entries = entry_bars(located_assets(spark, sf, bars))
-    return windows.window_ohlc(entries, bars[1]).select(
+    return windows.window_ohlc(entries, bars[1], series=bars[0]).select(
         "series_key", "entry_ts", "hours", "bar_count", "open", "high", "high_ts", "low", "low_ts", "close", "last_bar_ts"
     )
 
@@ -250,7 +250,7 @@ def window_ohlc_blocks_query(spark, sf):
     """The same windows from six-hour roll-ups plus edge bars."""
     bars = prepared(spark, sf)
     entries = entry_bars(located_assets(spark, sf, bars))
-    return windows.window_ohlc(entries, bars[1], block_seconds=21600).select(
+    return windows.window_ohlc(entries, bars[1], block_seconds=21600, series=bars[0]).select(
         "series_key", "entry_ts", "hours", "bar_count", "open", "high", "high_ts", "low", "low_ts", "close", "last_bar_ts",
         "maximum_observed_gap_seconds", "excessive_gaps",
     )
@@ -264,7 +264,7 @@ def window_ohlc_blocks_query(spark, sf):
 def window_returns_query(spark, sf):
     bars = prepared(spark, sf)
     entries = entry_bars(located_assets(spark, sf, bars))
-    moves = windows.rounded_returns(windows.window_returns(windows.window_ohlc(entries, bars[1])))
+    moves = windows.rounded_returns(windows.window_returns(windows.window_ohlc(entries, bars[1], series=bars[0])))
     return moves.select("series_key", "entry_ts", "hours", *windows.RETURN_COLUMNS)
 
 
@@ -277,7 +277,7 @@ def window_returns_query(spark, sf):
 def coverage_assessment_query(spark, sf):
     bars = prepared(spark, sf)
     entries = entry_bars(located_assets(spark, sf, bars))
-    covered = windows.window_coverage(windows.window_ohlc(entries, bars[1]))
+    covered = windows.window_coverage(windows.window_ohlc(entries, bars[1], series=bars[0]))
     return covered.select(
         "series_key", "entry_ts", "hours", "bar_count", "minimum_required_bars", "boundary_lag_seconds",
         "maximum_observed_gap_seconds", F.concat_ws(", ", "reasons").alias("reasons"), "coverage_complete", "coverage_note",

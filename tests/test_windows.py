@@ -154,6 +154,40 @@ def test_random_bars_with_gaps_and_ties(spark, block):
                 assert (r.entry_ts, r.bar_count, r.open, r.high, r.high_ts, r.low, r.low_ts, r.close, r.return_pct) == want
 
 
+@pytest.mark.parametrize("cadence", [60.0, 97.0, 1800.0])
+def test_roll_ups_of_every_tier_equal_the_bars(spark, cadence):
+    """Entries on and off block borders; odd cadences; gaps inside and at the edges of blocks."""
+    rng, step = random.Random(11), timedelta(seconds=cadence)
+    bars, ts = [], T0
+    while ts < T0 + 110 * HOUR:
+        o, c = rng.randint(5, 99), rng.randint(5, 99)
+        bars.append((ts, float(o), float(max(o, c) + rng.randint(0, 2)), float(min(o, c) - rng.randint(0, 2)), float(c)))
+        ts += step * rng.choice([1] * 20 + [2, 3, 7])
+    anchors = [bars[0][0], *[T0 + timedelta(hours=8 * k) for k in range(8)], *[T0 + timedelta(seconds=rng.randint(0, 62 * 3600)) for _ in range(60)]]
+    fewest = max(2, -(-8640 // int(cadence)) + 1)
+    rows = run(spark, bars, anchors, ("non_continuous", cadence, 8 * cadence, 8 * cadence, fewest), as_of=T0 + 9000 * HOUR)
+    for i, anchor in enumerate(anchors):
+        for hours in (24, 48):
+            r, want = rows[i, hours], plain_window(bars, anchor, hours, 8 * cadence)
+            assert (r.entry_ts, r.bar_count, r.open, r.high, r.high_ts, r.low, r.low_ts, r.close, r.return_pct) == want
+            stamps = [b[0] for b in bars if r.entry_ts <= b[0] < r.entry_ts + hours * HOUR]
+            gaps = [(b - a).total_seconds() for a, b in zip(stamps, stamps[1:])]
+            assert r.last_bar_ts == stamps[-1] and r.maximum_observed_gap_seconds == max(gaps)
+            assert r.irregular_gaps == sum(g % cadence != 0 for g in gaps)
+
+
+def test_minute_windows_meet_few_rows(spark):
+    """The join behind a window grows with its pieces, not with its bars."""
+    minute = timedelta(minutes=1)
+    rows = [("s", i, *flat(T0 + i * minute)) for i in range(1440 * 3)]
+    series = spark.createDataFrame([("s", "csv", *MINUTE)], SERIES)
+    profile, usable = windows.prepare(spark.createDataFrame(rows, BARS), series)
+    entries = spark.createDataFrame([("s", T0 + k * minute) for k in (0, 1, 333, 479, 480)], "series_key string, entry_ts timestamp_ntz")
+    met = windows._pieces_of_windows(entries, windows._bar_pieces(usable), profile, (24, 48), None)
+    counts = met.groupBy("entry_ts").agg(F.count("*").alias("rows"), F.sum("n").alias("bars")).collect()
+    assert len(counts) == 5 and all(r.bars == 2880 and r.rows <= 100 for r in counts)
+
+
 def test_one_series_and_bar_may_hold_most_claims(spark):
     bars = [flat(T0 + i * HOUR) for i in range(60)]
     rows = run(spark, bars, [T0 + timedelta(seconds=i % 3000) for i in range(3000)])
