@@ -257,62 +257,104 @@ def reconcile_ledgers(
 
     ``audits`` has one row per audit: the collection id and scope of every stage
     summary, their status and recorded counts. All other inputs carry audit_id
-    and claim_id. Row-level differences are found by joins on (audit, claim) and
-    only their counts travel on.
-    """
-    keys = ["audit_id", "claim_id"]
-
-    def counted(name: str, rows: DataFrame) -> DataFrame:
-        return rows.groupBy("audit_id").agg(F.count(F.lit(1)).alias("failures")).withColumn("check", F.lit(name))
-
-    def keys_differ(left: DataFrame, right: DataFrame) -> DataFrame:
-        a, b = left.select(*keys), right.select(*keys)
-        return a.join(b, keys, "left_anti").unionByName(b.join(a, keys, "left_anti"))
-
-    recomputed = claims.groupBy("audit_id").agg(
-        F.count(F.lit(1)).alias("total_claims"),
-        *[F.count_if(F.col("scoreability") == s).alias(f"{s}_claims") for s in fv.SCOREABILITY],
-    )
-    score_sums = scores.groupBy("audit_id").agg(
-        F.count(F.lit(1)).alias("total_scores"),
-        F.count_if("counts_in_final_score").alias("counted_scores"),
-        F.sum(F.when(F.col("counts_in_final_score"), F.col("score"))).alias("points"),
-    )
-
-    def sums_differ(sums: DataFrame, names: list[str]) -> DataFrame:
-        joined = audits.select("audit_id", *[F.col(f"recorded_{n}") for n in names]).join(sums, "audit_id", "left")
-        differs = reduce(lambda a, b: a | b, [~F.col(f"recorded_{n}").eqNullSafe(F.col(n)) for n in names])
-        return joined.filter(differs)
+    and claim_id; rows without an audit_id belong to none. A null claim_id equals no other.
 
+    Every ledger is read once, with a tag of its own. Their rows are folded per (audit, claim, video), then per
+    (audit, claim), where all differences between ledgers show, then per audit together with the summaries: three
+    aggregations, each summed up before its shuffle, and no join.
+    """
     fixed = F.coalesce(*[F.when(F.col("result") == k, F.lit(v)) for k, v in fv.COUNTED_RESULTS.items()])
     points_wrong = F.when(
         F.col("counts_in_final_score"), ~F.coalesce(F.col("score") == fixed, F.lit(False))
     ).otherwise(F.col("score") != 0)
-    stage_ids = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col("collection_id")) for c in ("claims_collection_id", "outcomes_collection_id", "scores_collection_id")])
-    videos = claims.select(*keys, F.col("video_id").alias("_claim_video"))
-    parts = [
-        counted("collection_id_equal", audits.filter(stage_ids)),
-        counted("stages_complete", audits.filter((F.col("claims_status") != "complete") | (F.col("scores_status") != "complete"))),
-        counted("scope_equal", audits.filter((F.col("claims_scope") != F.col("scope")) | (F.col("scores_scope") != F.col("scope")))),
-        counted("claim_artifacts_equal_ledger", ledger_difference(claim_artifacts, claims, keys, claim_columns)),
-        counted("extraction_counts_recomputed", sums_differ(recomputed, ["total_claims", *[f"{s}_claims" for s in fv.SCOREABILITY]])),
-        counted("outcomes_cover_claims", keys_differ(outcomes, claims)),
-        counted("scores_cover_claims", keys_differ(scores, claims)),
-        counted("score_artifacts_equal_ledger", ledger_difference(score_artifacts, scores, keys, score_columns)),
-        counted("score_video_binding", scores.join(videos, keys).filter(~F.col("video_id").eqNullSafe(F.col("_claim_video")))),
-        counted("counted_score_contract", scores.filter(points_wrong)),
-        counted("score_aggregates_recomputed", sums_differ(score_sums, ["total_scores", "counted_scores", "points"])),
-    ]
-    failures = reduce(DataFrame.unionByName, parts)
-    names = [
-        "collection_id_equal", "stages_complete", "scope_equal", "claim_artifacts_equal_ledger", "extraction_counts_recomputed",
-        "outcomes_cover_claims", "scores_cover_claims", "score_artifacts_equal_ledger", "score_video_binding",
-        "counted_score_contract", "score_aggregates_recomputed",
+    counted = F.col("counts_in_final_score")
+    kinds = [f"{s}_claims" for s in fv.SCOREABILITY]
+    counts = ["n_claims", "n_claim_artifacts", "n_outcomes", "n_scores", "n_score_artifacts", *kinds, "counted_scores", "wrong_scores"]
+    hashes = ["h_claims", "h_claim_artifacts", "h_scores", "h_score_artifacts"]
+
+    def tagged(rows: DataFrame, name: str, columns: list[str] | None = None, **own: Column) -> DataFrame:
+        """Counts of ``name`` alone; what other ledgers bring is absent here."""
+        facts = {f"n_{name}": F.lit(1)} | own
+        if columns is not None:
+            facts[f"h_{name}"] = row_fingerprint(columns)
+        return rows.filter("audit_id IS NOT NULL").select("audit_id", "claim_id", *[c.alias(n) for n, c in facts.items()])
+
+    ledgers = [
+        tagged(
+            claims, "claims", claim_columns, video=F.col("video_id"),
+            **{k: (F.col("scoreability") == s).cast("int") for k, s in zip(kinds, fv.SCOREABILITY)},
+        ),
+        tagged(claim_artifacts, "claim_artifacts", claim_columns),
+        tagged(outcomes, "outcomes"),
+        tagged(
+            scores, "scores", score_columns, video=F.col("video_id"), counted_scores=counted.cast("int"),
+            points=F.when(counted, F.col("score")), wrong_scores=points_wrong.cast("int"),
+        ),
+        tagged(score_artifacts, "score_artifacts", score_columns),
     ]
-    grid = audits.select("audit_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("check"))
-    return grid.join(failures, ["audit_id", "check"], "left").select(
-        "audit_id", "check", F.coalesce("failures", F.lit(0)).alias("failures"), F.col("failures").isNull().alias("ok")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ledgers)
+
+    def folded(parts: DataFrame, by: list[str], *further: Column) -> DataFrame:
+        return parts.groupBy(*by).agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts], *[F.min(c).alias(c) for c in hashes],
+            F.sum("points").alias("points"), *further,
+        )
+
+    by_video = folded(rows, ["audit_id", "claim_id", "video"])
+    by_claim = folded(by_video, ["audit_id", "claim_id"], F.sum(F.col("n_claims") * F.col("n_scores")).alias("_same_video"))
+    known = F.col("claim_id").isNotNull()
+
+    def ledgers_differ(a: str, b: str) -> Column:
+        """Keys that are missing, repeated or different."""
+        n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+        equal = (n == m) & (n <= 1) & (F.col(f"h_{a}").eqNullSafe(F.col(f"h_{b}")))
+        return F.when(known, (~equal).cast("int")).otherwise((n > 0).cast("int") + (m > 0).cast("int"))
+
+    def rows_alone(a: str, b: str) -> Column:
+        """Rows whose key the other ledger does not have."""
+        n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+        return F.when(~known | (n == 0) | (m == 0), n + m).otherwise(0)
+
+    found = {
+        "claim_artifacts_equal_ledger": ledgers_differ("claim_artifacts", "claims"),
+        "outcomes_cover_claims": rows_alone("outcomes", "claims"),
+        "scores_cover_claims": rows_alone("scores", "claims"),
+        "score_artifacts_equal_ledger": ledgers_differ("score_artifacts", "scores"),
+        "score_video_binding": F.when(known, F.col("n_claims") * F.col("n_scores") - F.col("_same_video")).otherwise(0),
+        "counted_score_contract": F.col("wrong_scores"),
+    }
+    totals = {"total_claims": "n_claims", **{k: k for k in kinds}, "total_scores": "n_scores", "counted_scores": "counted_scores", "points": "points"}
+    per_claim = by_claim.select(
+        "audit_id", *[c.cast("bigint").alias(f"f_{n}") for n, c in found.items()], *[F.col(c).alias(f"t_{n}") for n, c in totals.items()]
+    )
+    stage_ids = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col("collection_id")) for c in ("claims_collection_id", "outcomes_collection_id", "scores_collection_id")])
+    summaries = {
+        "collection_id_equal": stage_ids,
+        "stages_complete": (F.col("claims_status") != "complete") | (F.col("scores_status") != "complete"),
+        "scope_equal": (F.col("claims_scope") != F.col("scope")) | (F.col("scores_scope") != F.col("scope")),
+    }
+    recorded = [f"recorded_{n}" for n in totals]
+    per_audit = audits.select(
+        "audit_id", F.lit(True).alias("_audit"), *recorded,
+        *[F.coalesce(c, F.lit(False)).cast("bigint").alias(f"f_{n}") for n, c in summaries.items()],
     )
+    audit = per_claim.unionByName(per_audit, allowMissingColumns=True).groupBy("audit_id").agg(
+        F.count("_audit").alias("_audits"), *[F.any_value(c, True).alias(c) for c in recorded],
+        *[F.coalesce(F.sum(f"f_{n}"), F.lit(0)).alias(f"f_{n}") for n in [*found, *summaries]],
+        *[F.sum(f"t_{n}").alias(f"t_{n}") for n in totals],
+    ).filter("_audits > 0")
+
+    def sums_differ(names: list[str]) -> Column:
+        """An audit without rows has no sums at all."""
+        some = F.col(f"t_{names[0]}") > 0
+        return reduce(lambda a, b: a | b, [~F.col(f"recorded_{n}").eqNullSafe(F.when(some, F.col(f"t_{n}"))) for n in names]).cast("bigint")
+
+    failures = {n: F.col(f"f_{n}") for n in [*summaries, *found]} | {
+        "extraction_counts_recomputed": sums_differ(["total_claims", *kinds]),
+        "score_aggregates_recomputed": sums_differ(["total_scores", "counted_scores", "points"]),
+    }
+    checks = [F.struct(F.lit(n).alias("check"), c.alias("failures"), (c == 0).alias("ok")) for n, c in failures.items()]
+    return audit.select("audit_id", F.inline_outer(F.array(*checks)))
 
 
 def audit_status(audits: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Fingerprints, chains, caches and inventories."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from hindcast import fixed_values as fv
 from hindcast.functions.hashing import row_fingerprint
 from hindcast.operators import integrity
 
@@ -103,3 +106,97 @@ def test_a_broken_cached_result_is_not_reused(spark):
     check = lambda rows: rows.withColumn("violations", F.array_compact(F.array(F.when(F.col("score") > 1, "score_range"))))
     hits, misses = integrity.cache_lookup(work, cache, "cache_key", ["model"], "new", check)
     assert [r.cache_key for r in hits.collect()] == ["k1"] and {r.cache_key for r in misses.collect()} == {"k2", "k3"}
+
+
+LEDGER = "audit_id int, claim_id int, video_id int, scoreability string"
+SCORED = "audit_id int, claim_id int, video_id int, result string, score double, counts_in_final_score boolean"
+
+
+def plain_reconciliation(claims, claim_artifacts, outcomes, scores, score_artifacts):
+    """Failures of the checks between ledgers, of one audit, by loops."""
+    def by_key(rows):
+        out = {}
+        for k, r in enumerate(rows):
+            out.setdefault(r[1] if r[1] is not None else ("null", id(rows), k), []).append(r)
+        return out
+
+    def by_key_once(rows):
+        """Null ids of one ledger are one key of its own."""
+        out = {}
+        for r in rows:
+            out.setdefault(r[1] if r[1] is not None else ("null", id(rows)), []).append(r)
+        return out
+
+    def differ(left, right):
+        a, b = by_key_once(left), by_key_once(right)
+        return sum(k not in a or k not in b or len(a[k]) > 1 or len(b[k]) > 1 or a[k][0][2:] != b[k][0][2:] for k in {*a, *b})
+
+    def alone(left, right):
+        a, b = by_key(left), by_key(right)
+        return sum(len(v) for k, v in a.items() if k not in b) + sum(len(v) for k, v in b.items() if k not in a)
+
+    pairs = [(s, c) for s in scores for c in claims if s[1] is not None and s[1] == c[1]]
+    worth = {"correct": 1.0, "partially_correct": 0.5, "incorrect": 0.0}
+    wrong = [s for s in scores if (s[4] is None or s[4] != worth.get(s[3]) if s[5] else s[4] is not None and s[4] != 0)]
+    return {
+        "claim_artifacts_equal_ledger": differ(claim_artifacts, claims), "outcomes_cover_claims": alone(outcomes, claims),
+        "scores_cover_claims": alone(scores, claims), "score_artifacts_equal_ledger": differ(score_artifacts, scores),
+        "score_video_binding": sum(s[2] != c[2] for s, c in pairs), "counted_score_contract": len(wrong),
+    }
+
+
+def test_reconciliation_of_random_ledgers(spark):
+    """Missing, repeated and null keys, null videos, audits without rows, rows without an audit."""
+    assert fv.COUNTED_RESULTS == {"correct": 1.0, "partially_correct": 0.5, "incorrect": 0.0}
+    rng = random.Random(5)
+    some = lambda rows: [r for r in rows for _ in range(rng.choice([0, 1, 1, 1, 1, 2]))]
+    claim = lambda a, i: (a, i, rng.choice([1, 2, None]), rng.choice(["scoreable", "not_scoreable"]))
+    score = lambda a, i: (a, i, rng.choice([1, 2, None]), rng.choice(["correct", "incorrect", "pending"]), rng.choice([0.0, 1.0, None]), rng.choice([True, False, None]))
+    audits = [0, 1, 2, None]
+    ids = [(a, i) for a in audits for i in [*range(30), None]]
+    claims, scores = some([claim(*k) for k in ids]), some([score(*k) for k in ids])
+    change = lambda r: r[:3] + ("changed", *r[4:]) if rng.random() < 0.2 else r
+    ledgers = claims, [change(r) for r in some(claims)], some(claims), scores, [change(r) for r in some(scores)]
+    names = "total_claims scoreable_claims conditional_scoreable_claims not_scoreable_claims total_scores counted_scores".split()
+    told = []
+    for a in [0, 1, 2, 7]:
+        c, s = [r for r in claims if r[0] == a], [r for r in scores if r[0] == a]
+        counted = [r for r in s if r[5]]
+        points = [r[4] for r in counted if r[4] is not None]
+        sums = [len(c), *[sum(r[3] == k for r in c) for k in ("scoreable", "conditional_scoreable", "not_scoreable")], len(s), len(counted)] if c else [None] * 6
+        if a == 1:
+            sums[0] += 1
+        told.append((a, "x", "x", "x", "y" if a == 2 else "x", "complete", None if a == 0 else "partial", "s", "s", "s", *sums, sum(points) if points else None))
+    schema = (
+        "audit_id int, collection_id string, claims_collection_id string, outcomes_collection_id string, scores_collection_id string, "
+        "claims_status string, scores_status string, scope string, claims_scope string, scores_scope string, "
+        + ", ".join(f"recorded_{n} bigint" for n in names) + ", recorded_points double"
+    )
+    frames = [spark.createDataFrame(rows, LEDGER if k < 3 else SCORED) for k, rows in enumerate(ledgers)]
+    out = integrity.reconcile_ledgers(
+        spark.createDataFrame(told, schema), *frames, ["video_id", "scoreability"], ["video_id", "result", "score", "counts_in_final_score"]
+    )
+    got = {(r.audit_id, r.check): r.failures for r in out.collect()}
+    assert len(got) == 4 * 11 and out.filter("ok <> (failures = 0)").count() == 0
+    for a in [0, 1, 2, 7]:
+        want = plain_reconciliation(*[[r for r in rows if r[0] == a] for rows in ledgers])
+        assert {k: got[a, k] for k in want} == want
+        assert got[a, "collection_id_equal"] == (a == 2) and got[a, "stages_complete"] == (a != 0) and got[a, "scope_equal"] == 0
+        assert got[a, "extraction_counts_recomputed"] == (a == 1) and got[a, "score_aggregates_recomputed"] == 0
+
+
+def test_reconciliation_of_empty_ledgers(spark):
+    claims, scores = spark.createDataFrame([], LEDGER), spark.createDataFrame([], SCORED)
+    schema = "audit_id int, " + ", ".join(
+        f"{n} string" for n in ("collection_id claims_collection_id outcomes_collection_id scores_collection_id claims_status scores_status "
+                                "scope claims_scope scores_scope").split()
+    ) + ", " + ", ".join(
+        f"recorded_{n} bigint" for n in ("total_claims scoreable_claims conditional_scoreable_claims not_scoreable_claims total_scores counted_scores").split()
+    ) + ", recorded_points double"
+    columns = ["video_id", "scoreability"], ["video_id", "result", "score", "counts_in_final_score"]
+    none = integrity.reconcile_ledgers(spark.createDataFrame([], schema), claims, claims, claims, scores, scores, *columns)
+    assert none.count() == 0
+    one = spark.createDataFrame([(1, *["x"] * 4, "complete", "complete", *["s"] * 3, *[0] * 6, None)], schema)
+    got = {r.check: r.ok for r in integrity.reconcile_ledgers(one, claims, claims, claims, scores, scores, *columns).collect()}
+    # zeros were recorded where there is nothing to sum
+    assert [k for k, ok in got.items() if not ok] == ["extraction_counts_recomputed", "score_aggregates_recomputed"]
