@@ -51,6 +51,50 @@ def any_keyword_pattern(words: list[str]) -> str:
     return spelled(r"(?<!\w)(?:" + "|".join(quoted) + r")(?!\w)")
 
 
+TOKEN = rf"[{WORD_CHARS}]+|[^{WORD_CHARS}]"
+
+
+def tokens_of(value: Column) -> Column:
+    """Runs of word characters and every other character by itself; joined they are the text again."""
+    return F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0))
+
+
+def python_tokens(value: str) -> list[str]:
+    """``tokens_of`` for configuration literals."""
+    out: list[str] = []
+    after_word = False
+    for c in value:
+        word = c == "_" or unicodedata.category(c)[0] in "LN"
+        if word and after_word:
+            out[-1] += c
+        else:
+            out.append(c)
+        after_word = word
+    return out
+
+
+def whole_word_grams(tokens: Column, lengths: list[int]) -> Column:
+    """Distinct runs of so many tokens that neither begin nor end inside a word.
+
+    A run that begins or ends with another character must not have a word on that side: the same runs that a
+    pattern with negative look-arounds for word characters can match.
+    """
+    is_word = lambda token: token.rlike(f"^[{WORD_CHARS}]")
+    nothing = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        def edge_free(at: Column, outside: Column) -> Column:
+            return is_word(F.get(tokens, at)) | ~F.coalesce(is_word(F.get(tokens, outside)), F.lit(False))
+
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(tokens) - n), lambda i: edge_free(i, i - 1) & edge_free(i + (n - 1), i + n)
+        )
+        whole = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, n), ""))
+        return F.when(F.size(tokens) >= n, whole).otherwise(nothing)
+
+    return F.array_distinct(F.concat(nothing, *[runs(n) for n in lengths]))
+
+
 def normalize_evidence(value: Column) -> Column:
     return collapse(F.translate(value, ZWNJ, " "))
 

@@ -147,3 +147,22 @@ def keyword_theta_join(texts: DataFrame, text: str, rules: dict[str, list[str]],
     return texts.withColumn("_normalized", tx.search_text(F.col(text))).select(
         *keep, F.inline_outer(F.array_compact(F.array(*hits)))
     ).filter("keyword IS NOT NULL")
+
+
+def keyword_dictionary_join(texts: DataFrame, text: str, rules: dict[str, list[str]], keep: list[str]) -> DataFrame:
+    """``keyword_theta_join`` for rule lists of any length.
+
+    Keywords are a table, joined by equality with the token runs of each text that are as long as some keyword.
+    A run counts once per text row. The plan does not grow with the rules, and the table is broadcast
+    only while its size allows. Blank keywords name nothing; null texts match nothing.
+    """
+    rows, lengths = [], set()
+    for order, (category, words) in enumerate(rules.items()):
+        for word in words:
+            if gram := tx.python_search_text(word):
+                rows.append((gram, order, category, word))
+                lengths.add(len(tx.python_tokens(gram)))
+    dictionary = texts.sparkSession.createDataFrame(rows, "_gram string, rule_order int, category string, keyword string")
+    tokens = texts.withColumn("_tokens", tx.tokens_of(tx.search_text(F.col(text))))
+    grams = tokens.select(*keep, F.explode_outer(tx.whole_word_grams(F.col("_tokens"), sorted(lengths))).alias("_gram"))
+    return grams.join(dictionary, "_gram").drop("_gram")

@@ -198,17 +198,24 @@ def _keyword_rows() -> str:
     return ", ".join(rows)
 
 
-@query(
-    "keyword_theta_join",
-    f"""SELECT t.doc_id, CAST(k.rule_order AS INTEGER) AS rule_order, k.category, k.keyword
+_KEYWORD_CHECK = f"""SELECT t.doc_id, CAST(k.rule_order AS INTEGER) AS rule_order, k.category, k.keyword
       FROM (SELECT doc_id, {_search("title || ' ' || description")} AS normalized FROM {{videos}}) t
-      JOIN (VALUES {_keyword_rows()}) AS k(rule_order, category, keyword, pattern) ON regexp_matches(t.normalized, k.pattern)""",
-)
+      JOIN (VALUES {_keyword_rows()}) AS k(rule_order, category, keyword, pattern) ON regexp_matches(t.normalized, k.pattern)"""
+
+
+@query("keyword_theta_join", _KEYWORD_CHECK)
 def keyword_theta_join_query(spark, sf):
     texts = view(spark, sf, "videos").select("doc_id", F.concat_ws(" ", "title", "description").alias("body"))
     return resolve.keyword_theta_join(texts, "body", resolve.merge_rules(), ["doc_id"])
 
 
+@query("keyword_dictionary_join", _KEYWORD_CHECK)
+def keyword_dictionary_join_query(spark, sf):
+    """The same matches from the table of keywords."""
+    texts = view(spark, sf, "videos").select("doc_id", F.concat_ws(" ", "title", "description").alias("body"))
+    return resolve.keyword_dictionary_join(texts, "body", resolve.merge_rules(), ["doc_id"])
+
+
 REVIEW_CTE = SLICE_CTE + f""",
 reviewed AS (
   SELECT *, CASE WHEN time_horizon = '۲۴ ساعت' THEN 24 WHEN time_horizon = 'two days' THEN 48 END AS hours,

@@ -188,3 +188,38 @@ def test_user_info_ends_at_the_last_at_sign(spark):
     }.items():
         assert one(spark, url, urls.sanitize_url) == clean
         assert one(spark, f"see {url} now", urls.redact_text) == f"see {clean} now"
+
+
+def test_dictionary_join_equals_one_pattern_per_keyword(spark):
+    """Words beside other characters, keywords with signs at their ends, blanks, joiners and several scripts."""
+    rng = random.Random(3)
+    pieces = ["gold", "s&p", "s", "&", "p", "%", " ", "  ", "\u200c", "_", "é", "بیت", "کوین", "5", "$", "-", "\n", "Gold", "𝟘", "\u0301", "😀", "?"]
+    texts = [(k, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))) for k in range(400)] + [(400, None), (401, ""), (402, "gold"), (402, "gold")]
+    words = ["gold", "s&p", "%", "بیت کوین", "بیت\u200cکوین", "&p", "$5", "5 gold", "p_", "é-", " ", "", "gold gold", "\\E", "?", "😀"]
+    rules = {"a": words, "b": ["Gold", "none"]}
+    rows = spark.createDataFrame(texts, "id int, body string")
+    got = sorted(map(tuple, resolve.keyword_dictionary_join(rows, "body", rules, ["id"]).collect()))
+    word = r"[^\W]"  # letters, numbers and underscore
+    want = []
+    for r in rows.select("id", tx.search_text(F.col("body")).alias("n")).collect():
+        for order, (category, listed) in enumerate(rules.items()):
+            for w in listed:
+                q = tx.python_search_text(w)
+                if q and re.search(rf"(?<!{word}){re.escape(q)}(?!{word})", r.n):
+                    want.append((r.id, order, category, w))
+    assert got == sorted(want) and len(got) > 200
+
+
+def test_ten_thousand_rules_keep_the_plan_small(spark):
+    rows = spark.range(200).select("id", F.concat(F.lit("see word"), (F.col("id") * 50).cast("string"), F.lit(" today")).alias("body"))
+    many = {f"c{k}": [f"word{k * 100 + i}" for i in range(100)] for k in range(100)}
+    few = {"c": ["word1"]}
+    lines = [len(resolve.keyword_dictionary_join(rows, "body", r, ["id"])._jdf.queryExecution().sparkPlan().toString().splitlines()) for r in (few, many)]
+    assert lines[0] == lines[1]
+    found = resolve.keyword_dictionary_join(rows, "body", many, ["id"]).collect()
+    assert len(found) == 200 and all(r.keyword == f"word{r.id * 50}" and r.rule_order == r.id // 2 for r in found)
+
+
+def test_no_rules_match_nothing(spark):
+    rows = spark.createDataFrame([(1, "gold")], "id int, body string")
+    assert resolve.keyword_dictionary_join(rows, "body", {}, ["id"]).collect() == []
