@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.plans import outcomes as oc
@@ -21,12 +22,24 @@ def _as_files(rows, spark, parts: int = 1, order: str | None = None) -> str:
     return path
 
 
+def _parts_in_order(rows: DataFrame, order: str, parts: int) -> list[DataFrame]:
+    """A table cut along a whole number, each part wholly before the next; rows without one come last."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return [rows]
+    at, cuts = F.col(order), [low + (high - low + 1) * k // parts for k in range(1, parts)]
+    inner = [rows.filter((at >= a) & (at < b)) for a, b in zip(cuts, cuts[1:])]
+    return [rows.filter(at < cuts[0]), *inner, rows.filter((at >= cuts[-1]) | at.isNull())]
+
+
 @query("stream_validate_bars", f"WITH {TICKS_CTE} SELECT series_key, row_no, rank, code FROM broken")
 def stream_validate_bars_query(spark, sf):
     root = shared_dir(spark)
-    # rows in file order over four files: every batch but the first meets carried state
-    ticks = parquet_stream(spark, _as_files(typed_ticks(spark, sf), spark, 4, "row_no"), 1)
-    bar_streams.stream_validate_bars(ticks, root, f"{root}/checkpoint")
+    # a file stream takes files as they were finished, not in the order of their rows, so each part comes after
+    # the one before it has been read; every batch but the first meets carried state
+    for part in _parts_in_order(typed_ticks(spark, sf), "row_no", 4):
+        part.write.mode("append").parquet(f"{root}/source")
+        bar_streams.stream_validate_bars(parquet_stream(spark, f"{root}/source"), root, f"{root}/checkpoint")
     return read_batches(spark, f"{root}/violations").drop("batch")
 
 

@@ -50,7 +50,7 @@ def stream_validate_bars(
     The stamps seen so far are keyed state, one small entry per series and day, so a batch touches only
     the days it has rows of and reads no earlier batch. The last row of every series travels from batch to
     batch in a small table, which gives the first row of a batch its predecessor. Input needs
-    ``row_no``. With ``forget_seconds`` a day's stamps expire that long after its last row came, and what
+    ``row_no``, and no batch may hold rows before those of an earlier one: what was told is not taken back. With ``forget_seconds`` a day's stamps expire that long after its last row came, and what
     repeats them later counts as out of order only.
     """
     spark = bars.sparkSession

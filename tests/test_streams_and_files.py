@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindcast.operators import quality, windows
+from hindcast.plans import series as series_plans
+from hindcast.plans import streams as stream_plans
 from hindcast.sources import bars as bar_sources
 from hindcast.streaming import bars as bar_streams
 from hindcast.streaming import outcomes as outcome_streams
@@ -47,6 +49,20 @@ def test_bar_rules_across_batches(spark, tmp_path):
     assert streamed == batch and {r[3] for r in batch} >= {"duplicate_timestamp", "timestamps_not_increasing", "high_below_low"}
 
 
+def test_validation_query_streams_rows_in_order(spark, tmp_path, monkeypatch):
+    """Four parts, each batch wholly behind the one before, whichever files were finished first."""
+    at = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(id / 3 as int), id % 7)"
+    events = spark.range(4000).selectExpr("id AS event_id", "id % 8 AS user_id", f"{at} AS ts", "'click' AS event_type", "cast(id % 50 as double) AS value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    root = str(tmp_path / "out")
+    monkeypatch.setattr(stream_plans, "shared_dir", lambda _: root)
+    got = {tuple(r) for r in stream_plans.stream_validate_bars_query(spark, str(tmp_path)).collect()}
+    spans = read_batches(spark, f"{root}/bars").groupBy("batch").agg(F.min("row_no"), F.max("row_no"), F.count("*")).orderBy("batch").collect()
+    assert len(spans) == 4 and sum(s[3] for s in spans) == 4000
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+    assert got == {tuple(r) for r in quality.validate_ohlc(series_plans.typed_ticks(spark, str(tmp_path))).collect()}
+
+
 def test_windows_settle_as_in_batch(spark, tmp_path):
     """Twelve files, one a batch, with a new start in the middle; then the batch operator over all of them."""
     rng = random.Random(9)
