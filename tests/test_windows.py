@@ -258,6 +258,17 @@ def test_level_tree_finds_the_events_of_a_plain_scan(spark, spans):
             assert sorted(touches.get((entry, level), [])) == [b[1] for b in window if b[2] <= level <= b[3]]
 
 
+def test_levels_descend_without_being_sorted(spark):
+    """Only tables over the bars are ordered: no window brings the rows of a level together, and AQE leaves levels spread."""
+    table = spark.createDataFrame([("s", T0, None, 1.0, 2.0, 0.5, 1.5)], "series_key string, ts timestamp_ntz, prev_ts timestamp_ntz, open double, high double, low double, close double")
+    located = spark.createDataFrame([("s", T0, [1.0, 3.0])], "series_key string, entry_ts timestamp_ntz, levels array<double>")
+    levels = windows.claim_levels(located)
+    plan = windows.level_events(levels, table)._jdf.queryExecution().optimizedPlan().toString()
+    ordered = [line for line in plan.splitlines() if "Window [" in line]
+    assert ordered and all("level#" not in line for line in ordered)
+    assert "RepartitionByExpression" in levels._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_level_tree_reads_few_bars_and_refuses_odd_spans(spark):
     bars = [("s", T0 + timedelta(minutes=m), 100.0 + m / 100, 100.02 + m / 100, 100.01 + m / 100) for m in range(2880)]
     table = spark.createDataFrame(bars, "series_key string, ts timestamp_ntz, low double, high double, close double")
