@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,23 @@ def test_windows_settle_as_in_batch(spark, tmp_path):
     assert spark.read.parquet(f"{root}/routed").select("step").distinct().count() == 12
 
 
+def test_open_windows_are_held_per_entry_bar():
+    """The state knows stretches of anchors and their bar, not claims; unsound series settle whatever is still open."""
+    box, due = [None], []
+    held = SimpleNamespace(get=lambda: box[0], update=lambda value: box.__setitem__(0, value))
+    keeper = outcome_streams.EntryWindows((24, 48))
+    keeper.init(SimpleNamespace(getValueState=lambda *_: held, registerTimer=due.append))
+    hour = outcome_streams.HOUR
+    bar = lambda us, step, own, valid=True: SimpleNamespace(us=us, open=1.0, high=2.0, low=0.5, close=1.5, own=own, valid=valid, cadence=3600.0, gap_limit=7200.0, step=step)
+    assert not list(keeper.handleInputRows(("s", 0), iter([bar(hour, 0, 2 * hour), bar(2 * hour, 0, 2 * hour)]), None))
+    assert [w[:3] for w in box[0][1]] == [(-1, hour, hour), (hour, 2 * hour, 2 * hour)] and len(due) == 2
+    told = list(keeper.handleInputRows(("s", 0), iter([bar(6 * hour, 1, 6 * hour)]), None))
+    assert [(r.after, r.until, r.entry_status) for r in told] == [(2 * hour, 4 * hour - 1, "next_tradable_bar_too_late")] * 2
+    told = list(keeper.handleInputRows(("s", 0), iter([bar(None, 2, 7 * hour, False)]), None))
+    assert {r.entry_status for r in told} == {"invalid_market_series"} and (min(r.after for r in told), max(r.until for r in told)) == (-1, 24 * hour - 1)
+    assert not list(keeper.handleInputRows(("s", 0), iter([bar(8 * hour, 3, 8 * hour)]), None))
+
+
 def test_lagging_series_settles_by_timer(spark, tmp_path):
     """A window that its own series never passes is settled once the newest clock is far enough ahead."""
     series = spark.createDataFrame([(k, "csv", "non_continuous", 3600.0, 7200.0, 7200.0, 4) for k in "ab"], SERIES)
