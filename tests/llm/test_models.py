@@ -105,6 +105,32 @@ def test_seating_follows_the_restaurant_process():
     assert (py.seat(rng, np.array([0, 1, 2]), np.full(3, 1e-300), 0.5) == [0, 1, 1]).all()
 
 
+def test_documents_are_seated_one_by_one_as_in_a_plain_restaurant():
+    rng = np.random.default_rng(3)
+    customers, weight, documents = np.array([1, 2, 7, 40, 40]), np.array([5.0, 0.5, 1.5, 3.0, 1e-300]), np.array([6, 20, 9, 5, 4])
+    plain = np.zeros((3000, 5))
+    for k in range(5):
+        at = np.arange(1, customers[k])
+        opens = rng.random((3000, documents[k], len(at))) < weight[k] / (weight[k] + at)
+        plain[:, k] = documents[k] + opens.sum(axis=(1, 2))
+    drawn = np.array([py.seat_documents(rng, customers, documents, weight) for _ in range(3000)])
+    assert (drawn[:, 0] == 6).all() and (drawn[:, 4] == 4).all()
+    assert np.allclose(drawn.mean(axis=0), plain.mean(axis=0), rtol=0.01)
+    assert np.allclose(drawn.std(axis=0), plain.std(axis=0), rtol=0.1)
+
+
+def test_only_the_tables_of_documents_reach_the_corpus(spark):
+    ids = [k for k in range(300) if zlib.crc32(str(k).encode()) % 7 != 2][:201]
+    texts = [("often " * 200, False)] + [(f"spread filler{k % 9}", False) for k in ids[1:]] + [("spread " * 50, True)]
+    model = py.train(spark.createDataFrame(texts, "text string, held_out boolean"))
+    rows = {bytes(r.word): r for r in model.words.collect()}
+    assert rows[b"often"].c == rows[b"spread"].c == 200
+    share = {word: r.likely for word, r in rows.items()}
+    # both occur 200 times, one of them in a single document, whose restaurant draws on the corpus far less often
+    assert share[b"spread"] > 1.5 * share[b"often"]
+    assert math.isclose(sum(share.values()) + model.unknown, 1, rel_tol=1e-9)
+
+
 def test_a_document_restaurant_predicts_a_distribution():
     probability = np.array([0.5, 0.3, 0.2])
     for seen in ([], [0], [0, 0, 1], [2, 1, 2, 2]):
