@@ -284,3 +284,23 @@ def test_levels_without_bars_come_back_without_events(spark):
     levels = spark.createDataFrame([("s", T0, 1.0)], "series_key string, entry_ts timestamp_ntz, level double")
     rows = windows.level_events(levels, table).collect()
     assert [(r.hours, r.first_touch) for r in rows] == [(24, None), (48, None)]
+
+
+def test_levels_meet_the_tree_without_being_sorted(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    bars = spark.range(200).selectExpr(
+        "'a' AS series_key", "CAST('2024-01-01' AS timestamp_ntz) + make_dt_interval(0, CAST(id AS int)) AS ts",
+        "CAST(id % 7 AS double) AS low", "CAST(id % 7 + 2 AS double) AS high", "CAST(id % 7 + 1 AS double) AS close",
+    )
+    levels = bars.selectExpr("series_key", "ts AS entry_ts", "explode(array(1.5D, 4.5D)) AS level")
+    try:
+        spark.conf.set(key, "-1")
+        touches = windows.level_touches(levels, bars, 24)
+        plan = touches._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") == 3 and "SortMergeJoin" not in plan
+        assert touches.count() == levels.alias("l").join(
+            bars.alias("b"), F.expr("b.ts >= entry_ts AND b.ts < entry_ts + INTERVAL 24 HOURS AND low <= level AND level <= high")
+        ).count()
+    finally:
+        spark.conf.set(key, usual)
