@@ -73,18 +73,23 @@ def python_tokens(value: str) -> list[str]:
     return out
 
 
-def whole_word_grams(tokens: Column, lengths: list[int]) -> Column:
+def are_words(tokens: Column) -> Column:
+    """Per token whether it is a run of word characters."""
+    return F.transform(tokens, lambda token: token.rlike(f"^[{WORD_CHARS}]"))
+
+
+def whole_word_grams(tokens: Column, words: Column, lengths: list[int]) -> Column:
     """Distinct runs of so many tokens that neither begin nor end inside a word.
 
     A run that begins or ends with another character must not have a word on that side: the same runs that a
-    pattern with negative look-arounds for word characters can match.
+    pattern with negative look-arounds for word characters can match. ``words`` is the column of ``are_words``, so that
+    every token is judged once and not at each end of each length.
     """
-    is_word = lambda token: token.rlike(f"^[{WORD_CHARS}]")
     nothing = F.array().cast("array<string>")
 
     def runs(n: int) -> Column:
         def edge_free(at: Column, outside: Column) -> Column:
-            return is_word(F.get(tokens, at)) | ~F.coalesce(is_word(F.get(tokens, outside)), F.lit(False))
+            return F.get(words, at) | ~F.coalesce(F.get(words, outside), F.lit(False))
 
         starts = F.filter(
             F.sequence(F.lit(0), F.size(tokens) - n), lambda i: edge_free(i, i - 1) & edge_free(i + (n - 1), i + n)

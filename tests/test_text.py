@@ -223,3 +223,13 @@ def test_ten_thousand_rules_keep_the_plan_small(spark):
 def test_no_rules_match_nothing(spark):
     rows = spark.createDataFrame([(1, "gold")], "id int, body string")
     assert resolve.keyword_dictionary_join(rows, "body", {}, ["id"]).collect() == []
+
+
+def test_tokens_are_judged_once_for_keywords_of_all_lengths(spark):
+    from hindcast.operators import resolve
+
+    texts = spark.createDataFrame([(1, "one two, three (one)"), (2, None)], "id int, body string")
+    rules = {"a": ["one", "one two", "two, three"], "b": ["(one)", "wo"]}
+    found = resolve.keyword_dictionary_join(texts, "body", rules, ["id"])
+    assert {r.keyword for r in found.collect()} == {"one", "one two", "two, three", "(one)"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
