@@ -13,7 +13,7 @@ from hindcast.operators import quality
 from hindcast.plans.registry import query
 from hindcast.plans.series import POLICY_CHECK, TICKS_CTE
 from hindcast.plans.views import view
-from hindcast.session import shared_dir
+from hindcast.session import materialize, shared_dir
 from hindcast.sources import bars as bar_sources
 from hindcast.sources import files as file_sources
 from hindcast.sources import ledgers as ledger_sources
@@ -130,7 +130,8 @@ def scan_series_csv_query(spark, sf):
     FROM typed t LEFT JOIN worst w ON w.series_key = t.series_key GROUP BY t.series_key""",
 )
 def scan_series_csv_verdicts_query(spark, sf):
-    rows = bar_sources.scan_series_csv(spark, *write_series_csv(spark, sf))
+    # the verdicts read their rows three times; files are parsed once
+    rows = materialize(bar_sources.scan_series_csv(spark, *write_series_csv(spark, sf)))
     return quality.series_verdicts(rows).select("series_key", "row_count", "violations", "reason")
 
 

@@ -20,20 +20,21 @@ KLINE_FIELDS = [
 KEY_IN_PATH = r"(?:series_key=([^/]+)/.*|([^/]+)\.csv)$"
 
 
-def path_key() -> Column:
-    path = F.col("_metadata.file_path")
+def path_key(path: Column) -> Column:
     return F.concat(F.regexp_extract(path, KEY_IN_PATH, 1), F.regexp_extract(path, KEY_IN_PATH, 2))
 
 
 def with_file_row_no(rows: DataFrame, keep: list) -> DataFrame:
-    """Adds ``row_no``, strictly increasing along every text file.
+    """Adds ``series_key``, told by the path, and ``row_no``, strictly increasing along every text file.
 
     ``rows`` carries ``_file``, ``_offset`` (start of its split) and ``_seq``
     (``monotonically_increasing_id``). Splits may be packed into tasks in any
     order, so the position inside the split is added to the split's byte
-    offset; lines are at least a byte long, so the sum never overlaps.
+    offset; lines are at least a byte long, so the sum never overlaps. The path
+    is searched for its key once per split: the search takes longer than a line.
     """
     starts = rows.groupBy("_file", "_offset").agg(F.min("_seq").alias("_start"))
+    starts = starts.withColumn("series_key", path_key(F.col("_file")))
     return rows.join(starts, ["_file", "_offset"]).select(
         *keep, (F.col("_offset") + F.col("_seq") - F.col("_start")).alias("row_no")
     )
@@ -53,7 +54,7 @@ def scan_kline_csv(spark: SparkSession, path: str) -> DataFrame:
     Lines are read whole, so that a truncated or overlong line stays visible.
     """
     lines = with_file_row_no(
-        spark.read.text(path).select(path_key().alias("series_key"), *_file_position(), "value"),
+        spark.read.text(path).select(*_file_position(), "value"),
         ["series_key", F.col("_file").alias("source_file"), "value"],
     )
     cells = F.split("value", ",")
@@ -131,14 +132,13 @@ def scan_series_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
     )
     volume = F.nullif(F.col("volume"), F.lit("")) if "volume" in columns else F.lit(None).cast("string")
     located = rows.select(
-        path_key().alias("series_key"),
         *_file_position(),
         "timestamp_utc", "open", "high", "low", "close",
         volume.alias("volume"),
         # naming a real column keeps the reader from being asked for the corrupt record alone
         (F.col("_corrupt").isNotNull() & (F.coalesce(F.length("timestamp_utc"), F.lit(0)) >= 0)).alias("extra_fields"),
     )
-    keep = [c for c in located.columns if not c.startswith("_")]
+    keep = ["series_key", *[c for c in located.columns if not c.startswith("_")]]
     return quality.clean_bars(with_file_row_no(located, keep))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindcast.operators import quality, windows
+from hindcast.plans import files as file_plans
 from hindcast.plans import series as series_plans
 from hindcast.plans import streams as stream_plans
 from hindcast.sources import bars as bar_sources
@@ -200,3 +201,25 @@ def test_operator_csv_rejects_instead_of_repairing(spark, tmp_path):
     sound = spark.createDataFrame([("GOLD", None)], "series_key string, header_error string")
     assert bar_sources.csv_verdicts(rows, sound).first().reason == "row_has_extra_fields"
     assert [r.header_error for r in bar_sources.header_errors(heads).collect()] == [None, "duplicate_columns", "missing_columns: close, low, timestamp_utc"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paths_are_searched_once_per_split(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("timestamp_utc,open,high,low,close,volume\n2026-06-01T00:00:00Z,1,2,1,1,1\n")
+    rows = bar_sources.scan_series_csv(spark, str(tmp_path), ["timestamp_utc", "open", "high", "low", "close", "volume"])
+    lines = plan_of(rows).splitlines()
+    searches = [i for i, line in enumerate(lines) if "regexp_extract" in line]
+    assert len(searches) == 1 and "Aggregate [_file" in lines[searches[0]] + lines[searches[0] + 1]
+    assert [(r.series_key, r.row_no) for r in rows.collect()] == [("s", 0)]
+
+
+def test_verdicts_do_not_parse_their_files_again(spark, tmp_path):
+    at = "timestamp_ntz'2024-01-01' + make_dt_interval(0, id, 0, 0)"
+    events = spark.range(300).selectExpr("id AS event_id", "id % 30 AS user_id", f"{at} AS ts", "'click' AS event_type", "cast(id as double) AS value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    verdicts = file_plans.scan_series_csv_verdicts_query(spark, str(tmp_path))
+    assert "csv" not in plan_of(verdicts)
+    assert {r.series_key: r.row_count for r in verdicts.collect()} == {f"click-{k}": 30 for k in range(10)}
