@@ -14,10 +14,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hindcast import fixed_values as fv
+from hindcast.functions.numbers import given
 
 ZWNJ = "\u200c"
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+_WHITE = r"[\s\x1c-\x1f]"
+#: a run of white space of any script that is not one blank already
+SPACE = rf"(?U){_WHITE}(?:(?<! ){_WHITE}*|{_WHITE}+)"
+#: the characters of that class
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
+#: every break but the line feed, and some characters more: few ranges are searched faster
+_ODD_BREAK = r"[\x0b-\x1e\x85\u2028\u2029]"
 WORD_CHARS = r"\p{L}\p{N}_"
 WORD = rf"[{WORD_CHARS}\u0600-\u06ff]+"
 
@@ -33,7 +40,7 @@ def collapse(value: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(value, F.lit(WHITE))
 
 
 def search_text(value: Column) -> Column:
@@ -116,9 +123,16 @@ def ascii_digits(value: Column) -> Column:
 
 
 def lines_of(value: Column) -> Column:
-    """Line array; a final line break does not open another line."""
-    body = F.regexp_replace(value, rf"(?:{LINE_BREAK})\z", "")
-    return F.when(value == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK))
+    """Line array; a final line break does not open another line.
+
+    ``value`` should be a plain column: it is referenced repeatedly. A pattern for all line breaks is
+    tried at every character, so texts that have only line feeds are split without one.
+    """
+    last = F.right(value, F.lit(1))
+    cut = F.when(value.endswith("\r\n"), 2).when(last.rlike(LINE_BREAK), 1).otherwise(0)
+    body = F.substring(value, F.lit(1), F.length(value) - cut)
+    lines = F.when(value.rlike(_ODD_BREAK), F.split(body, LINE_BREAK)).otherwise(F.split(body, "\n"))
+    return F.when(value == "", F.array().cast("array<string>")).otherwise(lines)
 
 
 def number_line(position: Column, line: Column) -> Column:
@@ -189,17 +203,21 @@ def instruction_like(value: Column) -> Column:
 
 
 def clean_caption(value: Column) -> Column:
-    """Caption line without tags and style overrides."""
-    return collapse(F.regexp_replace(F.regexp_replace(value, r"<[^>]+>", ""), r"\{\\.*?\}", ""))
+    """Caption line without tags and style overrides. ``value`` should be a plain column."""
+    untagged = F.regexp_replace(F.regexp_replace(value, r"<[^>]+>", ""), r"\{\\.*?\}", "")
+    return collapse(F.when(value.contains("<") | value.contains("{"), untagged).otherwise(value))
 
 
 def cue_seconds(value: Column) -> Column:
     """``[h:]mm:ss[,.]mmm`` -> seconds."""
-    parts = F.split(F.translate(ascii_digits(value), ",", "."), ":")
-    number = lambda at: F.try_element_at(parts, F.lit(at)).try_cast("double")
-    tail = number(-1) + number(-2) * 60.0
-    hours = F.when(F.size(parts) > 2, number(1)).otherwise(0.0)
-    return F.round(hours * 3600.0 + tail, 3)
+
+    def seconds(parts: Column) -> Column:
+        number = lambda at: F.try_element_at(parts, F.lit(at)).try_cast("double")
+        tail = number(-1) + number(-2) * 60.0
+        hours = F.when(F.size(parts) > 2, number(1)).otherwise(0.0)
+        return F.round(hours * 3600.0 + tail, 3)
+
+    return given(F.split(F.translate(ascii_digits(value), ",", "."), ":"), seconds)
 
 
 def srt_time(seconds: Column) -> Column:

@@ -58,6 +58,31 @@ def test_lines_split_like_text_lines(spark):
         assert one(spark, text, tx.lines_of) == text.splitlines(), repr(text)
 
 
+def test_white_space_and_breaks_equal_their_classes(spark):
+    """All characters of the first plane but surrogates, in every place that matters."""
+    chars = spark.range(1, 0x10000).filter("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.format_string("%04X", "id")), "UTF-16BE").alias("c"))
+    c = F.col("c")
+    texts = chars.select(F.explode(F.array(
+        c, F.concat(c, F.lit("a b"), c), F.concat(F.lit("a"), c, F.lit("b  c\td "), c, c), F.concat(F.lit(" a\n"), c), F.concat(F.lit("a\r"), c, F.lit("\nb\r\n")),
+    )).alias("v"))
+    v, white, breaks = F.col("v"), r"[\s\x1c-\x1f]", r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
+    plain = F.split(F.regexp_replace(v, rf"(?:{breaks})\z", ""), breaks)
+    wrong = texts.filter(
+        ~tx.strip(v).eqNullSafe(F.regexp_replace(v, f"(?U)^{white}+|{white}+$", ""))
+        | ~tx.collapse(v).eqNullSafe(F.trim(F.regexp_replace(v, f"(?U){white}+", " ")))
+        | ~tx.lines_of(v).eqNullSafe(plain)
+    )
+    assert [r.v for r in wrong.take(5)] == []
+    assert one(spark, None, tx.lines_of) is None and one(spark, None, tx.strip) is None
+
+
+def test_transcripts_search_no_pattern_at_every_line_feed(spark):
+    lines = spark.createDataFrame([("v", 2, "b"), ("v", 1, "a"), ("v", 3, "c")], "video_id string, line int, text string")
+    texts = transcripts.transcript_text(lines)
+    assert r"\z" not in texts._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[1:4] for r in texts.collect()] == [("a\nb\nc", 5, 3)]
+
+
 def captions(spark, text):
     rows = transcripts.canonicalize_subtitle(spark.createDataFrame([("v", text)], "video_id string, text string")).collect()
     return [(r.line, r.text, r.start_seconds, r.end_seconds) for r in sorted(rows, key=lambda r: r.line)]
