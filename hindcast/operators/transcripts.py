@@ -21,7 +21,9 @@ def caption_lines(captions: DataFrame, key: str = "video_id", text: str = "text"
     # Whole files are shuffled once, before the work on their lines: fewer rows
     # move, row groups of any size spread, and the windows by file need no more.
     files = captions.select(key, text).repartition(key)
-    arrays = files.select(key, tx.lines_of(F.regexp_replace(F.col(text), "^\ufeff+", "")).alias("_lines"))
+    marked = F.col(text).startswith("\ufeff")
+    plain = files.select(key, F.when(marked, F.regexp_replace(F.col(text), "^\ufeff+", "")).otherwise(F.col(text)).alias("_text"))
+    arrays = plain.select(key, tx.lines_of(F.col("_text")).alias("_lines"))
     timed = arrays.withColumn("timed", F.exists("_lines", lambda line: line.rlike(_CUE_LINE)))
     # outer: the plain generator would first split every text once more, at the scan, to drop empty arrays
     lines = (
@@ -29,19 +31,21 @@ def caption_lines(captions: DataFrame, key: str = "video_id", text: str = "text"
         .filter("pos IS NOT NULL")
         .withColumn("line_text", tx.strip(F.col("raw_line")))
     )
-    is_cue = F.col("line_text").rlike(_CUE_LINE)
-    start = tx.cue_seconds(F.regexp_extract("line_text", _CUE_LINE, 1))
-    end = tx.cue_seconds(F.regexp_extract("line_text", _CUE_LINE, 2))
     skipped = F.col("line_text").rlike("(?i)^(?:" + "|".join(fv.CAPTION_SKIP_PREFIXES) + ")")
-    return lines.select(
-        key, "pos", "line_text",
-        "timed",
-        is_cue.alias("is_cue"),
-        F.when(is_cue, start).alias("cue_start"),
-        F.when(is_cue, F.greatest(start, end)).alias("cue_end"),
+    marked = lines.select(
+        key, "pos", "line_text", "timed",
+        F.col("line_text").rlike(_CUE_LINE).alias("is_cue"),
         (F.col("line_text") == "").alias("is_blank"),
         (skipped | F.col("line_text").rlike(r"(?U)^\d+$")).alias("is_skipped"),
     )
+    # column by column, so that a stamp is cut out and read once
+    stamp = lambda at: F.when(F.col("is_cue"), tx.cue_seconds(F.get("_stamps", F.lit(at))))
+    stamps = F.when(F.col("is_cue"), F.split(F.regexp_replace("line_text", _CUE_LINE, "$1 $2"), " "))
+    timed_lines = marked.withColumn("_stamps", stamps).withColumns({"cue_start": stamp(0), "_end": stamp(1)})
+    return timed_lines.select(
+        key, "pos", "line_text", "timed", "is_cue", "cue_start", F.greatest("cue_start", "_end").alias("cue_end"),
+        "is_blank", "is_skipped",
+    )
 
 
 def carry_cues(lines: DataFrame, key: str = "video_id") -> DataFrame:
@@ -54,13 +58,18 @@ def carry_cues(lines: DataFrame, key: str = "video_id") -> DataFrame:
     ).drop("_cue")
 
 
+def clean_lines(lines: DataFrame) -> DataFrame:
+    """Adds ``clean``, null for cue, blank and skipped lines.
+
+    Before the cues are carried: a filter after that does not clean every line once more.
+    """
+    said = ~F.col("is_cue") & ~F.col("is_blank") & ~F.col("is_skipped")
+    return lines.withColumn("clean", F.when(said, tx.clean_caption(F.col("line_text"))))
+
+
 def spoken_lines(carried: DataFrame) -> DataFrame:
-    """Drops cue, blank, skipped and orphan lines; cleans the rest."""
-    kept = carried.filter(
-        ~F.col("is_cue") & ~F.col("is_blank") & ~F.col("is_skipped")
-        & (~F.col("timed") | F.col("active_start").isNotNull())
-    )
-    return kept.withColumn("clean", tx.clean_caption(F.col("line_text"))).filter("clean <> ''")
+    """Drops cue, blank, skipped and orphan lines, and those that were cleaned away."""
+    return carried.filter((F.col("clean") != "") & (~F.col("timed") | F.col("active_start").isNotNull()))
 
 
 def consecutive_dedupe(
@@ -89,7 +98,7 @@ def canonicalize_subtitle(captions: DataFrame, key: str = "video_id", text: str
     A caption file is at most 20 MiB, so the windows by file stay small. All of
     them and the final grouping share one shuffle by file.
     """
-    spoken = spoken_lines(carry_cues(caption_lines(captions, key, text), key))
+    spoken = spoken_lines(carry_cues(clean_lines(caption_lines(captions, key, text)), key))
     runs = consecutive_dedupe(spoken, [key], "pos", "clean")
     return runs.groupBy(key, "run").agg(
         F.first("clean").alias("text"),
@@ -100,7 +109,7 @@ def canonicalize_subtitle(captions: DataFrame, key: str = "video_id", text: str
 
 def transcript_text(lines: DataFrame, key: str = "video_id") -> DataFrame:
     """Canonical lines -> one text per video with its counts and hash."""
-    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("line", "text")))
     joined = lines.groupBy(key).agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("transcript"))
     return joined.select(
         key, "transcript",

@@ -96,6 +96,14 @@ def test_captions(spark):
     assert captions(spark, srt) == [(1, "same", 1.0, 3602.0), (2, "last one", 3602.0, 3602.0)]
 
 
+def test_stamps_are_read_once_and_lines_cleaned_once(spark):
+    vtt = "WEBVTT\n\n۰۱:۰۰:۰۱,۵۰۰ --> 00:02.500 align:start\n {<b>\\an8}a <i>b</i>\u2003 c \n<b></b>\n"
+    files = spark.createDataFrame([("v", vtt)], "video_id string, text string")
+    assert captions(spark, vtt) == [(1, "a b c", 3601.5, 3601.5)]
+    plan = transcripts.canonicalize_subtitle(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]+>") == 1 and plan.count("$1 $2") == 1
+
+
 def test_segments_to_srt(spark):
     segments = spark.createDataFrame(
         [("v", 0, 0.0, 1.25, "  First   sentence. "), ("v", 1, 5.0, 6.0, " "), ("v", 2, 61.001, None, "Second")], "video_id string, seq bigint, start double, end double, text string"
